@@ -45,26 +45,47 @@ def ring_edges(ring: str | Column) -> Column:
     )
 
 
-def _sum(items: Column, term) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda acc, e: acc + term(e))
+def let(value: Column, body) -> Column:
+    """`body` of a value computed once; repeating a large expression would slow planning badly."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(items: Column, names: list[str], terms) -> Column:
+    """Struct of running sums of several terms in one pass over an array."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def step(acc: Column, e: Column) -> Column:
+        values = terms(e)
+        return F.struct(*[(acc[n] + v).alias(n) for n, v in zip(names, values)])
+
+    return F.aggregate(items, zero, step)
 
 
 def ring_moments(ring: str | Column) -> Column:
-    """Signed area and first moments, taken about the first vertex for precision."""
+    """Signed area and first moments about the first vertex, which is kept as (ox, oy)."""
     ring = col(ring)
-    ox, oy = ring[0]["x"], ring[0]["y"]
-    edges = ring_edges(ring)
 
-    def cross(e):
-        return (e["x1"] - ox) * (e["y2"] - oy) - (e["x2"] - ox) * (e["y1"] - oy)
+    def about(origin: Column) -> Column:
+        ox, oy = origin["x"], origin["y"]
+
+        def terms(e: Column) -> list[Column]:
+            cross = (e["x1"] - ox) * (e["y2"] - oy) - (e["x2"] - ox) * (e["y1"] - oy)
+            return [
+                cross / 2,
+                (e["x1"] + e["x2"] - 2 * ox) * cross / 6,
+                (e["y1"] + e["y2"] - 2 * oy) * cross / 6,
+            ]
+
+        sums = _fold(ring_edges(ring), ["area", "mx", "my"], terms)
+        return let(
+            sums,
+            lambda m: F.struct(
+                m["area"].alias("area"), m["mx"].alias("mx"), m["my"].alias("my"),
+                ox.alias("ox"), oy.alias("oy"),
+            ),
+        )
 
-    return F.struct(
-        (_sum(edges, cross) / 2).alias("area"),
-        (_sum(edges, lambda e: (e["x1"] + e["x2"] - 2 * ox) * cross(e)) / 6).alias("mx"),
-        (_sum(edges, lambda e: (e["y1"] + e["y2"] - 2 * oy) * cross(e)) / 6).alias("my"),
-        ox.alias("ox"),
-        oy.alias("oy"),
-    )
+    return let(ring[0], about)
 
 
 def ring_area(ring: str | Column) -> Column:
@@ -73,34 +94,29 @@ def ring_area(ring: str | Column) -> Column:
 
 def polygon_area(polygon: str | Column) -> Column:
     """Shell minus holes, in squared units of the coordinates."""
-    polygon = col(polygon)
-    holes = F.slice(polygon, 2, F.greatest(F.size(polygon), F.lit(1)))
-    return ring_area(polygon[0]) - F.aggregate(holes, F.lit(0.0), lambda a, r: a + ring_area(r))
+    signed = F.transform(
+        col(polygon), lambda r, i: ring_area(r) * F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    )
+    return F.aggregate(signed, F.lit(0.0), lambda acc, a: acc + a)
 
 
-def _weighted_parts(polygon: Column) -> Column:
-    """(weight, cx, cy) per ring: shells count positive, holes negative."""
+def multipolygon_centroid(shape: str | Column) -> Column:
+    """Area-weighted centroid as struct (x, y); holes weigh negative."""
 
-    def part(ring, i):
-        m = ring_moments(ring)
+    def part(ring: Column, i: Column) -> Column:
         sign = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.struct(
-            (sign * F.abs(m["area"])).alias("w"),
-            (m["ox"] + m["mx"] / m["area"]).alias("cx"),
-            (m["oy"] + m["my"] / m["area"]).alias("cy"),
+        return let(
+            ring_moments(ring),
+            lambda m: F.struct(
+                (sign * F.abs(m["area"])).alias("w"),
+                (m["ox"] + m["mx"] / m["area"]).alias("cx"),
+                (m["oy"] + m["my"] / m["area"]).alias("cy"),
+            ),
         )
 
-    return F.transform(polygon, part)
-
-
-def multipolygon_centroid(shape: str | Column) -> Column:
-    """Area-weighted centroid as struct (x, y)."""
-    parts = F.flatten(F.transform(col(shape), _weighted_parts))
-    total = _sum(parts, lambda p: p["w"])
-    return F.struct(
-        (_sum(parts, lambda p: p["w"] * p["cx"]) / total).alias("x"),
-        (_sum(parts, lambda p: p["w"] * p["cy"]) / total).alias("y"),
-    )
+    parts = F.flatten(F.transform(col(shape), lambda polygon: F.transform(polygon, part)))
+    sums = _fold(parts, ["w", "x", "y"], lambda p: [p["w"], p["w"] * p["cx"], p["w"] * p["cy"]])
+    return let(sums, lambda t: F.struct((t["x"] / t["w"]).alias("x"), (t["y"] / t["w"]).alias("y")))
 
 
 def largest_part(shape: str | Column) -> Column:
@@ -109,12 +125,14 @@ def largest_part(shape: str | Column) -> Column:
     sized = F.transform(
         shape, lambda p, i: F.struct(polygon_area(p).alias("area"), (-i).alias("tie"), p.alias("p"))
     )
-    best = F.array_max(sized)
-    total = _sum(sized, lambda s: s["area"])
-    return F.struct(
-        best["p"].alias("poligono"),
-        (F.lit(100.0) * best["area"] / total).alias("pct_area"),
-        (F.size(shape) - 1).alias("partes_descartadas"),
+    total = F.aggregate(F.transform(sized, lambda s: s["area"]), F.lit(0.0), lambda acc, a: acc + a)
+    return let(
+        F.struct(F.array_max(sized).alias("best"), total.alias("total"), F.size(shape).alias("n")),
+        lambda t: F.struct(
+            t["best"]["p"].alias("poligono"),
+            (F.lit(100.0) * t["best"]["area"] / t["total"]).alias("pct_area"),
+            (t["n"] - 1).alias("partes_descartadas"),
+        ),
     )
 
 

@@ -46,7 +46,7 @@ def _best(
 ) -> pd.DataFrame:
     """k nearest of one batch for every query; ties by id."""
     ids = rows["id"].to_numpy()
-    distance = np.round(1.0 - q_unit @ _unit_of(rows, "v").T, ROUND)
+    distance = np.round(1.0 - q_unit @ _unit_of(rows, "v").T, ROUND) + 0.0  # no negative zero
     q_ids = queries["query_id"].to_numpy()
     out_q, out_id, out_d = [], [], []
     for i in range(len(q_ids)):

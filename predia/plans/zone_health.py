@@ -10,6 +10,7 @@ from predia.operators.aggregates import weighted_category_count, zone_point_coun
 from predia.operators.nearest import nearest_on_earth
 from predia.operators.scale import min_max_score, with_stats
 from predia.operators.spatial import assign_zone
+from predia.session import cut
 
 
 def crime_rate(df: DataFrame, events: str = "incidentes", people: str = "poblacion") -> DataFrame:
@@ -42,7 +43,8 @@ def transport_score(
     density = counts.join(areas.select(zone, "superficie_km2"), zone).withColumn(
         "densidad", F.col("n") / F.col("superficie_km2")
     )
-    return min_max_score(density, "densidad", flat=flat).select(zone, "n", "densidad", "score")
+    # One row per zone: computed once, as the scaling reads it twice.
+    return min_max_score(cut(density), "densidad", flat=flat).select(zone, "n", "densidad", "score")
 
 
 def merged_category(column: str = "categoria") -> Column:
@@ -104,7 +106,7 @@ def amenity_score(
         F.col("zona_etiquetada_origen").alias(zone), merged_category().alias("categoria")
     )
     weighted = weighted_category_count(zones, counted, weights, zone)
-    return min_max_score(weighted, "conteo_ponderado", flat=flat).select(zone, "conteo_ponderado", "score")
+    return min_max_score(cut(weighted), "conteo_ponderado", flat=flat).select(zone, "conteo_ponderado", "score")
 
 
 def centroids(shapes: DataFrame, name: str = "nombre", geom: str = "geom") -> DataFrame:
@@ -128,7 +130,8 @@ def walkability_distances(anchors: DataFrame, sets: dict[str, DataFrame], name:
         F.max(F.when(F.col("conjunto") == label, F.col("distancia_m"))).alias(f"distancia_{label}_m")
         for label in sets
     ]
-    return found.groupBy(name).agg(*columns).withColumn(
+    nearest = cut(found.groupBy(name).agg(*columns))
+    return nearest.withColumn(
         "distancia_promedio_m",
         sum((F.col(f"distancia_{label}_m") for label in sets), F.lit(0.0)) / len(sets),
     )
@@ -222,8 +225,8 @@ def display_points(listings: DataFrame, zones: DataFrame, shapes: DataFrame, tri
     inside = F.get(F.filter(drawn, lambda p: edges_contain(F.col("_edges"), p["lng"], p["lat"])), F.lit(0))
     corner = F.struct(F.col("_edges")[0]["x1"].alias("lng"), F.col("_edges")[0]["y1"].alias("lat"))
     point = F.when(b.isNotNull(), F.coalesce(inside, corner))
-    return sourced.select(
-        "listing_id", "corregimiento", point["lng"].alias("lng"), point["lat"].alias("lat"),
+    return sourced.withColumn("_point", point).select(
+        "listing_id", "corregimiento", F.col("_point.lng").alias("lng"), F.col("_point.lat").alias("lat"),
         F.when(b.isNotNull(), F.col("_shape") != F.col("corregimiento")).alias("ubicacion_aproximada"),
     )
 

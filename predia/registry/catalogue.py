@@ -70,7 +70,7 @@ def cards(spark, d):
     """Listings back as the raw texts of a result card."""
     return V.listing(spark, d).select(
         "listing_url", "title", _raw_zone().alias("zone_raw"), F.col("corregimiento_archivo").alias("zone_label"),
-        F.concat(F.lit("$"), F.format_number("price_usd", "#,##0")).alias("price_raw"),
+        F.concat(F.lit("$"), F.format_number("price_usd", 0)).alias("price_raw"),
         F.concat(F.col("bedrooms").cast("string"), F.lit(" camas")).alias("bedrooms_raw"),
         F.concat(F.col("bathrooms").cast("string"), F.lit(" baños")).alias("bathrooms_raw"),
         F.concat(F.col("area_m2").cast("bigint").cast("string"), F.lit(" m2")).alias("area_raw"),
@@ -84,7 +84,7 @@ def parsed(spark, d):
     )
 
 
-# '#,##0' rounds half to even, so prices that end in .5 follow that rule in the SQL too.
+# The card price rounds half to even, so prices that end in .5 follow that rule in the SQL too.
 @entry("c6_card_records", sql("""
 SELECT listing_id::VARCHAR AS listing_id, coalesce(bedrooms, -1) AS bedrooms, bathrooms, coalesce(area_m2, -1)::BIGINT AS area_m2,
   price_usd, operation, zone, zone_source, CASE
@@ -171,13 +171,13 @@ def _(spark, d):
 def copies(spark, d):
     """Listings captured from several pages: a key is caught again in later files."""
     df = V.listing(spark, d).select(
-        (F.col("listing_id") % 5000).alias("listing_id"), "listing_url", "title", "corregimiento_archivo",
+        (F.col("listing_id") % 1000).alias("listing_id"), "listing_url", "title", "corregimiento_archivo",
         F.col("zona_id").alias("file_rank"), F.col("listing_id").alias("row_no"), F.col("corregimiento").alias("zone"),
     )
     return df
 
 
-COPIES = """copia AS (SELECT listing_id % 5000 AS listing_id, listing_url, title, corregimiento_archivo, zona_id AS file_rank,
+COPIES = """copia AS (SELECT listing_id % 1000 AS listing_id, listing_url, title, corregimiento_archivo, zona_id AS file_rank,
   listing_id AS row_no, corregimiento AS zone FROM listing)"""
 
 

@@ -23,7 +23,7 @@ def _(spark, d):
 @entry("g2_table_checks", """
 SELECT 'tipo' AS regla, count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) AS violaciones FROM lineitem
 UNION ALL SELECT 'cantidad', count(*) FILTER (WHERE NOT l_quantity BETWEEN 1 AND 49) FROM lineitem
-UNION ALL SELECT 'uno_de_dos', count(*) FILTER (WHERE l_linenumber % 2 = 0 AND l_partkey % 2 = 0 OR l_linenumber % 2 = 1 AND l_partkey % 2 = 1) FROM lineitem
+UNION ALL SELECT 'uno_de_dos', count(*) FILTER (WHERE l_linenumber % 2 = 0 AND l_partkey % 2 = 1 OR l_linenumber % 2 = 1 AND l_partkey % 2 = 0) FROM lineitem
 UNION ALL SELECT 'unico:l_orderkey,l_linenumber', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'referencia:l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)""")
 def _(spark, d):

@@ -93,10 +93,10 @@ def _(spark, d):
 
 
 @entry("pm3_hybrid_ranking", scored_sql("""
-SELECT perfil, listing_id, round(score_hibrido, 6) AS score, row_number() OVER (PARTITION BY perfil ORDER BY score_hibrido DESC, listing_id) AS rank FROM hy"""))
+SELECT perfil, listing_id, score_hibrido AS score, row_number() OVER (PARTITION BY perfil ORDER BY score_hibrido DESC, listing_id) AS rank FROM hy"""))
 def _(spark, d):
     ranked = M.ranking(M.hybrid(*scored(spark, d)).select("perfil", "listing_id", "score_hibrido"))
-    return ranked.select("perfil", "listing_id", F.round("score_hibrido", 6).alias("score"), "rank")
+    return ranked.select("perfil", "listing_id", F.col("score_hibrido").alias("score"), "rank")
 
 
 @entry("pm4_ground_truth", sql(f"""
@@ -121,7 +121,7 @@ def truth(spark, d):
 
 
 PRECISION = "SELECT perfil, " + ", ".join(
-    f"round(count(*) FILTER (WHERE r <= {k} AND hit) / {k}::DOUBLE, 6) AS p{k}" for k in (3, 5, 10)
+    f"count(*) FILTER (WHERE r <= {k} AND hit) / {k}::DOUBLE AS p{k}" for k in (3, 5, 10)
 ) + """ FROM (SELECT x.*, gt.listing_id IS NOT NULL AS hit FROM (SELECT perfil, listing_id, row_number() OVER (PARTITION BY perfil ORDER BY {0} DESC, listing_id) AS r FROM hy) x
   LEFT JOIN gt ON gt.perfil = x.perfil AND gt.listing_id = x.listing_id WHERE r <= 10) GROUP BY 1"""
 
@@ -130,7 +130,7 @@ def rounded(df, columns, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-@entry("pm6_precision_at_k", scored_sql(PRECISION.format("score_hibrido")))
+@entry("pm6_precision_at_k", scored_sql(f"SELECT perfil, round(p3, 6) AS p3, round(p5, 6) AS p5, round(p10, 6) AS p10 FROM ({PRECISION.format('score_hibrido')})"))
 def _(spark, d):
     hybrid = M.hybrid(*scored(spark, d))
     return rounded(M.precision_at(hybrid, truth(spark, d), ["perfil"], "score_hibrido"), ["p3", "p5", "p10"])

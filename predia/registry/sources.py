@@ -79,12 +79,12 @@ def _(spark, d):
 
 
 @entry("s6_prediction_pairs", sql("""
-SELECT listing_id AS propiedad_id, price_usd AS precio_real, round(price_usd * 1.1, 2) AS precio_predicho, corregimiento AS zona FROM listing"""))
+SELECT listing_id AS propiedad_id, price_usd AS precio_real, round(price_usd * 1.1, 4) AS precio_predicho, corregimiento AS zona FROM listing"""))
 def _(spark, d):
     path = scratch_path(spark, "pares")
     V.listing(spark, d).select(
         F.col("listing_id").alias("propiedad_id"), F.col("price_usd").alias("precio_real"),
-        F.round(F.col("price_usd") * 1.1, 2).alias("precio_predicho"), F.col("corregimiento").alias("zona"),
+        F.round(F.col("price_usd") * 1.1, 4).alias("precio_predicho"), F.col("corregimiento").alias("zona"),
     ).write.option("header", True).csv(path)
     return R.read_pairs(spark, path)
 

@@ -146,10 +146,10 @@ def oof_sql(body: str) -> str:
     return sql(OOF_SQL + body).replace("\n\n, oof AS", ",\noof AS")
 
 
-@entry("v11_cv_errors", oof_sql("SELECT pliegue, n, round(mae, 4) AS mae, round((SELECT avg(mae) FROM fold), 4) AS mae_promedio FROM fold"))
+@entry("v11_cv_errors", oof_sql("SELECT pliegue, n, round(mae, 7) AS mae, round((SELECT avg(mae) FROM fold), 4) AS mae_promedio FROM fold"))
 def _(spark, d):
     got = W.cv_errors(cut(W.out_of_fold(pool(spark, d).filter("es_train"))))
-    return got.select("pliegue", "n", F.round("mae", 4).alias("mae"), F.round("mae_promedio", 4).alias("mae_promedio"))
+    return got.select("pliegue", "n", F.round("mae", 7).alias("mae"), F.round("mae_promedio", 4).alias("mae_promedio"))
 
 
 @entry("v12_oof_mae_by_zone", oof_sql("""

@@ -38,7 +38,7 @@ AMENITY_COUNT = f"""amenity AS (SELECT z.nombre, coalesce(c.w, 0) AS w FROM zone
   WHERE fuente <> 'osm_overpass' OR corregimiento_asignado = zona_etiquetada_origen GROUP BY 1) c ON c.a = z.nombre WHERE z.zona_id < 5)"""
 AMENITY = f"amenidades AS (SELECT nombre, w, {minmax('w')} AS score FROM amenity)"
 CENTROID = RINGS.lstrip(", ") + """,
-centroid AS (SELECT n_nationkey, n_name AS nombre, sum(w * (ox + mx / a)) / sum(w) AS lng, sum(w * (oy + my / a)) / sum(w) AS lat FROM (
+centroid AS (SELECT n_nationkey, n_name AS nombre, sum(w * (ox + mx / a)) / sum(w) - n_nationkey AS lng, sum(w * (oy + my / a)) / sum(w) + n_nationkey AS lat FROM (
   SELECT *, CASE WHEN ring_no = 0 THEN abs(a) ELSE -abs(a) END AS w FROM g) JOIN nation USING (n_nationkey) WHERE n_nationkey < 5 GROUP BY 1, 2)"""
 WALK = f"""caminata AS (SELECT nombre, ds, dp, dm, (ds + dp + dm) / 3 AS x FROM (
   SELECT a.nombre, min({HAVERSINE.format(HAV_A)}) FILTER (WHERE b.k = 'supermercado') AS ds, min({HAVERSINE.format(HAV_A)}) FILTER (WHERE b.k = 'parque') AS dp,
