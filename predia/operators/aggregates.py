@@ -93,9 +93,9 @@ def mean_std_count(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 def mean_gap(df: DataFrame, by: str, columns: list[str], notable: float = 0.5) -> DataFrame:
     """Gap of the group means per column, given only when there are exactly two groups."""
     means = unpivot(df, [by], columns, "dimension", "valor").groupBy(by, "dimension").agg(
-        F.avg("valor").alias("m")
+        F.avg("valor").alias("_mean")
     )
-    gap = F.max("m") - F.min("m")
+    gap = F.max("_mean") - F.min("_mean")
     return (
         means.groupBy("dimension")
         .agg(F.count("*").alias("grupos"), gap.alias("diferencia"))

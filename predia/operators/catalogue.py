@@ -424,10 +424,16 @@ def class_profile(
 def pii_audit(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """Per pattern: rows hit, total hits and distinct ids affected."""
     patterns = patterns or {"telefono": K.PHONE_PATTERN, "correo": K.EMAIL_PATTERN}
-    rows = [
-        F.struct(F.lit(n).alias("patron"), count_matches(text, p).alias("hits"))
-        for n, p in patterns.items()
-    ]
+    # Both default patterns need one literal character; texts without it skip the expression.
+    literal = {K.PHONE_PATTERN: "6", K.EMAIL_PATTERN: "@"}
+
+    def hits(pattern: str) -> Column:
+        counted = count_matches(text, pattern)
+        if pattern not in literal:
+            return counted
+        return F.when(F.contains(F.col(text), F.lit(literal[pattern])), counted).otherwise(0)
+
+    rows = [F.struct(F.lit(n).alias("patron"), hits(p).alias("hits")) for n, p in patterns.items()]
     return (
         df.select(key, F.inline(F.array(*rows)))
         .groupBy("patron")

@@ -136,7 +136,9 @@ def nearest_join(
         ).cast("int").alias("level"),
     )
     crosses = F.col("r2") > penalty if category else F.lit(True)
-    ready = cut(ready.withColumn("anywhere", crosses))
+    # A few bytes per vector here become many cells below, so the rows are spread evenly first.
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = cut(ready.withColumn("anywhere", crosses).repartition(spread))
     # Which grids the queries ended up on: at most two rows per level.
     used = ready.select("level", "anywhere").distinct().collect()
     w = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))

@@ -28,40 +28,71 @@ def _unit_of(rows: pd.DataFrame, column: str) -> np.ndarray:
     return _unit(np.vstack(rows[column].to_list()).astype("float64"))
 
 
-def _allowed(query: pd.Series, rows: pd.DataFrame, criteria: Criteria) -> np.ndarray:
-    """Rows meeting the query's bounds; no bound admits all, a missing value meets no bound."""
-    keep = np.ones(len(rows), dtype=bool)
-    for wanted, op, column in criteria:
-        bound = query[wanted]
-        if bound is None or bound != bound:
-            continue
-        values = rows[column]
-        met = values == bound if op == "eq" else values >= bound if op == "ge" else values <= bound
-        keep &= (met & values.notna()).to_numpy(dtype=bool)
-    return keep
-
-
-def _best(
-    queries: pd.DataFrame, q_unit: np.ndarray, rows: pd.DataFrame, k: int, criteria: Criteria
+def _mask(wanted: object, op: str, column: np.ndarray) -> np.ndarray:
+    if op == "eq":
+        return column == wanted
+    with np.errstate(invalid="ignore"):
+        return column >= wanted if op == "ge" else column <= wanted
+
+
+def _columns(rows: pd.DataFrame, criteria: Criteria) -> dict[str, np.ndarray]:
+    """Compared columns as arrays; a missing value compares false with everything."""
+    kinds: dict[str, str] = {}
+    for _, op, c in criteria:
+        kinds[c] = "eq" if op == "eq" else kinds.get(c, "number")
+    return {
+        c: rows[c].to_numpy(dtype=object) if kind == "eq" else rows[c].to_numpy(dtype="float64", na_value=np.nan)
+        for c, kind in kinds.items()
+    }
+
+
+def _search(
+    queries: pd.DataFrame, q_unit: np.ndarray, batches: Iterator[pd.DataFrame], k: int, criteria: Criteria
 ) -> pd.DataFrame:
-    """k nearest of one batch for every query; ties by id."""
-    ids = rows["id"].to_numpy()
-    distance = np.round(1.0 - q_unit @ _unit_of(rows, "v").T, ROUND) + 0.0  # no negative zero
-    q_ids = queries["query_id"].to_numpy()
-    out_q, out_id, out_d = [], [], []
-    for i in range(len(q_ids)):
-        row = distance[i]
-        pick = (
-            np.flatnonzero(_allowed(queries.iloc[i], rows, criteria)) if criteria else np.arange(len(ids))
-        )
-        if len(pick) > k:
-            pick = pick[row[pick] <= np.partition(row[pick], k - 1)[k - 1]]
-        pick = pick[np.lexsort((ids[pick], row[pick]))][:k]
-        out_q.append(np.repeat(q_ids[i], len(pick)))
-        out_id.append(ids[pick])
-        out_d.append(row[pick])
+    """k nearest over all batches for every query; ties by id.
+
+    The k best so far are kept per query, so a batch only contributes rows at least as near, and
+    what leaves the task is k rows per query however many batches it read. No bound in a query
+    column (null) admits all rows.
+    """
+    n = len(queries)
+    bounds = [
+        [(op, c, v) for (q, op, c), v in zip(criteria, row) if v is not None and v == v]
+        for row in queries[[q for q, _, _ in criteria]].itertuples(index=False, name=None)
+    ] if criteria else [[]] * n
+    best_d = [np.empty(0)] * n
+    best_id = [np.empty(0, dtype="int64")] * n
+    worst = np.full(n, np.inf)
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch["id"].to_numpy()
+        unit = _unit_of(batch, "v").T
+        columns = _columns(batch, criteria)
+        masks: dict[tuple, np.ndarray] = {}  # equal bounds of different queries share a mask
+        step = max(1, MAX_QUERY_CELLS // len(batch))
+        for start in range(0, n, step):
+            distance = np.round(1.0 - q_unit[start:start + step] @ unit, ROUND) + 0.0  # no negative zero
+            for i in range(len(distance)):
+                for op, c, v in bounds[start + i]:
+                    if (op, c, v) not in masks:
+                        masks[op, c, v] = ~_mask(v, op, columns[c])
+                    distance[i][masks[op, c, v]] = np.inf
+            hits = (distance <= worst[start:start + step, None]) & np.isfinite(distance)
+            for i in np.flatnonzero(hits.any(axis=1)):
+                q, near = start + i, np.flatnonzero(hits[i])
+                if len(near) > 4 * k:
+                    row = distance[i][near]
+                    near = near[row <= np.partition(row, k - 1)[k - 1]]
+                d = np.concatenate([best_d[q], distance[i][near]])
+                who = np.concatenate([best_id[q], ids[near]])
+                order = np.lexsort((who, d))[:k]
+                best_d[q], best_id[q] = d[order], who[order]
+                if len(order) == k:
+                    worst[q] = d[order[-1]]
     return pd.DataFrame({
-        "query_id": np.concatenate(out_q), "id": np.concatenate(out_id), "distancia": np.concatenate(out_d),
+        "query_id": np.repeat(queries["query_id"].to_numpy(), [len(d) for d in best_d]),
+        "id": np.concatenate(best_id), "distancia": np.concatenate(best_d),
     })
 
 
@@ -81,7 +112,7 @@ def vector_topk(
     query carries itself, applied before ranking. The query side is measured: while it
     fits one task it goes to every task and the vectors are read once without a shuffle. A larger
     query table is split into blocks that each fit; blocks meet slices of the vectors in groups
-    bounded on both sides. Only k rows per query leave a batch or a group.
+    bounded on both sides. Only k rows per query leave a task or a group.
     """
     criteria = criteria or []
     qs = queries.select(
@@ -103,9 +134,7 @@ def vector_topk(
             q_unit = _unit_of(held, "qv")
 
             def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    if len(batch):
-                        yield _best(held, q_unit, batch, k, criteria)
+                yield _search(held, q_unit, batches, k, criteria)
 
             partial = vs.mapInPandas(scan, schema)
     else:
@@ -127,13 +156,13 @@ def _blocked(
         "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     )
     placed_v = vs.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
             return pd.DataFrame({"query_id": [], "id": [], "distancia": []})
-        return _best(q, _unit_of(q, "qv"), v, k, criteria)
+        return _search(q, _unit_of(q, "qv"), iter([v]), k, criteria)
 
     keys = ["block", "slice"]
     return placed_q.groupBy(*keys).cogroup(placed_v.groupBy(*keys)).applyInPandas(meet, schema)
