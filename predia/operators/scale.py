@@ -7,15 +7,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from predia.session import cut
 
 
-def with_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
+def with_stats(df: DataFrame, by: list[str], few_groups: bool = False, **stats: Column) -> DataFrame:
     """Attach group aggregates to every row.
 
     Aggregating and joining back keeps a hot group in map-side partials; a window over the
     group would sort it in one task. Without keys the totals come in as a scalar subquery.
+    `few_groups` is the caller's proof that the groups are a short list, such as profiles checked
+    by size; the aggregates are then broadcast and the rows stay where they are.
     """
     named = [e.alias(n) for n, e in stats.items()]
     if by:
-        return df.join(df.groupBy(*by).agg(*named), by)
+        totals = df.groupBy(*by).agg(*named)
+        return df.join(F.broadcast(totals) if few_groups else totals, by)
     totals = df.agg(F.struct(*named).alias("t")).scalar()
     return df.select("*", *[totals[n].alias(n) for n in stats])
 
@@ -118,12 +121,13 @@ def min_max_score(
     out: str = "score",
     invert: bool = False,
     flat: str = "zero",
+    few_groups: bool = False,
 ) -> DataFrame:
     """(x - min) / (max - min) per group, or one minus it.
 
     `flat` says what a group with a single value gets: zero, null, or an error.
     """
-    df = with_stats(df, by or [], _lo=F.min(value), _hi=F.max(value))
+    df = with_stats(df, by or [], few_groups, _lo=F.min(value), _hi=F.max(value))
     span = F.col("_hi") - F.col("_lo")
     direct = (F.col(value) - F.col("_lo")) / F.nullif(span, F.lit(0))
     if invert:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +11,7 @@ from predia.functions.text import any_of, keyword_rule
 from predia.operators.scale import min_max_score, rank_all, top_per_group
 from predia.operators.vector_search import MAX_QUERY_CELLS, ROUND
 
+MAX_BROADCAST_PROFILES = 10_000
 RULE_COLUMNS = ["price_usd", "bedrooms", "area_m2"]
 PROFILE_SCHEMA = (
     "perfil string, corregimientos array<string>, "
@@ -30,7 +29,9 @@ def profile_table(spark: SparkSession, profiles: list[dict] | None = None) -> Da
             for c in RULE_COLUMNS for s in ("min", "max")
         ]
         rows.append((p["perfil"], p["corregimientos"], *bounds, p.get("incluye", []), p.get("excluye", [])))
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    table = spark.createDataFrame(rows, PROFILE_SCHEMA)
+    # The rules come from a list held here, so their number is known before they are broadcast.
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_PROFILES else table
 
 
 def rule_matches(listings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -100,51 +101,55 @@ def structural_scores(listings: DataFrame, profiles: list[dict] | None = None, k
     return listings.select("listing_id", *(keep or []), F.inline(rows))
 
 
-def similarities(listings: DataFrame, profile_vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Cosine of every listing to every profile vector (perfil, vector), rounded to nine places.
+def profile_cosines(profile_vectors: DataFrame, names: list[str]):
+    """Arrow function from an embedding column to its cosines with the profiles, in their order.
 
-    The profile side is a small table of checked size held by each task.
+    The profile side (perfil, vector) is a small table of checked size that travels with the task.
     """
     held = profile_vectors.select("perfil", F.col("vector").cast("array<double>").alias("v"))
     if (held.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0) > MAX_QUERY_CELLS:
         raise ValueError("too many profile vectors for one task; score profiles in groups")
-    rows = held.toPandas()
-    names = rows["perfil"].to_numpy()
-    unit = np.vstack(rows["v"].to_list())
+    by_name = {r["perfil"]: r["v"] for r in held.collect()}
+    unit = np.vstack([by_name[n] for n in names])
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            m = np.vstack(batch["v"].to_list()).astype("float64")
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
-            cos = np.round(m @ unit.T, ROUND)
-            yield pd.DataFrame({
-                "listing_id": np.repeat(batch["listing_id"].to_numpy(), len(names)),
-                "perfil": np.tile(names, len(batch)),
-                "coseno": cos.ravel(),
-            })
-
-    return listings.select("listing_id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(
-        score, "listing_id bigint, perfil string, coseno double"
-    )
+    @F.pandas_udf("array<double>")
+    def cosines(vectors: pd.Series) -> pd.Series:
+        m = np.vstack(vectors.to_list()).astype("float64")
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        return pd.Series(list(np.round(m @ unit.T, ROUND)))
+
+    return cosines
 
 
-def semantic_scores(cosines: DataFrame) -> DataFrame:
-    """Cosine min-max scored per profile, 0 for a flat profile."""
-    return min_max_score(cosines, "coseno", ["perfil"], "score_semantico", flat="zero")
+def profile_scores(
+    listings: DataFrame, profile_vectors: DataFrame, profiles: list[dict] | None = None, vector: str = "embedding"
+) -> DataFrame:
+    """Structural score, cosine and min-max scored cosine of every listing with every profile.
+
+    Both scores of all profiles are built inside the listing's row, so no join or shuffle of
+    listings is needed; only the extremes per profile are aggregated, one small row each. A
+    profile whose cosines are all equal scores 0.
+    """
+    profiles = K.PROFILES if profiles is None else profiles
+    cosines = profile_cosines(profile_vectors, [p["perfil"] for p in profiles])
+    rows = F.array(*[
+        F.struct(
+            F.lit(p["perfil"]).alias("perfil"), structural_score(p).alias("score_estructurado"),
+            F.get("_cos", F.lit(i)).alias("coseno"),
+        )
+        for i, p in enumerate(profiles)
+    ])
+    long = listings.withColumn("_cos", cosines(vector)).select("listing_id", F.inline(rows))
+    return min_max_score(long, "coseno", ["perfil"], "score_semantico", flat="zero", few_groups=True)
 
 
 def hybrid(
-    structural: DataFrame, semantic: DataFrame,
-    weights: tuple[float, float] = (K.WEIGHT_STRUCTURAL, K.WEIGHT_SEMANTIC),
+    scored: DataFrame, weights: tuple[float, float] = (K.WEIGHT_STRUCTURAL, K.WEIGHT_SEMANTIC)
 ) -> DataFrame:
     score = F.lit(weights[0]) * F.col("score_estructurado") + F.lit(weights[1]) * F.col("score_semantico")
     # Rounded so that scores equal but for summation noise are ties, broken by id.
-    return structural.join(semantic.select("listing_id", "perfil", "score_semantico"), ["listing_id", "perfil"]).withColumn(
-        "score_hibrido", F.round(score, ROUND)
-    )
+    return scored.withColumn("score_hibrido", F.round(score, ROUND))
 
 
 def ranking(scored: DataFrame, score: str = "score_hibrido", by: list[str] | None = None) -> DataFrame:
@@ -180,18 +185,15 @@ def lift(hybrid_precision: DataFrame, structural_precision: DataFrame, ks: list[
 
 
 def weight_sweep(
-    structural: DataFrame, semantic: DataFrame, truth: DataFrame,
-    sweep: list[tuple[float, float]] | None = None,
+    scored: DataFrame, truth: DataFrame, sweep: list[tuple[float, float]] | None = None
 ) -> DataFrame:
     """Precision@k per weight pair and profile in one job."""
-    sweep = sweep or K.WEIGHT_SWEEP
-    scored = structural.join(semantic.select("listing_id", "perfil", "score_semantico"), ["listing_id", "perfil"])
     rows = F.array(*[
         F.struct(
             F.lit(f"{a}/{b}").alias("pesos"),
             F.round(F.lit(a) * F.col("score_estructurado") + F.lit(b) * F.col("score_semantico"), ROUND).alias("score"),
         )
-        for a, b in sweep
+        for a, b in sweep or K.WEIGHT_SWEEP
     ])
     exploded = scored.select("perfil", "listing_id", F.inline(rows))
     return precision_at(exploded, truth, ["pesos", "perfil"], "score")

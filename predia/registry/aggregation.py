@@ -57,7 +57,8 @@ WEIGHT = f"CASE {MERGE} WHEN 'supermercado' THEN 0.3137 WHEN 'parque' THEN 0.254
 
 
 def weights(spark, values, key):
-    return spark.createDataFrame(list(values.items()), f"{key} string, peso double")
+    """A weights table of a handful of rows."""
+    return F.broadcast(spark.createDataFrame(list(values.items()), f"{key} string, peso double"))
 
 
 @entry("a6_weighted_category_count", sql(f"""

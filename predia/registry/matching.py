@@ -76,9 +76,7 @@ def scored(spark, d):
     listings = cut(candidates(spark, d).select(
         "listing_id", "corregimiento", "price_usd", "bedrooms", "area_m2", "embedding"
     ))
-    structural = M.structural_scores(listings, P)
-    semantic = M.semantic_scores(cut(M.similarities(listings, profile_vectors(spark, d))))
-    return structural, semantic
+    return M.profile_scores(listings, profile_vectors(spark, d), P)
 
 
 @entry("pm1_structural_score", scored_sql("SELECT listing_id, perfil, round(score_estructurado, 9) AS score FROM st"))
@@ -89,13 +87,13 @@ def _(spark, d):
 
 @entry("pm2_semantic_score", scored_sql("SELECT listing_id, perfil, round(score_semantico, 6) AS score FROM se"))
 def _(spark, d):
-    return scored(spark, d)[1].select("listing_id", "perfil", F.round("score_semantico", 6).alias("score"))
+    return scored(spark, d).select("listing_id", "perfil", F.round("score_semantico", 6).alias("score"))
 
 
 @entry("pm3_hybrid_ranking", scored_sql("""
 SELECT perfil, listing_id, score_hibrido AS score, row_number() OVER (PARTITION BY perfil ORDER BY score_hibrido DESC, listing_id) AS rank FROM hy"""))
 def _(spark, d):
-    ranked = M.ranking(M.hybrid(*scored(spark, d)).select("perfil", "listing_id", "score_hibrido"))
+    ranked = M.ranking(M.hybrid(scored(spark, d)).select("perfil", "listing_id", "score_hibrido"))
     return ranked.select("perfil", "listing_id", F.col("score_hibrido").alias("score"), "rank")
 
 
@@ -132,7 +130,7 @@ def rounded(df, columns, digits=6):
 
 @entry("pm6_precision_at_k", scored_sql(f"SELECT perfil, round(p3, 6) AS p3, round(p5, 6) AS p5, round(p10, 6) AS p10 FROM ({PRECISION.format('score_hibrido')})"))
 def _(spark, d):
-    hybrid = M.hybrid(*scored(spark, d))
+    hybrid = M.hybrid(scored(spark, d))
     return rounded(M.precision_at(hybrid, truth(spark, d), ["perfil"], "score_hibrido"), ["p3", "p5", "p10"])
 
 
@@ -142,10 +140,10 @@ c AS (SELECT a.perfil, a.p3 - b.p3 AS x, a.p5 - b.p5 AS y, a.p10 - b.p10 AS z FR
 SELECT perfil, round(x, 6) AS lift_p3, round(y, 6) AS lift_p5, round(z, 6) AS lift_p10 FROM c
 UNION ALL SELECT 'promedio', round(avg(x), 6), round(avg(y), 6), round(avg(z), 6) FROM c""".lstrip()))
 def _(spark, d):
-    structural, semantic = scored(spark, d)
+    both = cut(M.hybrid(scored(spark, d)))
     t = cut(truth(spark, d))
-    hybrid = M.precision_at(M.hybrid(structural, semantic), t, ["perfil"], "score_hibrido")
-    plain = M.precision_at(structural, t, ["perfil"], "score_estructurado")
+    hybrid = M.precision_at(both, t, ["perfil"], "score_hibrido")
+    plain = M.precision_at(both, t, ["perfil"], "score_estructurado")
     return rounded(M.lift(hybrid, plain), ["lift_p3", "lift_p5", "lift_p10"])
 
 
@@ -156,8 +154,7 @@ SELECT x.pesos, x.perfil, """.lstrip() + ", ".join(f"round(count(*) FILTER (WHER
 FROM (SELECT *, row_number() OVER (PARTITION BY pesos, perfil ORDER BY s DESC, listing_id) AS r FROM sw) x
 LEFT JOIN gt ON gt.perfil = x.perfil AND gt.listing_id = x.listing_id WHERE r <= 10 GROUP BY 1, 2"""))
 def _(spark, d):
-    structural, semantic = scored(spark, d)
-    return rounded(M.weight_sweep(structural, semantic, truth(spark, d)), ["p3", "p5", "p10"])
+    return rounded(M.weight_sweep(scored(spark, d), truth(spark, d)), ["p3", "p5", "p10"])
 
 
 def _overlap_part(kind: str, members: str) -> str:
