@@ -100,9 +100,11 @@ def search_sql(body: str) -> str:
 def search(spark, d):
     p = pool(spark, d)
     valued = W.valuation(p, p.filter("es_train"), mae_reference=MAE)
-    listings = cut(evaluable(V.listing_vector(spark, d)).select(
+    candidates = evaluable(V.listing_vector(spark, d)).select(
         "listing_id", "embedding", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
-    ))
+    )
+    # Every row meets every query of the batch, so the rows are spread evenly over the tasks first.
+    listings = cut(candidates.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "listing_id"))
     return O.enriched_search(requests(spark, d), listings, valued, reason())
 
 
