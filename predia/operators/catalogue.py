@@ -278,9 +278,10 @@ def resolve_ambiguous(
         .filter("n = 1")
         .select("_building", "_voted")
     )
-    # The first building of the list is the row's building, as one title names one.
+    # Votes are at most one row per configured building, so they are broadcast; most rows name no
+    # building and would otherwise meet in one task. The first building of the list is the row's.
     joined = tagged.withColumn("_building", F.get("_buildings", F.lit(0))).join(
-        votes, "_building", "left"
+        F.broadcast(votes), "_building", "left"
     )
     literal = F.when(F.size("_zones") == 1, F.col("_zones")[0])
     zone = (

@@ -237,9 +237,12 @@ def zone_panel(index: DataFrame, points: DataFrame) -> DataFrame:
         F.col("zona_etiquetada_origen").alias("_origen"), "id", "categoria",
         F.col("nombre").alias("poi_nombre"), "lat", "lng", "rating",
     )
+    sourced = index.withColumn("_origen", F.coalesce("hereda_de", "nombre"))
+    # Points of a busy zone can be split over tasks in an inner join; empty zones are added apart.
+    filled = sourced.join(labelled, "_origen")
+    empty = sourced.join(labelled.select("_origen").distinct(), "_origen", "left_anti")
     return (
-        index.withColumn("_origen", F.coalesce("hereda_de", "nombre"))
-        .join(labelled, "_origen", "left")
+        filled.unionByName(empty, allowMissingColumns=True)
         .drop("_origen")
         .withColumn("heredado", F.col("hereda_de").isNotNull())
         .withColumn("cobertura_composite_insuficiente", F.col("zone_health_score").isNull())

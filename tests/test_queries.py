@@ -21,7 +21,9 @@ TABLES = (
 ).split()
 SLOW = {"z5_composite", "z6_inherited_scores", "z10_zone_panel", "v4_knn_prediction", "v6_price_estimate",
         "v7_light_by_mae", "v8_light_by_share", "v20_test_pairs", "a15_mae_percent", "a16_mae_by_zone",
-        "g8_drift_gate", "v12_oof_mae_by_zone", "v5_comparables", "a14_mae"}
+        "g8_drift_gate", "v12_oof_mae_by_zone", "v5_comparables", "a14_mae", "a20_distribution_drift",
+        "z7_status_label", "v10_calibration", "v15_model_comparison", "v21_transparency", "pm7_lift",
+        "pm8_weight_sweep", "q6_answer_text"}
 ORACLES = E.oracle_sql()
 NAMES = [n for n in ORACLES if os.environ.get("PREDIA_ALL") or n not in SLOW]
 
