@@ -13,6 +13,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from predia import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = (
@@ -24,7 +25,7 @@ SLOW = {"z5_composite", "z6_inherited_scores", "z10_zone_panel", "v4_knn_predict
         "g8_drift_gate", "v12_oof_mae_by_zone", "v5_comparables", "a14_mae", "a20_distribution_drift",
         "z7_status_label", "v10_calibration", "v15_model_comparison", "v21_transparency", "pm7_lift",
         "pm8_weight_sweep", "q6_answer_text"}
-ORACLES = E.oracle_sql()
+ORACLES = {name: sql for name, (_, sql) in registry.load().items() if sql is not None}
 NAMES = [n for n in ORACLES if os.environ.get("PREDIA_ALL") or n not in SLOW]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables are absent")
@@ -58,7 +59,7 @@ def test_entry_has_rows(spark):
 
 
 def test_queries_without_sql_run(spark):
-    left = set(E.queries()) - set(ORACLES)
+    left = set(registry.load()) - set(ORACLES)
     assert left == {
         "c23_fingerprint", "j10_vector_topk_hashed", "v13_random_forest", "v14_feature_importance",
         "v16_forest_with_embedding", "v17_kmeans_sweep", "v18_kmeans_segments", "z9_display_points",
