@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import mixing, warc
+from predia.llm import bpe, mixing, warc
 
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,5 +25,9 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_warc_packages, op8_source_mix)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_warc_packages, op8_source_mix, op10_byte_bpe)}
 ORACLES: dict[str, str] = {}
