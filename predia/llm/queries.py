@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import bpe, licenses, mixing, simhash, warc
+from predia.llm import bpe, licenses, mixing, quality, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -38,6 +42,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_license_scan, op5_warc_packages, op6_simhash_tiles, op8_source_mix, op10_byte_bpe,
+    op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op8_source_mix, op10_byte_bpe,
 )}
 ORACLES: dict[str, str] = {}

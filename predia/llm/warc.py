@@ -21,9 +21,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from predia.llm.files import make_folder, open_fs
 from predia.session import cut, scratch_path
 
 PACKAGE_BYTES = 64 << 20
@@ -34,10 +34,6 @@ LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -212,9 +208,7 @@ def write_packages(pages: DataFrame, folder: str, most: int = PACKAGE_BYTES, zip
     keyed = parts.withColumn("sha", F.unhex(F.sha1("html")))
     firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"))
     rows = keyed.join(firsts, "sha").select("page_id", "url", "html", "first")
-    filesystem, local = open_fs(folder)
-    filesystem.create_dir(local, recursive=True)
-    return cut(rows.mapInArrow(_packages(folder, most, zip64), "path string, n long"))
+    return cut(rows.mapInArrow(_packages(make_folder(folder), most, zip64), "path string, n long"))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
