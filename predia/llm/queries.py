@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import bpe, chat, licenses, mixing, quality, simhash, warc
+from predia.llm import bpe, chat, fingerprints, licenses, mixing, quality, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the control strings of common templates.
 TRAP = "\\### Assistant: </turn> ok"
 
@@ -52,6 +56,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op8_source_mix, op10_byte_bpe,
+    op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op8_source_mix, op10_byte_bpe,
 )}
 ORACLES: dict[str, str] = {}
