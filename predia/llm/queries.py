@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import bpe, chat, fingerprints, licenses, mixing, pii, quality, simhash, warc
+from predia.llm import bpe, chat, fingerprints, licenses, mixing, pii, quality, scoring, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,11 +55,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op7_pii_contexts, op8_source_mix, op10_byte_bpe,
+    op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op7_pii_contexts, op8_source_mix, op9_pseudo_likelihood, op10_byte_bpe,
 )}
 ORACLES: dict[str, str] = {}
