@@ -36,7 +36,8 @@ CONTEXT_CHARS = 80
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
 ROUNDS = 3
-BROADCAST_ROWS = 100_000
+#: Up to so many patterns are written into the count's filter; beyond, all word pairs are counted.
+LISTED_PATTERNS = 20_000
 MENTION = "array<struct<start:bigint,stop:bigint,match:string,before:string>>"
 SPAN = "array<struct<start:bigint,kind_no:int,stop:bigint,kind:string>>"
 
@@ -131,9 +132,10 @@ def _places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     pairs = words.select(F.explode(F.transform(at, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("left"))
     wanted = patterns.select("left").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        return pairs.join(F.broadcast(wanted), "left").groupBy("left").agg(F.count("*").alias("places"))
-    return pairs.groupBy("left").agg(F.count("*").alias("places")).join(wanted, "left")
+    if (n := wanted.count()) <= LISTED_PATTERNS:
+        listed_ = ",".join(str(r["left"]) for r in wanted.collect()) if n else "NULL"
+        pairs = pairs.filter(f"left IN ({listed_})")
+    return pairs.groupBy("left").agg(F.count("*").alias("places"))
 
 
 def bootstrapped(docs: DataFrame, mentioned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -142,7 +144,7 @@ def bootstrapped(docs: DataFrame, mentioned: DataFrame, rounds: int = ROUNDS, mi
     seeded = edges.filter(F.col("seed").isNotNull()).groupBy("left", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
     patterns = cut(seeded.filter(F.col("seeds") >= min_seeds))
     shown = edges.groupBy("left").agg(F.sum("n").alias("shown"))
-    totals = _places(docs, patterns).join(shown, "left", "full").select(
+    totals = patterns.select("left").distinct().join(_places(docs, patterns), "left", "left").join(shown, "left").select(
         "left", F.greatest(F.coalesce("places", F.lit(0)), F.coalesce("shown", F.lit(0))).alias("places"))
     graph = cut(edges.join(patterns.select("left", "kind"), "left").join(totals, "left").withColumn(
         "worth", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0)))
