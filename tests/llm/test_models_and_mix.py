@@ -134,8 +134,8 @@ def test_scores_are_sums_of_masked_predictions(spark):
 
 def test_gradient_is_right():
     net, (contexts, middle, n) = scoring.start(), (np.array([5, 5, 9]), np.array([1, 2, 1]), np.array([3, 1, 2]))
-    after, before = scoring.trained(net, contexts, middle, n, passes=1, rate=1e-3)
-    assert scoring.trained(after, contexts, middle, n, passes=1)[1] < before
+    after, before = scoring.trained(net, contexts, middle, n, passes=1, steps=1, rate=1e-3)
+    assert scoring.trained(after, contexts, middle, n, passes=1, steps=1)[1] < before
 
 
 def test_window_counts_cover_all_words(spark):
