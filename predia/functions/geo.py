@@ -152,6 +152,51 @@ def shape_edges(shape: str | Column) -> Column:
     return F.flatten(F.transform(rings, ring_edges))
 
 
+def trapezoids(shape: str | Column) -> Column:
+    """The shape cut at the heights of its corners, with running areas; slabs without area are left out.
+
+    Between two heights the edges that cross stand side by side, and by the even-odd rule every
+    second gap is inside.
+    """
+    def cut(edges: Column) -> Column:
+        ys = F.sort_array(F.array_distinct(F.transform(edges, lambda e: e["y1"])))
+
+        def at(e: Column, y: Column) -> Column:
+            return e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"])
+
+        def slab(i: Column) -> Column:
+            y0, y1 = F.get(ys, i), F.get(ys, i + 1)
+            crossing = F.filter(edges, lambda e: (F.least(e["y1"], e["y2"]) <= y0) & (F.greatest(e["y1"], e["y2"]) >= y1))
+            sides = F.sort_array(F.transform(crossing, lambda e: F.struct(
+                at(e, (y0 + y1) / 2).alias("m"), at(e, y0).alias("a"), at(e, y1).alias("b"))))
+
+            def pair(xs: Column) -> Column:
+                places = F.filter(F.sequence(F.lit(0), F.size(xs)), lambda j: (j % 2 == 0) & (j + 1 < F.size(xs)))
+                return F.transform(places, lambda j: F.struct(
+                    y0.alias("y0"), y1.alias("y1"), F.get(xs, j)["a"].alias("l0"), F.get(xs, j)["b"].alias("l1"),
+                    F.get(xs, j + 1)["a"].alias("r0"), F.get(xs, j + 1)["b"].alias("r1")))
+
+            return let(sides, pair)
+
+        slabs = F.filter(F.sequence(F.lit(0), F.size(ys)), lambda i: i + 1 < F.size(ys))
+        return F.flatten(F.transform(slabs, slab))
+
+    def area(t: Column) -> Column:
+        return (t["y1"] - t["y0"]) * (t["r0"] - t["l0"] + t["r1"] - t["l1"]) / 2
+
+    names = ["y0", "y1", "l0", "l1", "r0", "r1"]
+    kind = "array<struct<" + ",".join(f"{n}:double" for n in [*names, "upto"]) + ">>"
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        upto = s["sum"] + area(t)
+        one = F.struct(*[t[n].alias(n) for n in names], upto.alias("upto"))
+        return F.struct(upto.alias("sum"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    whole = F.filter(let(shape_edges(shape), cut), lambda t: area(t) > 0)
+    return F.aggregate(whole, start, step, lambda s: s["out"])
+
+
 def edges_contain(edges: Column, x: Column, y: Column) -> Column:
     """Even-odd test over edge structs; a point on an edge counts as inside."""
 

@@ -49,9 +49,9 @@ def category_pivot(points: DataFrame, zone: str, category: str, values: list[str
 
 
 def crosstab_share(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Share of each column value within a row, two decimals; long form."""
-    counts = df.filter(F.col(column).isin(values)).groupBy(row, column).agg(F.count("*").alias("n"))
-    totals = with_stats(counts, [row], total=F.sum("n"))
+    """Share of each listed column value within all of a row, two decimals; long form."""
+    counts = df.groupBy(row, column).agg(F.count("*").alias("n"))
+    totals = with_stats(counts, [row], total=F.sum("n")).filter(F.col(column).isin(values))
     return totals.select(row, column, F.round(F.col("n") / F.col("total"), 2).alias("share"))
 
 

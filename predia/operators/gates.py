@@ -113,17 +113,18 @@ def weights_sum(weights: DataFrame, column: str = "peso", tolerance: float = 1e-
 def drift(
     df: DataFrame, column: str, reference: dict[str, float], points: float
 ) -> DataFrame:
-    """Share per category against a reference share, in points, flagged beyond a limit."""
-    rows = [
-        F.struct(
-            F.lit(name).alias(column),
-            F.count_if(F.col(column) == name).alias("n"),
-            (F.count_if(F.col(column) == name) / F.nullif(F.count("*"), F.lit(0)) * 100).alias("pct"),
-            F.lit(share * 100).alias("pct_referencia"),
-        )
-        for name, share in reference.items()
-    ]
-    shares = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    """Share per category against a reference share, in points, flagged beyond a limit.
+
+    Categories that only one side has count as 0 on the other, so an unknown one (null included) is
+    reported.
+    """
+    found = df.groupBy(column).agg(F.count("*").alias("n")).withColumn("r", F.lit(0.0))
+    held = df.sparkSession.createDataFrame(
+        [(name, 0, share * 100) for name, share in reference.items()], f"{column} string, n bigint, r double"
+    )
+    both = found.unionByName(held).groupBy(column).agg(F.sum("n").alias("n"), F.sum("r").alias("pct_referencia"))
+    total = df.agg(F.nullif(F.count("*"), F.lit(0)).alias("t")).scalar()
+    shares = both.select(column, "n", (F.col("n") / total * 100).alias("pct"), "pct_referencia")
     delta = F.coalesce(F.col("pct"), F.lit(0.0)) - F.col("pct_referencia")
     return shares.withColumn("delta", delta).withColumn(
         "violaciones", (F.abs(delta) > points).cast("bigint")

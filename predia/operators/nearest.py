@@ -5,7 +5,8 @@ one-hot form of a category adds exactly 2). Ties go to the lower reference id.
 
 1. Equal reference vectors share one row that keeps only the lowest ids any answer can use, and
    equal query vectors are searched once. A vector held by a third of all rows is one row.
-2. Space is cut into grids of doubling width. For each query cell the finest grid whose own cell
+2. Space is cut into grids of doubling width, the finest one fitted to the middle of the values, so
+   that a few far values add coarse grids and do not widen the fine ones. For each query cell the finest grid whose own cell
    already holds k references gives a proven upper bound of the k-th distance.
 3. Each query is joined by equality to the cells its bound can reach, and only references within
    the bound are ranked. Nothing is capped: a query whose surroundings are empty uses a coarser
@@ -14,6 +15,7 @@ one-hot form of a category adds exactly 2). Ties go to the lower reference id.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,15 +26,20 @@ ANY = "*"
 SLACK = 1 + 1e-9  # cells are found with rounded arithmetic, so the bound is widened a little
 
 
-def _extent(frames: list[DataFrame], scaled: list[Column]) -> list[tuple[float, float]]:
+def _extent(frames: list[DataFrame], scaled: list[Column]) -> tuple[list[tuple[float, float]], float]:
+    """Least and greatest value per axis, and the widest middle part of an axis."""
     both = None
     for df in frames:
         part = df.select(*[c.alias(f"x{i}") for i, c in enumerate(scaled)])
         both = part if both is None else both.unionByName(part)
     row = both.agg(
-        *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(scaled)) for n, f in (("lo", F.min), ("hi", F.max))]
+        *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(scaled)) for n, f in (("lo", F.min), ("hi", F.max))],
+        *[F.percentile_approx(f"x{i}", [0.02, 0.1, 0.9, 0.98], 1000).alias(f"p{i}") for i in range(len(scaled))],
     ).first()
-    return [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(scaled))]
+    extent = [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(scaled))]
+    parts = [row[f"p{i}"] or [0.0] * 4 for i in range(len(scaled))]
+    middle = max(p[2] - p[1] for p in parts) or max(p[3] - p[0] for p in parts)
+    return extent, middle
 
 
 def nearest_join(
@@ -75,9 +82,11 @@ def nearest_join(
     )
     vectors = cut(queries.select(*keys).distinct())
     scaled = [F.col(f) * (w ** 0.5) for f, w in zip(fs, weights)]
-    extent = _extent([vectors, protos], scaled)
+    extent, middle = _extent([vectors, protos], scaled)
     span = max((hi or 0.0) - (lo or 0.0) for lo, hi in extent) * SLACK or 1.0
-    finest, top = span / 2 ** (levels - 1), levels - 1
+    # Cell numbers stay exact in doubles: at most 50 doublings lie between the grids.
+    far = min(math.ceil(math.log2(span / middle)), 50 - levels) if 0 < middle < span else 0
+    finest, top = span / 2 ** (levels - 1 + far), levels - 1 + far
     cells0 = [
         F.floor((x - F.lit(lo or 0.0)) / finest).alias(c) for x, c, (lo, _) in zip(scaled, cs, extent)
     ]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from predia.functions.geo import bounds, edges_contain, shape_edges
 
-MAX_SHAPES_PER_CELL = 64
+SHAPES_PER_ROW = 256
 
 
 def cell_of(value: Column, size: float) -> Column:
@@ -58,25 +58,21 @@ def assign_zone(
 ) -> DataFrame:
     """Every point with the first shape, by rank, that holds it; null outside all.
 
-    Points meet shapes by an equality join on the grid cell. While few shapes share a cell, each
-    cell is one row holding its shapes in order and points need no second shuffle; otherwise the
-    matches are one row each and the first is kept per point.
+    Points meet shapes by an equality join on the grid cell. A cell keeps its shapes in order, in
+    rows of at most SHAPES_PER_ROW; points meet the first row of every cell, and where a cell holds
+    more, the next rows in turn, so no row grows with the crowd and points keep their own rows.
     """
     cells = polygon_cells(shapes, name, geom, rank, size)
     x, y = F.col(lng), F.col(lat)
-    placed = points.withColumn("cx", cell_of(x, size)).withColumn("cy", cell_of(y, size))
-    crowd = cells.groupBy("cx", "cy").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if crowd <= MAX_SHAPES_PER_CELL:
-        grouped = cells.groupBy("cx", "cy").agg(
-            F.sort_array(F.collect_list(F.struct("orden", "nombre", "edges"))).alias("shapes")
-        )
-        inside = F.filter("shapes", lambda s: edges_contain(s["edges"], x, y))
-        joined = placed.join(grouped, ["cx", "cy"], "left")
-        return joined.withColumn(out, F.get(inside, F.lit(0))["nombre"]).drop("cx", "cy", "shapes")
-    hits = (
-        placed.join(cells, ["cx", "cy"])
-        .filter(edges_contain(F.col("edges"), x, y))
-        .groupBy(point_id)
-        .agg(F.min_by("nombre", F.struct("orden", "nombre")).alias(out))
+    placed = points.withColumn("_cx", cell_of(x, size)).withColumn("_cy", cell_of(y, size)).withColumn(out, F.lit(None).cast("string"))
+    place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("orden", "nombre")) - 1
+    rows = cells.withColumn("_turn", F.floor(place / SHAPES_PER_ROW)).groupBy("cx", "cy", "_turn").agg(
+        F.sort_array(F.collect_list(F.struct("orden", "nombre", "edges"))).alias("_shapes")
     )
-    return points.join(hits, point_id, "left")
+    rows = rows.withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
+    last = rows.agg(F.max("_turn").alias("n")).first()["n"] or 0
+    for turn in range(last + 1):
+        inside = F.filter("_shapes", lambda s: edges_contain(s["edges"], x, y))
+        joined = placed.join(rows.filter(F.col("_turn") == turn).drop("_turn"), ["_cx", "_cy"], "left")
+        placed = joined.withColumn(out, F.coalesce(out, F.get(inside, F.lit(0))["nombre"])).drop("_shapes")
+    return placed.drop("_cx", "_cy")

@@ -25,7 +25,9 @@ Criteria = list[tuple[str, str, str]]
 
 
 def _unit_of(rows: pd.DataFrame, column: str) -> np.ndarray:
-    return _unit(np.vstack(rows[column].to_list()).astype("float64"))
+    """Unit vectors; one without a direction (all zero) has no distance to anything."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return _unit(np.vstack(rows[column].to_list()).astype("float64"))
 
 
 def _mask(wanted: object, op: str, column: np.ndarray) -> np.ndarray:
@@ -108,7 +110,8 @@ def vector_topk(
 ) -> DataFrame:
     """Exact rows (query_id, rank, vector_id, distancia), k per query.
 
-    Filters shared by all queries belong on `vectors` before the call; `criteria` are bounds each
+    A vector without a direction (null or all zero) has no cosine: it is neither found nor does it
+    find anything. Filters shared by all queries belong on `vectors` before the call; `criteria` are bounds each
     query carries itself, applied before ranking. The query side is measured: while it
     fits one task it goes to every task and the vectors are read once without a shuffle. A larger
     query table is split into blocks that each fit; blocks meet slices of the vectors in groups
@@ -119,11 +122,11 @@ def vector_topk(
         F.col(query_id).cast("bigint").alias("query_id"),
         F.col(query_vector).cast("array<double>").alias("qv"),
         *dict.fromkeys(c for c, _, _ in criteria),
-    )
+    ).filter(F.exists("qv", lambda x: x != 0))
     vs = vectors.select(
         F.col(vector_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"),
         *dict.fromkeys(c for _, _, c in criteria),
-    )
+    ).filter(F.exists("v", lambda x: x != 0))
     cells = qs.agg(F.sum(F.size("qv")).alias("n")).first()["n"] or 0
     schema = "query_id bigint, id bigint, distancia double"
     if cells <= MAX_QUERY_CELLS:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +12,7 @@ from predia import constants as K
 from predia.functions.text import any_of, keyword_rule
 from predia.operators.scale import min_max_score, rank_all, top_per_group
 from predia.operators.vector_search import MAX_QUERY_CELLS, ROUND
+from predia.session import cut
 
 MAX_BROADCAST_PROFILES = 10_000
 RULE_COLUMNS = ["price_usd", "bedrooms", "area_m2"]
@@ -101,27 +104,35 @@ def structural_scores(listings: DataFrame, profiles: list[dict] | None = None, k
     return listings.select("listing_id", *(keep or []), F.inline(rows))
 
 
-def profile_cosines(profile_vectors: DataFrame, names: list[str]):
+def profile_cosines(profile_vectors: DataFrame, names: list[str], width: int):
     """Arrow function from an embedding column to its cosines with the profiles, in their order.
 
-    The profile side (perfil, vector) is a small table of checked size that travels with the task.
+    `names` is the caller's block of profiles, `width` the length of a vector; the vectors of one block travel with the task. A
+    vector without a direction (null or all zero) has null cosines, on either side.
     """
-    held = profile_vectors.select("perfil", F.col("vector").cast("array<double>").alias("v"))
-    if (held.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0) > MAX_QUERY_CELLS:
-        raise ValueError("too many profile vectors for one task; score profiles in groups")
+    held = profile_vectors.filter(F.col("perfil").isin(names)).select("perfil", F.col("vector").cast("array<double>").alias("v"))
     by_name = {r["perfil"]: r["v"] for r in held.collect()}
-    unit = np.vstack([by_name[n] for n in names])
-    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.array([by_name.get(n) or [0.0] * width for n in names], float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
     @F.pandas_udf("array<double>")
     def cosines(vectors: pd.Series) -> pd.Series:
-        m = np.vstack(vectors.to_list()).astype("float64")
-        m = m / np.linalg.norm(m, axis=1, keepdims=True)
-        return pd.Series(list(np.round(m @ unit.T, ROUND)))
+        m = np.array([[0.0] * width if v is None else v for v in vectors], float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            found = np.round(m @ unit.T, ROUND)
+        return pd.Series([[None if x != x else x for x in row] for row in found.tolist()])
 
     return cosines
 
 
+def profile_blocks(profiles: list[dict], width: int) -> list[list[dict]]:
+    """Profiles in blocks whose vectors fit a task."""
+    step = max(1, MAX_QUERY_CELLS // width)
+    return [profiles[i:i + step] for i in range(0, len(profiles), step)]
+
+
 def profile_scores(
     listings: DataFrame, profile_vectors: DataFrame, profiles: list[dict] | None = None, vector: str = "embedding"
 ) -> DataFrame:
@@ -132,16 +143,22 @@ def profile_scores(
     profile whose cosines are all equal scores 0.
     """
     profiles = K.PROFILES if profiles is None else profiles
-    cosines = profile_cosines(profile_vectors, [p["perfil"] for p in profiles])
-    rows = F.array(*[
-        F.struct(
-            F.lit(p["perfil"]).alias("perfil"), structural_score(p).alias("score_estructurado"),
-            F.get("_cos", F.lit(i)).alias("coseno"),
-        )
-        for i, p in enumerate(profiles)
-    ])
-    long = listings.withColumn("_cos", cosines(vector)).select("listing_id", F.inline(rows))
-    return min_max_score(long, "coseno", ["perfil"], "score_semantico", flat="zero", few_groups=True)
+    width = max(profile_vectors.agg(F.max(F.size("vector")).alias("n")).first()["n"] or 1, 1)
+    parts = []
+    for block in profile_blocks(profiles, width):
+        cosines = profile_cosines(profile_vectors, [p["perfil"] for p in block], width)
+        rows = F.array(*[
+            F.struct(
+                F.lit(p["perfil"]).alias("perfil"), structural_score(p).alias("score_estructurado"),
+                F.get("_cos", F.lit(i)).alias("coseno"),
+            )
+            for i, p in enumerate(block)
+        ])
+        parts.append(listings.withColumn("_cos", cosines(vector)).select("listing_id", F.inline(rows)))
+    # What is read twice below is ids and scores; the vectors themselves are never written.
+    long = cut(reduce(DataFrame.unionByName, parts))
+    few = len(profiles) <= MAX_BROADCAST_PROFILES
+    return min_max_score(long, "coseno", ["perfil"], "score_semantico", flat="zero", few_groups=few)
 
 
 def hybrid(

@@ -13,13 +13,15 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predia import constants as K
+from predia.operators.nearest import nearest_join
 from predia.plans.valuation import NUMERIC
 from predia.session import cut
 
+MAX_LISTED_CENTRES = 1000
 SEGMENT_FEATURES = ["price_usd", "area_m2", "precio_por_m2", "bedrooms", "bathrooms"]
 
 
-def forest(trees: int = 200, depth: int = 12, seed: int = K.SEED, embedding: bool = False) -> Pipeline:
+def forest(trees: int = 200, depth: int = 30, seed: int = K.SEED, embedding: bool = False) -> Pipeline:
     """One-hot zone, numbers and optionally the embedding into a random forest on all features."""
     inputs = ["zona_vec", *NUMERIC] + (["emb_vec"] if embedding else [])
     return Pipeline(stages=[
@@ -126,19 +128,23 @@ def assign_segment(scaling: dict[str, tuple[float, float]], centres: list[list[f
 
 
 def nearest_centre(df: DataFrame, centres: DataFrame, features: list[str], key: str = "listing_id") -> DataFrame:
-    """Segment by a centres table (cluster_id and one column per feature) of checked size."""
-    held = centres.select("cluster_id", *features).limit(1001).collect()
-    if len(held) > 1000:
-        raise ValueError("too many centres")
-    rows = sorted(held, key=lambda r: r["cluster_id"])
-    options = F.array(*[
-        F.struct(
-            reduce(lambda a, b: a + b, [
-                (F.col(f).cast("double") - r[f]) * (F.col(f).cast("double") - r[f]) for f in features
-            ]).alias("d"),
-            F.lit(r["cluster_id"]).alias("cluster_id"),
-        )
-        for r in rows
-    ])
-    return df.withColumn("cluster_id", F.array_min(options)["cluster_id"])
+    """Segment by a centres table (cluster_id and one column per feature); ties go to the lower id.
+
+    A list of centres goes to every row as one array; a table beyond that meets the rows in the
+    neighbour join. Rows with a missing feature get null.
+    """
+    held = centres.select("cluster_id", *[F.col(f).cast("double").alias(f) for f in features])
+    if held.count() > MAX_LISTED_CENTRES:
+        whole = df.dropna(subset=features)
+        found = nearest_join(whole, held, key, "cluster_id", features, 1).select(key, "cluster_id")
+        return df.join(found, key, "left")
+    listed = held.agg(F.sort_array(F.collect_list(F.struct("cluster_id", *features))).alias("c")).scalar()
+
+    def distance(c: Column) -> Column:
+        return reduce(lambda a, b: a + b, [(F.col(f).cast("double") - c[f]) * (F.col(f).cast("double") - c[f]) for f in features])
+
+    options = F.transform("_centres", lambda c: F.struct(distance(c).alias("d"), c["cluster_id"].alias("cluster_id")))
+    complete = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
+    held_by = df.withColumn("_centres", listed)
+    return held_by.withColumn("cluster_id", F.when(complete, F.array_min(options)["cluster_id"])).drop("_centres")
 

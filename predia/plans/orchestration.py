@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predia import constants as K
 from predia.functions.intent import IntentRules, extract_intent, fallback_message, outcome
-from predia.functions.pricing import model_coverage
+from predia.functions.pricing import model_coverage, type_plural
 from predia.operators.vector_search import Criteria, vector_topk
+from predia.session import cut
 
 REQUEST_CRITERIA: Criteria = [
     ("zona", "eq", "corregimiento"),
@@ -52,17 +55,18 @@ def outcome_mix(classified: DataFrame, categories: list[str] | None = None) -> D
 
 
 def enriched_search(
-    requests: DataFrame, listings: DataFrame, valued: DataFrame, reason: Column, k: int = 10
+    requests: DataFrame, listings: DataFrame, value: Callable[[DataFrame], DataFrame], reason: Column, k: int = 10
 ) -> DataFrame:
     """Top-k candidates per request with their traffic light, or why there is none.
 
-    `requests` carry consulta_id, vector and nullable bounds; `valued` is the valuation table;
-    `reason` says why a candidate cannot be valued, missing attributes before pool limits.
+    `requests` carry consulta_id, vector and nullable bounds, types in singular or plural; `value`
+    gives the valuation of the listings (listing_id) that were found, and of no others; `reason` says why a candidate cannot be valued, missing attributes before pool limits.
     """
-    found = vector_topk(
-        requests, listings, k, query_id="consulta_id", vector_id="listing_id", criteria=REQUEST_CRITERIA
-    )
-    lights = valued.select("listing_id", "categoria_semaforo", "precio_predicho", "n_comparables")
+    asked = requests.withColumn("tipo_pedido", type_plural("tipo_pedido"))
+    found = cut(vector_topk(
+        asked, listings, k, query_id="consulta_id", vector_id="listing_id", criteria=REQUEST_CRITERIA
+    ))
+    lights = value(found.select("listing_id").distinct()).select("listing_id", "categoria_semaforo", "precio_predicho", "n_comparables")
     attributes = listings.select(
         "listing_id", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
     )
@@ -79,7 +83,7 @@ def answers(requests: DataFrame, candidates: DataFrame, zones: list[str], model_
         F.count("*").alias("n"), F.count("categoria_semaforo").alias("con"),
         F.min_by("motivo_sin_semaforo", "rank").alias("primero"),
     )
-    coverage = model_coverage("zona", "tipo_pedido", zones, model_type)
+    coverage = model_coverage("zona", type_plural("tipo_pedido"), zones, model_type)
     n, lit_count = F.coalesce("n", F.lit(0)), F.coalesce("con", F.lit(0))
     uncovered = F.col("_c.cubierto").eqNullSafe(False)
     text = (

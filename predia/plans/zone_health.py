@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predia import constants as K
-from predia.functions.geo import MULTIPOLYGON, bounds, edges_contain, multipolygon_centroid, shape_edges
+from predia.functions.geo import MULTIPOLYGON, multipolygon_centroid, trapezoids
 from predia.operators.aggregates import weighted_category_count, zone_point_counts
 from predia.operators.nearest import nearest_on_earth
 from predia.operators.scale import min_max_score, with_stats
@@ -197,37 +197,40 @@ def assign_points(points: DataFrame, shapes: DataFrame, note: str = "etiqueta y
     return assigned.withColumn("nota_auditoria", F.when(conflict, F.lit(note)))
 
 
-def display_points(listings: DataFrame, zones: DataFrame, shapes: DataFrame, tries: int = 32, seed: int = K.SEED) -> DataFrame:
+def _uniform(*keys: Column) -> Column:
+    """A repeatable number strictly between 0 and 1."""
+    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+
+def _point_in(traps: Column, keys: list[Column]) -> Column:
+    """A random point of a shape's trapezoids: one by area, then a height by width, then a place across."""
+    total = F.element_at(traps, -1)["upto"]
+    picked = F.get(F.filter(traps, lambda t: t["upto"] >= _uniform(*keys, F.lit(0)) * total), F.lit(0))
+
+    def place(t: Column) -> Column:
+        w0, w1, u = t["r0"] - t["l0"], t["r1"] - t["l1"], _uniform(*keys, F.lit(1))
+        h = u * (w0 + w1) / (w0 + F.sqrt(w0 * w0 + u * (w1 * w1 - w0 * w0)))
+        x = t["l0"] + (t["l1"] - t["l0"]) * h + _uniform(*keys, F.lit(2)) * (w0 + (w1 - w0) * h)
+        return F.struct(x.alias("lng"), (t["y0"] + h * (t["y1"] - t["y0"])).alias("lat"))
+
+    return F.transform(F.array(picked), place)[0]
+
+
+def display_points(listings: DataFrame, zones: DataFrame, shapes: DataFrame, seed: int = K.SEED) -> DataFrame:
     """A repeatable random point inside the zone's shape, or its parent's, and whether it is the parent's.
 
-    Points are drawn in the shape's box and the first one inside is kept; if none is, the shape's
-    first corner, which lies on its border. Listings of zones without a shape get null.
+    A shape is cut once into trapezoids between the heights of its corners; points are uniform over
+    its area. Listings of zones without a shape, or whose shape has no area, get null.
     """
-    prepared = shapes.select(
-        F.col("nombre").alias("_shape"), bounds("geom").alias("_b"), shape_edges("geom").alias("_edges")
-    )
+    prepared = shapes.select(F.col("nombre").alias("_shape"), trapezoids("geom").alias("_traps"))
     sourced = listings.join(
         zones.select(F.col("nombre").alias("corregimiento"), F.coalesce("hereda_de", "nombre").alias("_shape")),
         "corregimiento", "left",
     ).join(prepared, "_shape", "left")
-
-    def uniform(i: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64("listing_id", i, F.lit(seed + salt)), F.lit(1 << 30)) / float(1 << 30)
-
-    b = F.col("_b")
-    drawn = F.transform(
-        F.sequence(F.lit(1), F.lit(tries)),
-        lambda i: F.struct(
-            (b["min_x"] + uniform(i, 0) * (b["max_x"] - b["min_x"])).alias("lng"),
-            (b["min_y"] + uniform(i, 1) * (b["max_y"] - b["min_y"])).alias("lat"),
-        ),
-    )
-    inside = F.get(F.filter(drawn, lambda p: edges_contain(F.col("_edges"), p["lng"], p["lat"])), F.lit(0))
-    corner = F.struct(F.col("_edges")[0]["x1"].alias("lng"), F.col("_edges")[0]["y1"].alias("lat"))
-    point = F.when(b.isNotNull(), F.coalesce(inside, corner))
+    point = F.when(F.size("_traps") > 0, _point_in(F.col("_traps"), [F.col("listing_id"), F.lit(seed)]))
     return sourced.withColumn("_point", point).select(
         "listing_id", "corregimiento", F.col("_point.lng").alias("lng"), F.col("_point.lat").alias("lat"),
-        F.when(b.isNotNull(), F.col("_shape") != F.col("corregimiento")).alias("ubicacion_aproximada"),
+        F.when(F.col("_traps").isNotNull(), F.col("_shape") != F.col("corregimiento")).alias("ubicacion_aproximada"),
     )
 
 

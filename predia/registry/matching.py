@@ -73,9 +73,7 @@ def profile_vectors(spark, d):
 
 
 def scored(spark, d):
-    listings = cut(candidates(spark, d).select(
-        "listing_id", "corregimiento", "price_usd", "bedrooms", "area_m2", "embedding"
-    ))
+    listings = candidates(spark, d).select("listing_id", "corregimiento", "price_usd", "bedrooms", "area_m2", "embedding")
     return M.profile_scores(listings, profile_vectors(spark, d), P)
 
 

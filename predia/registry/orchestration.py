@@ -82,11 +82,14 @@ def requests(spark, d):
 SEARCH = f"""pedido AS (SELECT consulta_id, CASE WHEN consulta_id % 3 = 0 THEN 'NATION_' || (consulta_id % 24) END AS zona,
   CASE WHEN consulta_id % 4 = 0 THEN 'BUILDING' WHEN consulta_id % 7 = 0 THEN 'CASTLE' END AS tipo_pedido,
   CASE WHEN consulta_id % 2 = 0 THEN 250000.0 WHEN consulta_id % 11 = 0 THEN 1.0 END AS precio_max,
-  CASE WHEN consulta_id % 5 = 0 THEN 3 END AS habitaciones_min, embedding AS vector FROM query_log JOIN embeddings ON consulta_id % (SELECT count(*) FROM embeddings) = vec_id),
+  CASE WHEN consulta_id % 5 = 0 THEN 3 END AS habitaciones_min, consulta_id % (SELECT count(*) FROM embeddings) AS q_vec FROM query_log),
+vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+par AS MATERIALIZED (SELECT a.vec_id AS q_vec, b.vec_id, round(1 - list_cosine_similarity(a.v, b.v), 9) AS distancia
+  FROM (SELECT * FROM vec WHERE vec_id IN (SELECT q_vec FROM pedido)) a, vec b),
 hallado AS (SELECT * FROM (SELECT consulta_id, q.listing_id, corregimiento, tipo_inmueble, price_usd, bedrooms, bathrooms, area_m2, distancia,
     row_number() OVER (PARTITION BY consulta_id ORDER BY distancia, q.listing_id) AS rank FROM (
-  SELECT consulta_id, l.*, round(1 - list_cosine_similarity(vector::DOUBLE[], embedding::DOUBLE[]), 9) AS distancia FROM pedido p JOIN listing_vector l
-    ON l.corregimiento <> 'zona_no_determinada' AND NOT l.precio_no_evaluable AND (p.zona IS NULL OR l.corregimiento = p.zona) AND (p.tipo_pedido IS NULL OR l.tipo_inmueble = p.tipo_pedido)
+  SELECT consulta_id, l.*, distancia FROM pedido p JOIN par USING (q_vec) JOIN listing_vector l ON l.vec_id = par.vec_id
+       AND l.corregimiento <> 'zona_no_determinada' AND NOT l.precio_no_evaluable AND (p.zona IS NULL OR l.corregimiento = p.zona) AND (p.tipo_pedido IS NULL OR l.tipo_inmueble = p.tipo_pedido)
     AND (p.precio_max IS NULL OR l.price_usd <= p.precio_max) AND (p.habitaciones_min IS NULL OR l.bedrooms >= p.habitaciones_min)) q) WHERE rank <= 10),
 luz AS (SELECT listing_id, CASE WHEN precio_real - precio_predicho > 1.5 * {MAE} THEN 'rojo' WHEN precio_real - precio_predicho < -1.5 * {MAE} THEN 'verde' ELSE 'amarillo' END AS luz FROM estimate),
 resultado AS (SELECT h.*, luz.luz, CASE WHEN luz.luz IS NULL THEN coalesce({REASON_SQL}, 'sin valuación') END AS motivo FROM hallado h LEFT JOIN luz USING (listing_id))"""
@@ -99,13 +102,14 @@ def search_sql(body: str) -> str:
 
 def search(spark, d):
     p = pool(spark, d)
-    valued = W.valuation(p, p.filter("es_train"), mae_reference=MAE)
-    candidates = evaluable(V.listing_vector(spark, d)).select(
+
+    def value(found):
+        return W.valuation(p.join(found, "listing_id", "left_semi"), p.filter("es_train"), mae_reference=MAE)
+
+    listings = evaluable(V.listing_vector(spark, d)).select(
         "listing_id", "embedding", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
     )
-    # Every row meets every query of the batch, so the rows are spread evenly over the tasks first.
-    listings = cut(candidates.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "listing_id"))
-    return O.enriched_search(requests(spark, d), listings, valued, reason())
+    return O.enriched_search(requests(spark, d), listings, value, reason())
 
 
 @entry("q5_search_with_valuation", search_sql("""

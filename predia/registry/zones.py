@@ -149,9 +149,20 @@ def _(spark, d):
                       F.col("zona_etiquetada_origen").alias("etiqueta"), F.col("nota_auditoria").isNotNull().alias("conflicto"))
 
 
-@entry("z9_display_points")
+@entry("z9_display_points", sql("""
+SELECT listing_id, l.corregimiento, coalesce(e.nombre <> l.corregimiento, false) AS ubicacion_aproximada, e.nombre IS NOT NULL AS dentro
+FROM listing l LEFT JOIN zone z ON z.nombre = l.corregimiento LEFT JOIN (SELECT DISTINCT nombre FROM edge) e ON e.nombre = coalesce(z.hereda_de, z.nombre)"""))
 def _(spark, d):
-    return Z.display_points(V.listing(spark, d), V.zone(spark, d), V.polygon(spark, d))
+    """Points are random, so the shape that should hold each is asked whether it does."""
+    from predia.functions.geo import edges_contain, shape_edges
+
+    zones, shapes = V.zone(spark, d), V.polygon(spark, d)
+    got = Z.display_points(V.listing(spark, d), zones, shapes)
+    held = zones.select(F.col("nombre").alias("corregimiento"), F.coalesce("hereda_de", "nombre").alias("forma")).join(
+        shapes.select(F.col("nombre").alias("forma"), shape_edges("geom").alias("bordes")), "forma")
+    inside = F.coalesce(edges_contain(F.col("bordes"), F.col("lng"), F.col("lat")), F.lit(False))
+    return got.join(held, "corregimiento", "left").select(
+        "listing_id", "corregimiento", F.coalesce("ubicacion_aproximada", F.lit(False)).alias("ubicacion_aproximada"), inside.alias("dentro"))
 
 
 @entry("z10_zone_panel", extended(INDEX_HEADS, """

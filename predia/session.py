@@ -18,6 +18,7 @@ def build_session(name: str = "predia", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
@@ -28,8 +29,10 @@ def build_session(name: str = "predia", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only a session without that setting (tests, laptops) gets a temporary one, and it is
-    set on the context so that checkpoint() uses it too.
+    Only a local session without that setting (tests, laptops) gets a temporary one, and it is
+    set on the context so that checkpoint() uses it too; on a cluster the setting must be there.
+    Checkpoints are removed with their frames (see build_session); files under scratch_path are
+    kept for whoever reads them, and the folder's owner clears it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -39,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="predia-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(configured)

@@ -124,9 +124,9 @@ def test_min_max_flat_group(spark, flat, value):
 SQUARE = "array(array(array(named_struct('x', {0}D, 'y', {1}D), named_struct('x', {2}D, 'y', {1}D), named_struct('x', {2}D, 'y', {3}D), named_struct('x', {0}D, 'y', {3}D))))"
 
 
-@pytest.mark.parametrize("crowd", [64, 0])
+@pytest.mark.parametrize("crowd", [64, 1])
 def test_assign_zone_first_shape_wins(spark, monkeypatch, crowd):
-    monkeypatch.setattr(spatial, "MAX_SHAPES_PER_CELL", crowd)
+    monkeypatch.setattr(spatial, "SHAPES_PER_ROW", crowd)
     shapes = spark.sql(f"SELECT 'uno' nombre, 1 orden, {SQUARE.format(0, 0, 2, 2)} geom UNION ALL SELECT 'dos', 2, {SQUARE.format(1, 1, 5, 5)}")
     points = spark.createDataFrame([(1, 1.5, 1.5), (2, 2.0, 2.0), (3, 3.0, 3.0), (4, 9.0, 9.0), (5, 0.0, 1.0), (6, 5.0, 5.0)], "id int, lat double, lng double")
     got = {r["id"]: r["corregimiento_asignado"] for r in spatial.assign_zone(points, shapes, size=0.7).collect()}
@@ -254,3 +254,114 @@ def test_mean_gap_needs_two_groups(spark):
     df = spark.createDataFrame([("a", 5), ("b", 4), ("c", 1)], "m string, s int")
     assert A.mean_gap(df, "m", ["s"]).count() == 0
     assert tuple(A.mean_gap(df.filter("m <> 'c'"), "m", ["s"]).first()) == ("s", 1.0, True)
+
+
+def test_neighbour_join_is_not_widened_by_one_far_value(spark):
+    import random
+
+    from predia.operators import nearest
+
+    draw = random.Random(9)
+    rows = [(i, draw.uniform(0, 1000), draw.uniform(0, 1000)) for i in range(400)]
+    rows.append((400, 1e9, 5.0))
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {(r["id"], r["rank"]): r["vecino"] for r in nearest.nearest_join(
+        df, df.withColumnRenamed("id", "vecino"), "id", "vecino", ["x", "y"], 3, exclude_self=True).collect()}
+    for i, x, y in rows:
+        near = sorted((j for j, *_ in rows if j != i), key=lambda j: ((rows[j][1] - x) ** 2 + (rows[j][2] - y) ** 2, j))[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == near
+    extent, middle = nearest._extent([df], [F.col("x"), F.col("y")])
+    assert extent[0][1] == 1e9 and middle < 1000
+
+
+def test_crowded_cells_give_the_same_zones(spark, monkeypatch):
+    from predia.functions.geo import MULTIPOLYGON
+    from predia.operators import spatial
+
+    def square(x, y, w):
+        ring = [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+        return [[ring]]
+
+    shapes = [(f"s{i:02}", i, square(0.001 * i, 0.0, 0.004)) for i in range(12)]
+    table = spark.createDataFrame(shapes, f"nombre string, orden int, geom {MULTIPOLYGON}")
+    points = [(1, 0.0005 + 0.001 * i, 0.002) for i in range(15)] + [(None, 0.0015, 0.002)]
+    df = spark.createDataFrame(points, "id long, lng double, lat double")
+    one = spatial.assign_zone(df, table)
+    expected = one.collect()
+    monkeypatch.setattr(spatial, "SHAPES_PER_ROW", 2)
+    several = spatial.assign_zone(df, table)
+    assert several.columns == one.columns and sorted(map(repr, several.collect())) == sorted(map(repr, expected))
+    assert {r["lng"]: r["corregimiento_asignado"] for r in expected}[0.0005] == "s00"
+    assert expected[0]["corregimiento_asignado"] is not None and len(expected) == len(points)
+
+
+def test_points_of_a_thin_shape_are_spread(spark):
+    from predia.functions.geo import MULTIPOLYGON
+    from predia.plans.zone_health import display_points
+
+    thin = [[[(0.0, 0.0), (1.0, 1.0), (1.0, 1.001), (0.0, 0.001)]]]
+    shapes = spark.createDataFrame([("Z", thin)], f"nombre string, geom {MULTIPOLYGON}")
+    zones = spark.createDataFrame([("Z", None)], "nombre string, hereda_de string")
+    listings = spark.range(500).selectExpr("id AS listing_id", "'Z' AS corregimiento")
+    got = display_points(listings, zones, shapes).collect()
+    assert len({(r["lng"], r["lat"]) for r in got}) == 500
+    assert all(0 <= r["lat"] - r["lng"] <= 0.001 + 1e-12 for r in got)
+    assert 0.4 < sum(r["lng"] for r in got) / 500 < 0.6
+
+
+def test_unknown_category_fails_the_drift_gate(spark):
+    from predia.operators.gates import drift
+
+    df = spark.createDataFrame([("a",)] * 8 + [("new",)] * 2, "luz string")
+    got = {r["luz"]: (r["n"], round(r["delta"], 6), r["violaciones"]) for r in drift(df, "luz", {"a": 0.8, "b": 0.03}, 5).collect()}
+    assert got == {"a": (8, 0.0, 0), "b": (0, -3.0, 0), "new": (2, 20.0, 1)}
+
+
+def test_crosstab_counts_values_off_the_list(spark):
+    from predia.operators.aggregates import crosstab_share
+
+    df = spark.createDataFrame([("r", "a"), ("r", "b"), ("r", "other"), ("r", "other")], "f string, c string")
+    assert {r["c"]: r["share"] for r in crosstab_share(df, "f", "c", ["a", "b"]).collect()} == {"a": 0.25, "b": 0.25}
+
+
+def test_centres_by_list_and_by_join_agree(spark, monkeypatch):
+    from predia.plans import models
+
+    centres = spark.createDataFrame([(i, float(i * 10 % 70), float(i)) for i in range(20)], "cluster_id long, x double, y double")
+    rows = spark.createDataFrame([(i, float(i % 83), float(i % 11)) for i in range(200)] + [(999, None, 1.0)], "listing_id long, x double, y double")
+    one = {r["listing_id"]: r["cluster_id"] for r in models.nearest_centre(rows, centres, ["x", "y"]).collect()}
+    monkeypatch.setattr(models, "MAX_LISTED_CENTRES", 5)
+    assert {r["listing_id"]: r["cluster_id"] for r in models.nearest_centre(rows, centres, ["x", "y"]).collect()} == one
+    assert one[999] is None
+
+
+def test_vectors_without_direction_are_left_out(spark):
+    from predia.operators.vector_search import vector_topk
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 1.0])], "listing_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.1]), (8, None), (9, [0.0, 0.0])], "query_id long, vector array<double>")
+    assert [(r["query_id"], r["listing_id"]) for r in vector_topk(queries, vectors, 5).orderBy("rank").collect()] == [(7, 1), (7, 4)]
+
+
+def test_profiles_are_scored_in_blocks(spark, monkeypatch):
+    from predia.plans import matching
+
+    profiles = [{"perfil": f"p{i}", "corregimientos": ["z"], "bedrooms_min": i} for i in range(3)]
+    vectors = spark.createDataFrame([("p0", [1.0, 0.0]), ("p1", [1.0, 1.0]), ("p2", None)], "perfil string, vector array<double>")
+    rows = spark.createDataFrame([(1, "z", 1.0, 2.0, 3.0, [1.0, 0.5]), (2, "z", 1.0, 0.0, 3.0, None), (3, "y", 1.0, 1.0, 3.0, [0.0, 1.0])],
+                                 "listing_id long, corregimiento string, price_usd double, bedrooms double, area_m2 double, embedding array<double>")
+    one = sorted(map(repr, matching.profile_scores(rows, vectors, profiles).collect()))
+    monkeypatch.setattr(matching, "MAX_QUERY_CELLS", 2)
+    assert sorted(map(repr, matching.profile_scores(rows, vectors, profiles).collect())) == one and len(one) == 9
+
+
+def test_search_takes_singular_type_names(spark):
+    from predia.plans.orchestration import enriched_search
+
+    listings = spark.createDataFrame([(1, [1.0, 0.0], "Z", "Apartamentos", 5.0, 1.0, 1.0, 9.0), (2, [1.0, 0.0], "Z", "Casas", 5.0, 1.0, 1.0, 9.0)],
+                                     "listing_id long, embedding array<double>, corregimiento string, tipo_inmueble string, price_usd double, bedrooms double, bathrooms double, area_m2 double")
+    request = spark.createDataFrame([(4, [1.0, 0.0], None, "Apartamento", None, None, None, None)],
+                                    "consulta_id long, vector array<double>, zona string, tipo_pedido string, precio_min double, precio_max double, habitaciones_min double, banos_min double")
+    got = enriched_search(request, listings, lambda found: found.selectExpr(
+        "listing_id", "'verde' AS categoria_semaforo", "1.0 AS precio_predicho", "5 AS n_comparables"), F.lit(None).cast("string")).collect()
+    assert [(r["listing_id"], r["categoria_semaforo"]) for r in got] == [(1, "verde")]

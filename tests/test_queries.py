@@ -62,7 +62,7 @@ def test_queries_without_sql_run(spark):
     left = set(registry.load()) - set(ORACLES)
     assert left == {
         "c23_fingerprint", "j10_vector_topk_hashed", "v13_random_forest", "v14_feature_importance",
-        "v16_forest_with_embedding", "v17_kmeans_sweep", "v18_kmeans_segments", "z9_display_points",
+        "v16_forest_with_embedding", "v17_kmeans_sweep", "v18_kmeans_segments",
     }
     for name in ("c23_fingerprint", "j10_vector_topk_hashed"):
         assert E.queries()[name](spark, DATA).count() > 0
