@@ -108,10 +108,11 @@ def sequence(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = keyed(conversations)
     rows = chained(turns)
     nodes = rows.groupBy("node").agg(F.first("parent", True).alias("parent"))
-    children = nodes.groupBy("parent").agg(F.count("*").alias("children")).filter(F.col("parent").isNotNull())
-    branches = nodes.join(children, "parent", "left").filter(F.col("parent").isNull() | (F.col("children") > 1))
+    below = nodes.filter(F.col("parent").isNotNull())
+    forks = below.groupBy("parent").agg(F.count("*").alias("children")).filter(F.col("children") > 1)
+    branches = nodes.filter(F.col("parent").isNull()).select("node").unionByName(below.join(forks, "parent").select("node"))
     # Only the turns after a branch tell the paths of two conversations apart.
-    steps = rows.select("conv", "k", "node").join(branches.select("node"), "node")
+    steps = rows.select("conv", "k", "node").join(branches, "node")
     paths = steps.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("k", "node"))).alias("path"))
     paths = paths.select("conv", F.transform("path", lambda s: s["node"]).alias("path"))
     paths = paths.withColumn("tree", F.element_at("path", 1))
