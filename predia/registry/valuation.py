@@ -162,7 +162,7 @@ def _(spark, d):
 
 @entry("v13_random_forest")
 def _(spark, d):
-    return L.forest_report(pool(spark, d), folds=3, trees=20, depth=6)
+    return L.forest_report(pool(spark, d), folds=5, trees=20, depth=6)
 
 
 @entry("v14_feature_importance")
@@ -170,27 +170,32 @@ def _(spark, d):
     return L.importance_ranking(pool(spark, d), trees=20, depth=6)
 
 
-@entry("v15_model_comparison", sql(f"""
-, m AS (SELECT 1 AS orden, 'knn' AS modelo, avg(abs(precio_real - precio_predicho)) FILTER (WHERE cubo < 80) AS mae_cv, avg(abs(precio_real - precio_predicho)) FILTER (WHERE cubo >= 80) AS mae_test FROM estimate
-  UNION ALL SELECT 2, 'media', avg(abs(price_usd - (SELECT avg(price_usd) FROM train))) FILTER (WHERE cubo < 80), avg(abs(price_usd - (SELECT avg(price_usd) FROM train))) FILTER (WHERE cubo >= 80) FROM pool)
+@entry("v15_model_comparison", oof_sql(f"""
+, f AS (SELECT pliegue, sum(price_usd) AS s, count(*) AS n FROM train GROUP BY 1),
+media AS (SELECT t.pliegue, avg(abs(t.price_usd - (x.s - f.s) / (x.n - f.n))) AS mae FROM train t JOIN f USING (pliegue), (SELECT sum(s) AS s, sum(n) AS n FROM f) x GROUP BY 1),
+m AS (SELECT 1 AS orden, 'knn' AS modelo, (SELECT avg(mae) FROM fold) AS mae_cv, avg(abs(precio_real - precio_predicho)) AS mae_test FROM {ESTIMATE_TEST}
+  UNION ALL SELECT 2, 'media', (SELECT avg(mae) FROM media), avg(abs(price_usd - (SELECT avg(price_usd) FROM train))) FROM pool WHERE cubo >= 80)
 SELECT modelo, round(mae_cv, 4) AS mae_cv, round(mae_test, 4) AS mae_test, round(mae_test / (SELECT avg(price_usd) FROM pool) * 100, 6) AS pct_precio_medio,
-  round(abs(mae_test - b) / b * 100, 6) AS diferencia_pct, abs(mae_test - b) / b * 100 > 15 AS supera_umbral FROM m, (SELECT mae_test AS b FROM m WHERE orden = 1)""").replace("\n\n, m AS", ",\nm AS"))
+  round(abs(mae_test - b) / b * 100, 6) AS diferencia_pct, abs(mae_test - b) / b * 100 > 15 AS supera_umbral FROM m, (SELECT mae_test AS b FROM m WHERE orden = 1)"""))
 def _(spark, d):
-    """The neighbour model next to the plain mean of the training prices."""
+    """The neighbour model next to the plain mean of the training prices, both over the same folds."""
     p = pool(spark, d)
-    train = p.filter("es_train")
-    split = p.select("listing_id", "es_train")
-    knn = W.priced(W.estimates(W.comparables(p, train)), p).join(split, "listing_id")
+    train, test = p.filter("es_train"), p.filter("not es_train")
+    knn_cv = W.cv_errors(W.out_of_fold(train)).agg(F.avg("mae").alias("mae_cv"))
+    knn_test = W.priced(W.estimates(W.comparables(test, train)), test).agg(
+        F.avg(F.abs(F.col("precio_real") - F.col("precio_predicho"))).alias("mae_test"))
+    folds = cut(train.groupBy("pliegue").agg(F.sum("price_usd").alias("s"), F.count("*").alias("n")))
+    whole = folds.agg(F.struct(F.sum("s").alias("s"), F.sum("n").alias("n")).alias("x")).scalar()
+    others = folds.select("pliegue", ((whole["s"] - F.col("s")) / (whole["n"] - F.col("n"))).alias("media"))
+    plain_cv = train.join(others, "pliegue").groupBy("pliegue").agg(F.avg(F.abs(F.col("price_usd") - F.col("media"))).alias("mae"))
+    plain_cv = plain_cv.agg(F.avg("mae").alias("mae_cv"))
     mean = train.agg(F.avg("price_usd").alias("m")).scalar()
-    plain = p.select("es_train", F.col("price_usd").alias("precio_real"), mean.alias("precio_predicho"))
+    plain_test = test.agg(F.avg(F.abs(F.col("price_usd") - mean)).alias("mae_test"))
 
-    def errors(df, name, order):
-        off = F.abs(F.col("precio_real") - F.col("precio_predicho"))
-        return df.agg(
-            F.avg(F.when(F.col("es_train"), off)).alias("mae_cv"), F.avg(F.when(~F.col("es_train"), off)).alias("mae_test")
-        ).select(F.lit(order).alias("orden"), F.lit(name).alias("modelo"), "mae_cv", "mae_test")
+    def row(order, name, cv, held_out):
+        return cv.select(F.lit(order).alias("orden"), F.lit(name).alias("modelo"), "mae_cv", held_out.scalar().alias("mae_test"))
 
-    metrics = cut(errors(knn, "knn", 1).unionByName(errors(plain, "media", 2)))
+    metrics = cut(row(1, "knn", knn_cv, knn_test).unionByName(row(2, "media", plain_cv, plain_test)))
     got = W.model_comparison(metrics, p.agg(F.avg("price_usd").alias("m")).scalar())
     return got.select(
         "modelo", F.round("mae_cv", 4).alias("mae_cv"), F.round("mae_test", 4).alias("mae_test"),
@@ -204,7 +209,7 @@ def _(spark, d):
     joined = pool(spark, d).withColumn(
         "vec_id", F.pmod("listing_id", vectors.agg(F.count("*").alias("n")).scalar())
     ).join(vectors.select("vec_id", "embedding"), "vec_id")
-    return L.forest_report(joined, folds=2, embedding=True, trees=10, depth=5)
+    return L.forest_report(joined, folds=5, embedding=True, trees=10, depth=5)
 
 
 def segment_rows(spark, d):
