@@ -176,13 +176,14 @@ def _packages(folder: str, most: int, zip64: bool):
         # A lost task leaves a package that no manifest row names; names are never used twice.
         package, n, written = None, 0, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for page_id, url, html, first in zip(*batch.columns):
                 if package is None:
                     path = f"{folder}/{uuid.uuid4().hex}.wacz"
                     package, n = Package(path, zip64), 0
-                payload = row["html"] or b""
-                revisit = row["first"] is not None and row["page_id"] != row["first"]
-                package.add(row["page_id"], record(row["page_id"], clean(row["url"]), payload, digest(payload), row["first"], revisit))
+                # One row at a time is taken out of the batch, as pages can be long.
+                page_id, payload, first = page_id.as_py(), html.as_py(), first.as_py()
+                revisit = first is not None and page_id != first
+                package.add(page_id, record(page_id, clean(url.as_py()), payload, digest(payload), first, revisit))
                 n += 1
                 if package.at >= most:
                     package.close()
@@ -267,10 +268,11 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 def read_records(packages: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the packages; payloads of responses are checked against their digest.
 
-    Index lines are dealt out anew in the order of their places, so a large package is read by
-    several tasks.
+    Index lines are dealt out anew in the order of their places, to as many tasks as there are
+    packages; the lines are short against what they stand for, so their size says nothing.
     """
-    places = index(packages).repartitionByRange("path", "start").sortWithinPartitions("path", "start")
+    n = max(packages.count(), 1)
+    places = index(packages).repartitionByRange(n, "path", "start").sortWithinPartitions("path", "start")
     schema = ", ".join([*FIELDS, "payload binary"] if payloads else FIELDS)
     return places.mapInArrow(lambda batches: _read(batches, payloads), schema)
 
