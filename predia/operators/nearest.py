@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from predia.session import cut
 
 ANY = "*"
+MAX_LISTED_ANCHORS = 64
 SLACK = 1 + 1e-9  # cells are found with rounded arithmetic, so the bound is widened a little
 
 
@@ -229,9 +230,30 @@ def nearest_join(
 def nearest_on_earth(
     anchors: DataFrame, points: DataFrame, anchor_id: str, point_id: str, by: list[str] | None = None
 ) -> DataFrame:
-    """Nearest point per anchor (columns lat, lng) with the haversine distance in metres."""
+    """Nearest point per anchor (columns lat, lng) with the haversine distance in metres; ties go to
+    the lower point id.
+
+    A short list of anchors is measured and goes to every point's row: one scan of the points and one
+    row per anchor out of each task. More anchors meet the points in the neighbour join.
+    """
     from predia.functions.geo import haversine_m, unit_sphere
 
+    by = by or []
+    listed = anchors.select(*by, anchor_id, F.col("lat").cast("double"), F.col("lng").cast("double")).limit(MAX_LISTED_ANCHORS + 1).collect()
+    if len(listed) <= MAX_LISTED_ANCHORS:
+        names = [f"_a{i}" for i in range(len(by))]
+        types = dict(anchors.select(*by, anchor_id).dtypes)
+        one = ", ".join(f"{n}: {types[b]}" for n, b in zip([*names, "_anchor"], [*by, anchor_id]))
+        kind = f"array<struct<{one}, _lat: double, _lng: double>>"
+        rows = F.array(*[F.struct(*[F.lit(v) for v in r]) for r in listed]).cast(kind)
+        met = points.select(*[F.col(b).alias(f"_p{i}") for i, b in enumerate(by)], F.col(point_id).alias("_point"), "lat", "lng", F.inline(rows))
+        for i in range(len(by)):
+            met = met.filter(F.col(f"_p{i}") == F.col(f"_a{i}"))
+        distance = haversine_m("_lat", "_lng", "lat", "lng")
+        best = met.filter(distance.isNotNull()).groupBy(*names, "_anchor").agg(F.min(F.struct(distance.alias("d"), F.col("_point").alias("p"))).alias("b"))
+        return best.select(*[F.col(n).alias(b) for n, b in zip(names, by)], F.col("_anchor").alias(anchor_id),
+                           F.col("b.p").alias(point_id), F.col("b.d").alias("distancia_m"))
+
     def placed(df: DataFrame, key: str) -> DataFrame:
         xyz = [c.alias(n) for c, n in zip(unit_sphere("lat", "lng"), ("sx", "sy", "sz"))]
         return df.select(*(by or []), key, "lat", "lng", *xyz)

@@ -226,6 +226,13 @@ def merge_attempts(attempts: DataFrame, key: str = "listing_id") -> DataFrame:
     )
 
 
+def pending_attempts(attempts: DataFrame, wanted: DataFrame, key: str = "listing_id") -> DataFrame:
+    """Ids of `wanted` without a successful attempt, with the number of failed ones: the next retry."""
+    tried = attempts.groupBy(key).agg(F.count_if(F.col("score").isNull()).alias("fallidos"), F.count("score").alias("_ok"))
+    return wanted.select(key).distinct().join(tried, key, "left").filter(F.coalesce("_ok", F.lit(0)) == 0).select(
+        key, F.coalesce("fallidos", F.lit(0)).cast("bigint").alias("fallidos"))
+
+
 def model_equivalence(left: DataFrame, right: DataFrame, key: str, columns: list[str], threshold: float = 1.0) -> DataFrame:
     """Paired differences of two models per dimension: mean and maximum absolute, share at or over."""
     a = left.select(key, *[F.col(c).alias(f"a_{c}") for c in columns])

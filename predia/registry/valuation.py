@@ -323,6 +323,18 @@ def _(spark, d):
     return got.select("listing_id", F.coalesce("score", F.lit(-1)).alias("score"), "valido", "intento")
 
 
+@entry("v23_pending_attempts", """
+SELECT c_custkey AS listing_id, coalesce(n, 0)::BIGINT AS fallidos FROM customer LEFT JOIN (
+  SELECT user_id, count(*) FILTER (WHERE event_id % 3 <> 0) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS ok FROM events GROUP BY 1) ON user_id = c_custkey
+WHERE coalesce(ok, 0) = 0""")
+def _(spark, d):
+    k = F.col("event_id")
+    attempts = V.table(spark, d, "events").select(
+        F.col("user_id").alias("listing_id"), F.when(k % 3 == 0, k % 5 + 1).alias("score"), k.alias("intento")
+    )
+    return W.pending_attempts(attempts, V.table(spark, d, "customer").select(F.col("c_custkey").alias("listing_id")))
+
+
 AMENITIES = ["the", "tion", "eau", "sch", "que", "onen"]
 UNITS = [" of ", " de "]
 PRICE = r"\$|\d{4}"

@@ -122,7 +122,12 @@ def _(spark, d):
     return S.missing_keys(required, V.table(spark, d, "documents").select(F.col("doc_id").alias("k")), "k")
 
 
-@entry("u5_split_report", sql("SELECT 0::BIGINT AS en_ambos, count(*) - count(*) AS en_ninguno, 0::BIGINT AS ajenos FROM listing"))
+@entry("u5_split_report", sql("""
+SELECT count(*) FILTER (WHERE listing_id % 3 <> 0 AND listing_id % 5 = 0) AS en_ambos, count(*) FILTER (WHERE listing_id % 3 = 0 AND listing_id % 5 <> 0) AS en_ninguno,
+  (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT listing_id FROM listing)) AS ajenos FROM listing"""))
 def _(spark, d):
-    df = W.with_split(V.listing(spark, d).select("listing_id"))
-    return S.split_report(df, df.filter("es_train"), df.filter("not es_train"), "listing_id")
+    """A split with rows in both parts, in none, and rows that are no listing."""
+    df = V.listing(spark, d).select("listing_id")
+    strays = V.table(spark, d, "labels").select(F.col("doc_id").alias("listing_id")).join(df, "listing_id", "left_anti")
+    train = df.filter("listing_id % 3 <> 0").unionByName(strays)
+    return S.split_report(df, train, df.filter("listing_id % 5 = 0"), "listing_id")

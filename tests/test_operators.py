@@ -365,3 +365,18 @@ def test_search_takes_singular_type_names(spark):
     got = enriched_search(request, listings, lambda found: found.selectExpr(
         "listing_id", "'verde' AS categoria_semaforo", "1.0 AS precio_predicho", "5 AS n_comparables"), F.lit(None).cast("string")).collect()
     assert [(r["listing_id"], r["categoria_semaforo"]) for r in got] == [(1, "verde")]
+
+
+def test_listed_and_joined_anchors_agree(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    anchors = spark.createDataFrame([(i, "ab"[i % 2], draw.uniform(8, 9), draw.uniform(-80, -79)) for i in range(20)], "zona long, t string, lat double, lng double")
+    points = spark.createDataFrame([(i, "ab"[i % 2], draw.uniform(8, 9), draw.uniform(-80, -79)) for i in range(300)], "id long, t string, lat double, lng double")
+
+    def found():
+        return {(r["t"], r["zona"]): (r["id"], round(r["distancia_m"], 6)) for r in N.nearest_on_earth(anchors, points, "zona", "id", by=["t"]).collect()}
+
+    listed = found()
+    monkeypatch.setattr(N, "MAX_LISTED_ANCHORS", 5)
+    assert found() == listed and len(listed) == 20
