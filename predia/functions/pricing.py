@@ -65,11 +65,11 @@ def model_coverage(
     zone, kind = col(zone), col(kind)
     zones = K.MODEL_ZONES if zones is None else zones
     outside_zone = F.when(
-        ~zone.isin(zones), F.concat(F.lit("'"), zone, F.lit("' fuera del pool de entrenamiento"))
+        ~zone.isin(zones), F.concat(F.lit("'"), zone, F.lit("' no entra en el modelo de precio"))
     )
     outside_type = F.when(
         type_plural(kind) != model_type,
-        F.concat(F.lit("tipo_inmueble '"), kind, F.lit("' fuera del pool de entrenamiento")),
+        F.concat(F.lit("tipo_inmueble '"), kind, F.lit("' no entra en el modelo de precio")),
     )
     known = zone.isNotNull() & kind.isNotNull()
     reasons = F.concat_ws("; ", outside_zone, outside_type)

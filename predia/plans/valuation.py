@@ -125,7 +125,7 @@ def failure_reason(
     )
     missing = F.col("bedrooms").isNull() | F.col("bathrooms").isNull() | F.col("area_m2").isNull()
     return (
-        F.when(missing, "faltan bedrooms/bathrooms/area_m2")
+        F.when(missing, "sin dormitorios, baños o superficie")
         .when(F.col("tipo_inmueble") != model_type, "tipo fuera del pool")
         .when(outside, "zona fuera del pool")
         .when(F.col("price_usd").isNull(), "sin precio real")

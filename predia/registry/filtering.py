@@ -128,8 +128,8 @@ def _(spark, d):
 SELECT listing_id, coalesce(CASE WHEN bedrooms IS NULL THEN NULL ELSE (a IS NULL AND b IS NULL)::VARCHAR END, '?') AS cubierto,
   coalesce(CASE WHEN bedrooms IS NOT NULL AND (a IS NOT NULL OR b IS NOT NULL) THEN concat_ws('; ', a, b) END, '-') AS motivo FROM (
   SELECT listing_id, bedrooms,
-    CASE WHEN corregimiento IN ('NATION_7', 'NATION_8', 'zona_no_determinada') THEN '''' || corregimiento || ''' fuera del pool de entrenamiento' END AS a,
-    CASE WHEN tipo_inmueble <> 'BUILDING' THEN 'tipo_inmueble ''' || tipo_inmueble || ''' fuera del pool de entrenamiento' END AS b FROM listing)"""))
+    CASE WHEN corregimiento IN ('NATION_7', 'NATION_8', 'zona_no_determinada') THEN '''' || corregimiento || ''' no entra en el modelo de precio' END AS a,
+    CASE WHEN tipo_inmueble <> 'BUILDING' THEN 'tipo_inmueble ''' || tipo_inmueble || ''' no entra en el modelo de precio' END AS b FROM listing)"""))
 def _(spark, d):
     # A listing without rooms stands for a request that names no type.
     df = V.listing(spark, d).withColumn("kind", F.when(F.col("bedrooms").isNotNull(), F.col("tipo_inmueble")))

@@ -128,8 +128,8 @@ SELECT consulta_id, n AS n_candidatos, c AS n_con_semaforo, CASE
   WHEN c = 0 THEN n || ' propiedades coinciden, ninguna con semáforo de precio (' || coalesce(m, primero) || ').'
   WHEN c < n THEN n || ' propiedades coinciden, ' || c || ' con semáforo de precio.' ELSE n || ' propiedades coinciden, todas con semáforo de precio.' END AS respuesta
 FROM (SELECT p.consulta_id, p.zona, coalesce(k.n, 0) AS n, coalesce(k.c, 0) AS c, k.primero, CASE WHEN p.zona IS NOT NULL AND p.tipo_pedido IS NOT NULL THEN nullif(concat_ws('; ',
-    CASE WHEN p.zona IN ('NATION_7', 'NATION_8') THEN '''' || p.zona || ''' fuera del pool de entrenamiento' END,
-    CASE WHEN p.tipo_pedido <> 'BUILDING' THEN 'tipo_inmueble ''' || p.tipo_pedido || ''' fuera del pool de entrenamiento' END), '') END AS m
+    CASE WHEN p.zona IN ('NATION_7', 'NATION_8') THEN '''' || p.zona || ''' no entra en el modelo de precio' END,
+    CASE WHEN p.tipo_pedido <> 'BUILDING' THEN 'tipo_inmueble ''' || p.tipo_pedido || ''' no entra en el modelo de precio' END), '') END AS m
   FROM pedido p LEFT JOIN (SELECT consulta_id, count(*) AS n, count(luz) AS c, arg_min(motivo, rank) AS primero FROM resultado GROUP BY 1) k USING (consulta_id))"""))
 def _(spark, d):
     zones = [f"NATION_{i}" for i in range(24) if i not in (7, 8)]

@@ -106,8 +106,11 @@ def _(spark, d):
 
 
 @entry("s9_update_column", sql("""
-SELECT l.listing_id, coalesce(q.quality, -1) AS quality FROM listing l LEFT JOIN labels q ON q.doc_id = l.listing_id"""))
+SELECT l.listing_id, coalesce(q.quality, -1) AS quality, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT listing_id FROM listing)) AS claves_sin_fila
+FROM listing l LEFT JOIN labels q ON q.doc_id = l.listing_id"""))
 def _(spark, d):
     base = V.listing(spark, d).select("listing_id", F.lit(-1).alias("quality"))
     updates = V.table(spark, d, "labels").select(F.col("doc_id").alias("listing_id"), "quality")
-    return O.update_column(base, updates, "listing_id", "quality")
+    # The labels hold keys that are no listing, so the strict form would refuse them: they are counted.
+    unknown = updates.join(base.select("listing_id"), "listing_id", "left_anti").agg(F.count("*").alias("n")).scalar()
+    return O.update_column(base, updates, "listing_id", "quality", strict=False).withColumn("claves_sin_fila", unknown)

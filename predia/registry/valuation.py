@@ -100,7 +100,7 @@ def _(spark, d):
     return priced(spark, d).select("listing_id", P.light_by_share("diferencia_porcentual", 0.15).alias("luz"))
 
 
-REASON_SQL = """CASE WHEN bedrooms IS NULL OR bathrooms IS NULL OR area_m2 IS NULL THEN 'faltan bedrooms/bathrooms/area_m2'
+REASON_SQL = """CASE WHEN bedrooms IS NULL OR bathrooms IS NULL OR area_m2 IS NULL THEN 'sin dormitorios, baños o superficie'
   WHEN tipo_inmueble <> 'BUILDING' THEN 'tipo fuera del pool' WHEN corregimiento IN ('NATION_7', 'NATION_8') THEN 'zona fuera del pool' END"""
 
 

@@ -51,8 +51,14 @@ def load_atomically(df: DataFrame, path: str, checks: list[Callable[[DataFrame],
     return spark.read.parquet(path)
 
 
-def update_column(base: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Base with one column replaced where `updates` has the key. Keys of updates are unique."""
+def update_column(base: DataFrame, updates: DataFrame, key: str, column: str, strict: bool = True) -> DataFrame:
+    """Base with one column replaced where `updates` has the key.
+
+    Unknown or repeated keys among the updates are an error before anything is written; without
+    `strict` unknown ones are left out and keys must be unique.
+    """
+    if strict:
+        check_update(base, updates, key)
     new = updates.select(key, F.col(column).alias("_new"), F.lit(True).alias("_hit"))
     value = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column)) if column in base.columns else F.col("_new")
     return base.join(new, key, "left").withColumn(column, value).drop("_new", "_hit")
