@@ -33,7 +33,7 @@ def _(spark, d):
     bucket = F.floor(F.col("event_id") / 1000)
     arrays = V.table(spark, d, "events").groupBy(bucket.alias("b")).agg(F.collect_list(record).alias("r"))
     # A file holds one array, so each array is one line of its own file.
-    arrays.select("b", F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")).write.partitionBy("b").text(path)
+    arrays.select(F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return R.read_json_array(spark, path, "event_id bigint, event_type string, value double").select("event_id", "event_type", "value")
 
 
@@ -58,7 +58,7 @@ def _(spark, d):
     ))
     collections = V.poi(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("b")).agg(F.collect_list(feature).alias("f"))
     text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join("f", ","), F.lit("]}"))
-    collections.select("b", text.alias("value")).write.partitionBy("b").text(path)
+    collections.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     rows = R.read_geojson(spark, path)
     lng = F.from_json("coordenadas", "array<double>")[0]
     return rows.select(

@@ -22,7 +22,8 @@ def read_partitioned_csv(spark: SparkSession, path: str, schema: str) -> DataFra
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files each holding one JSON array of records; one task per file."""
+    """Files each holding one JSON array of records; a file is read by one task and should fit it
+    (some hundred MB), larger exports belong in JSON Lines."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
@@ -32,7 +33,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: position, properties map, geometry type, coordinates JSON, file."""
+    """One row per feature: position, properties map, geometry type, coordinates JSON, file.
+
+    A collection is read by one task and should fit it, as in `read_json_array`.
+    """
     return (
         spark.read.schema(S.GEOJSON).option("multiLine", True).json(path)
         .select(F.input_file_name().alias("archivo"), F.posexplode("features").alias("orden", "f"))
