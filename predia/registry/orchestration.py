@@ -42,11 +42,43 @@ def classified(spark, d):
     return O.classify(V.query_log(spark, d), RULES)
 
 
-@entry("q1_intent", intent_sql("""
-SELECT consulta_id, tema AS es_consulta_inmobiliaria, coalesce(zona, '-') AS zona, coalesce(mencion, '-') AS zona_mencion_texto, coalesce(tipo, '-') AS tipo_inmueble, confianza FROM classified"""))
+# Wishes with numbers, added to the queries by key.
+WISHES = [" entre $100,000 y 250,000", " hasta $ 90.000", " desde $5,000 con 3 habitaciones", " con 2 baños y 4 cuartos", ""]
+
+
+def _number_sql(pattern: str, group: int = 1) -> str:
+    return f"try_cast(regexp_replace(regexp_extract(t, '{pattern}', {group}), '[,.]', '', 'g') AS DOUBLE)"
+
+
+FULL_INTENT = rf"""deseo AS (SELECT consulta_id, consulta, lower(consulta) AS t FROM (
+  SELECT consulta_id, consulta || {WISHES!r}[consulta_id % 5 + 1] AS consulta FROM query_log)),
+campos AS (SELECT *, [z FOR z IN ['thon', 'eauen', 'schen'] IF contains(t, z)] AS zs,
+    coalesce({_number_sql(RULES.range_price)}, {_number_sql(RULES.min_price)}) AS minimo,
+    coalesce({_number_sql(RULES.range_price, 2)}, {_number_sql(RULES.max_price)}) AS maximo,
+    {_number_sql(RULES.rooms)}::INT AS habitaciones, {_number_sql(RULES.baths)}::INT AS banos,
+    CASE WHEN contains(t, 'erhe') THEN 'Casa' WHEN contains(t, 'tion') THEN 'Apartamento' END AS tipo, contains(t, 'onen') OR contains(t, 'que ') AS vago FROM deseo),
+anclas AS (SELECT *, (len(zs) = 1)::INT + (tipo IS NOT NULL)::INT + (minimo IS NOT NULL OR maximo IS NOT NULL)::INT
+  + (habitaciones IS NOT NULL)::INT + (banos IS NOT NULL)::INT AS n FROM campos)"""
+
+
+def full_intent_sql(body: str) -> str:
+    head = sql("SELECT 1 FROM query_log")
+    return head[: head.rindex("\n")] + ",\n" + FULL_INTENT + "\n" + body
+
+
+@entry("q1_intent", full_intent_sql(r"""
+SELECT consulta_id, contains(t, 'the') OR contains(t, 'eau') OR contains(t, 'sch') AS es_consulta_inmobiliaria, CASE WHEN len(zs) = 1 THEN zs[1] ELSE '-' END AS zona,
+  CASE WHEN len(zs) > 0 THEN array_to_string(zs, ' / ') ELSE coalesce(nullif(regexp_extract(consulta, '(?:^|\s)(?:of|de|in)\s+([a-zA-Z]{4,})', 1), ''), '-') END AS zona_mencion_texto,
+  coalesce(tipo, '-') AS tipo_inmueble, coalesce(minimo, -1) AS precio_min, coalesce(maximo, -1) AS precio_max, coalesce(habitaciones, -1) AS habitaciones_min,
+  coalesce(banos, -1) AS banos_min, CASE WHEN len(zs) > 1 THEN 0.3 WHEN n = 0 THEN 0.2 WHEN NOT vago THEN 0.95 WHEN n >= 3 THEN 0.8 WHEN n = 2 THEN 0.6 ELSE 0.35 END::DOUBLE AS confianza
+FROM anclas"""))
 def _(spark, d):
-    return classified(spark, d).select(
-        "consulta_id", "es_consulta_inmobiliaria", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("zona", "zona_mencion_texto", "tipo_inmueble")], "confianza"
+    wish = F.get(F.array(*map(F.lit, WISHES)), (F.col("consulta_id") % 5).cast("int"))
+    asked = V.query_log(spark, d).withColumn("consulta", F.concat("consulta", wish))
+    return O.classify(asked, RULES).select(
+        "consulta_id", "es_consulta_inmobiliaria", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("zona", "zona_mencion_texto", "tipo_inmueble")],
+        *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("precio_min", "precio_max")],
+        *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("habitaciones_min", "banos_min")], "confianza",
     )
 
 
