@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from predia import constants as K
-from predia.functions.text import any_of, keyword_rule
 from predia.operators.scale import min_max_score, rank_all, top_per_group
 from predia.operators.vector_search import MAX_QUERY_CELLS, ROUND
 from predia.session import cut
@@ -54,21 +53,25 @@ def rule_matches(listings: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined.filter(within("price_usd") & within("bedrooms") & within("area_m2"))
 
 
-def keyword_match(profiles: list[dict], text: str = "descripcion", source: str = "descripcion_fuente") -> Column:
-    """Keyword rule of the row's own profile."""
-    return any_of([
-        (F.col("perfil") == p["perfil"])
-        & keyword_rule(text, source, p.get("incluye", []), p.get("excluye", []))
-        for p in profiles
-    ])
+def keyword_match(text: str = "descripcion", source: str = "descripcion_fuente") -> Column:
+    """Keyword rule of the row's own profile: the word lists are columns (incluye, excluye)."""
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
 
+    def holds(words: str) -> Column:
+        return F.exists(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: F.contains(lowered, w))
 
-def ground_truth(listings: DataFrame, profiles: list[dict] | None = None) -> DataFrame:
-    """(perfil, listing_id, cualitativo, descripcion_fuente) for every structural match."""
-    profiles = K.PROFILES if profiles is None else profiles
-    table = profile_table(listings.sparkSession, profiles).drop("incluye", "excluye")
+    free = F.coalesce(F.size("incluye") == 0, F.lit(True)) | F.col("incluye").isNull()
+    return (free | holds("incluye")) & ~holds("excluye") & F.coalesce(F.col(source) != "ninguna", F.lit(True))
+
+
+def ground_truth(listings: DataFrame, profiles: list[dict] | DataFrame | None = None) -> DataFrame:
+    """(perfil, listing_id, cualitativo, descripcion_fuente) for every structural match.
+
+    Profiles are a list, or a table in PROFILE_SCHEMA of any size.
+    """
+    table = profiles if isinstance(profiles, DataFrame) else profile_table(listings.sparkSession, profiles)
     return rule_matches(listings, table).select(
-        "perfil", "listing_id", keyword_match(profiles).alias("cualitativo"), "descripcion_fuente"
+        "perfil", "listing_id", keyword_match().alias("cualitativo"), "descripcion_fuente"
     )
 
 

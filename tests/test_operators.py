@@ -380,3 +380,26 @@ def test_listed_and_joined_anchors_agree(spark, monkeypatch):
     listed = found()
     monkeypatch.setattr(N, "MAX_LISTED_ANCHORS", 5)
     assert found() == listed and len(listed) == 20
+
+
+def test_profiles_can_be_a_table(spark):
+    from predia.plans import matching
+
+    profiles = [{"perfil": f"p{i}", "corregimientos": ["z", "y"][: 1 + i % 2], "bedrooms_min": i % 3,
+                 "incluye": [["sol"], []][i % 2], "excluye": [[], ["ruido"]][i % 2]} for i in range(30)]
+    listings = spark.createDataFrame(
+        [(1, "z", 1.0, 2.0, 3.0, "con SOL", "completa"), (2, "y", 1.0, 1.0, 3.0, "con ruido", "preview"), (3, "z", 1.0, 1.0, 3.0, None, "ninguna")],
+        "listing_id long, corregimiento string, price_usd double, bedrooms double, area_m2 double, descripcion string, descripcion_fuente string")
+    table = matching.profile_table(spark, profiles)
+    by_list = sorted(map(repr, matching.ground_truth(listings, profiles).collect()))
+    assert sorted(map(repr, matching.ground_truth(listings, table).collect())) == by_list and by_list
+    kept = {(r["perfil"], r["listing_id"]) for r in matching.ground_truth(listings, profiles).collect() if r["cualitativo"]}
+    expected = set()
+    for p in profiles:
+        for r in listings.collect():
+            text = (r["descripcion"] or "").lower()
+            words = not p["incluye"] or any(w in text for w in p["incluye"])
+            if r["corregimiento"] in p["corregimientos"] and r["bedrooms"] >= p["bedrooms_min"] and words and not any(
+                    w in text for w in p["excluye"]) and r["descripcion_fuente"] != "ninguna":
+                expected.add((p["perfil"], r["listing_id"]))
+    assert kept == expected
