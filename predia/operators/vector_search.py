@@ -65,33 +65,46 @@ def _search(
     best_d = [np.empty(0)] * n
     best_id = [np.empty(0, dtype="int64")] * n
     worst = np.full(n, np.inf)
+    # Queries with equal equality bounds only meet the rows that have those values.
+    groups: dict[tuple, list[int]] = {}
+    for i, own in enumerate(bounds):
+        groups.setdefault(tuple((c, v) for op, c, v in own if op == "eq"), []).append(i)
     for batch in batches:
         if not len(batch):
             continue
-        ids = batch["id"].to_numpy()
-        unit = _unit_of(batch, "v").T
-        columns = _columns(batch, criteria)
-        masks: dict[tuple, np.ndarray] = {}  # equal bounds of different queries share a mask
-        step = max(1, MAX_QUERY_CELLS // len(batch))
-        for start in range(0, n, step):
-            distance = np.round(1.0 - q_unit[start:start + step] @ unit, ROUND) + 0.0  # no negative zero
-            for i in range(len(distance)):
-                for op, c, v in bounds[start + i]:
-                    if (op, c, v) not in masks:
-                        masks[op, c, v] = ~_mask(v, op, columns[c])
-                    distance[i][masks[op, c, v]] = np.inf
-            hits = (distance <= worst[start:start + step, None]) & np.isfinite(distance)
-            for i in np.flatnonzero(hits.any(axis=1)):
-                q, near = start + i, np.flatnonzero(hits[i])
-                if len(near) > 4 * k:
-                    row = distance[i][near]
-                    near = near[row <= np.partition(row, k - 1)[k - 1]]
-                d = np.concatenate([best_d[q], distance[i][near]])
-                who = np.concatenate([best_id[q], ids[near]])
-                order = np.lexsort((who, d))[:k]
-                best_d[q], best_id[q] = d[order], who[order]
-                if len(order) == k:
-                    worst[q] = d[order[-1]]
+        every_id = batch["id"].to_numpy()
+        every_unit = _unit_of(batch, "v").T
+        every_column = _columns(batch, criteria)
+        for equal, members in groups.items():
+            kept = np.flatnonzero(np.logical_and.reduce(
+                [np.ones(len(every_id), bool), *[_mask(v, "eq", every_column[c]) for c, v in equal]]))
+            if not len(kept):
+                continue
+            ids, unit = every_id[kept], every_unit[:, kept]
+            columns = {c: x[kept] for c, x in every_column.items()}
+            masks: dict[tuple, np.ndarray] = {}  # equal bounds of different queries share a mask
+            step = max(1, MAX_QUERY_CELLS // len(kept))
+            for start in range(0, len(members), step):
+                part = np.array(members[start:start + step])
+                distance = np.round(1.0 - q_unit[part] @ unit, ROUND) + 0.0  # no negative zero
+                for i, q in enumerate(part):
+                    for op, c, v in bounds[q]:
+                        if op != "eq":
+                            if (op, c, v) not in masks:
+                                masks[op, c, v] = ~_mask(v, op, columns[c])
+                            distance[i][masks[op, c, v]] = np.inf
+                hits = (distance <= worst[part, None]) & np.isfinite(distance)
+                for i in np.flatnonzero(hits.any(axis=1)):
+                    q, near = part[i], np.flatnonzero(hits[i])
+                    if len(near) > 4 * k:
+                        row = distance[i][near]
+                        near = near[row <= np.partition(row, k - 1)[k - 1]]
+                    d = np.concatenate([best_d[q], distance[i][near]])
+                    who = np.concatenate([best_id[q], ids[near]])
+                    order = np.lexsort((who, d))[:k]
+                    best_d[q], best_id[q] = d[order], who[order]
+                    if len(order) == k:
+                        worst[q] = d[order[-1]]
     return pd.DataFrame({
         "query_id": np.repeat(queries["query_id"].to_numpy(), [len(d) for d in best_d]),
         "id": np.concatenate(best_id), "distancia": np.concatenate(best_d),
