@@ -21,34 +21,66 @@ def _filesystem(spark: SparkSession, path: str):
     return jvm, hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+POINTER = "_current"
+
+
 def load_atomically(df: DataFrame, path: str, checks: list[Callable[[DataFrame], None]]) -> DataFrame:
-    """Replace a table only if the staged copy passes every check; else the old one stays.
+    """Publish a new version of a table only if it passes every check; else the old one stays.
 
-    The checks read the written files, so what was checked is what is published. The old copy is
-    moved aside and put back if the swap fails.
+    Each load is a folder of its own under `path`, and what readers follow is a small pointer file
+    that is replaced last, in one rename: there is always a whole table to read. The checks read the
+    written files, so what was checked is what is published. Older versions stay for readers under
+    way, until `drop_old_versions`.
     """
     spark = df.sparkSession
-    token = uuid.uuid4().hex
-    staging, backup = f"{path}.staging-{token}", f"{path}.old-{token}"
-    df.write.mode("error").parquet(staging)
-    jvm, staged, fs = _filesystem(spark, staging)
-    target, kept = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(backup)
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(f"{path}/{version}")
+    jvm, staged, fs = _filesystem(spark, f"{path}/{version}")
     try:
         for check in checks:
-            check(spark.read.parquet(staging))
+            check(spark.read.parquet(f"{path}/{version}"))
     except Exception:
         fs.delete(staged, True)
         raise
-    replaced = fs.exists(target)
-    if replaced and not fs.rename(target, kept):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(staged, target):
-        if replaced:
-            fs.rename(kept, target)
-        raise OSError(f"cannot publish {path}")
-    if replaced:
-        fs.delete(kept, True)
-    return spark.read.parquet(path)
+    Path, fresh = jvm.org.apache.hadoop.fs.Path, f"{path}/{POINTER}.{version}"
+    out = fs.create(Path(fresh), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(Path(fresh)), fs.makeQualified(Path(f"{path}/{POINTER}")), how)
+    return read_current(spark, path)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    jvm, pointer, fs = _filesystem(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    held = fs.open(pointer)
+    try:
+        return bytes(held.readAllBytes()).decode()
+    finally:
+        held.close()
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of the table that the pointer names."""
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no published table in {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete every version but the current one; for when no reader is on an older one."""
+    version = _current(spark, path)
+    _, folder, fs = _filesystem(spark, path)
+    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("version-") and s.getPath().getName() != version]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
 
 
 def update_column(base: DataFrame, updates: DataFrame, key: str, column: str, strict: bool = True) -> DataFrame:
