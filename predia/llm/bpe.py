@@ -24,8 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_CHARS = 24_000_000
-BLOCK_WORDS = 400_000
+BLOCK_CHARS = 12_000_000
+BLOCK_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 
 

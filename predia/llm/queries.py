@@ -66,4 +66,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op7_pii_contexts, op8_source_mix, op9_pseudo_likelihood, op10_byte_bpe,
 )}
-ORACLES: dict[str, str] = {}
+
+def _escaped(text: str) -> str:
+    for mark in ("\\", "#", "<"):
+        text = f"replace({text}, '{mark}', '\\{mark}')"
+    return text
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: 160 bits of SHA-1 in eight groups of 20, each four characters of five bits.
+_DIGEST = " || ".join(
+    f"substr('{_BASE32}', ((('0x' || substr(h, {5 * group + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+    for group in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op2_chat_prefix_tree": f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRAP}' UNION ALL SELECT -7, 1, 'assistant', '{TRAP}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || replace({_escaped("role")}, ':', '\\:') || ': ' || {_escaped("text")} || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
+    "op5_warc_packages": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS erste FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {_DIGEST} AS payload_digest, CASE WHEN page_id = erste THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> erste THEN erste END AS refers_to FROM q""".replace("erste", "first_id"),
+}

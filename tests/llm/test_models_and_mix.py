@@ -212,6 +212,20 @@ def test_every_operator_is_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    expected = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in expected.description]
+    assert sorted(names) == sorted(got.columns)
+    assert bag(tuple(r) for r in got.select(names).collect()) == bag(expected.fetchall())
+
+
 def test_pipeline_against_plain_stages(spark, tokenizer):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     given = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
