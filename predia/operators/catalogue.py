@@ -85,8 +85,9 @@ CRUMB_LIST = r'(?s)<ol[^>]*class="[^"]*nb-breadcrumb-list[^"]*"[^>]*>(.*?)</ol>'
 CRUMB_ITEM = r"(?s)<li[^>]*>(.*?)</li>"
 FULL_TEXT = r'(?s)<(\w+)[^>]*class="[^"]*nb-desc-full-content[^"]*"[^>]*>(.*?)</\1>'
 PREVIEW_TEXT = r'(?s)<(\w+)[^>]*class="[^"]*nb-desc-preview[^"]*"[^>]*>(.*?)</\1>'
-GALLERY = r'(?s)ib-prop-gallery-main.*'
-IMAGE_SOURCE = r'<img[^>]*?\ssrc="([^"]+)"'
+GALLERY = r'(?s)<div\b[^>]*\bib-prop-gallery-main\b.*'
+SLIDE = r'(?i)\bclass\s*=\s*["\'][^"\']*\bswiper-slide\b'
+IMAGE_SOURCE = r'(?i)\ssrc\s*=\s*["\']([^"\']+)'
 CRUMB_MARKS = ["", "›", ">", "&rsaquo;", "&gt;"]
 
 
@@ -147,9 +148,8 @@ def fetch_state(url: Column, error: Column, parsed: Column) -> Column:
     )
 
 
-def absolute_urls(html: Column, base: Column, scope: str = GALLERY, pattern: str = IMAGE_SOURCE) -> Column:
-    """Addresses matched inside the scope, in page order, made absolute against the page."""
-    part = F.regexp_extract(html, scope, 0)
+def _absolute(base: Column):
+    """Make an address absolute against the page's."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
@@ -165,7 +165,35 @@ def absolute_urls(html: Column, base: Column, scope: str = GALLERY, pattern: str
             .otherwise(F.concat(folder, u))
         )
 
-    return F.transform(F.regexp_extract_all(part, F.lit(pattern), 1), join)
+    return join
+
+
+def absolute_urls(html: Column, base: Column, pattern: str) -> Column:
+    """Addresses matched on a page, in page order, made absolute against the page."""
+    return F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), _absolute(base))
+
+
+def gallery_urls(html: Column, base: Column) -> Column:
+    """Images of the gallery's slides, in page order, made absolute against the page.
+
+    Opening and closing blocks are counted from the gallery's own tag on, so images after its end or
+    outside its slides are left out; a gallery that is never closed ends with the page.
+    """
+    tags = F.regexp_extract_all(F.regexp_extract(html, GALLERY, 0), F.lit(r"(?i)</?div\b[^>]*>|<img\b[^>]*>"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("slide"), F.lit(False).alias("over"),
+                     F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, tag: Column) -> Column:
+        image = tag.rlike("(?i)^<img")
+        closing = tag.startswith("</")
+        depth = s["depth"] + F.when(image, 0).when(closing, -1).otherwise(1)
+        slide = F.when(closing & (depth < s["slide"]), 0).when(
+            ~image & ~closing & (s["slide"] == 0) & tag.rlike(SLIDE), depth).otherwise(s["slide"])
+        source = F.when(image & ~s["over"] & (s["slide"] > 0), F.nullif(F.regexp_extract(tag, IMAGE_SOURCE, 1), F.lit("")))
+        return F.struct(depth.alias("depth"), slide.alias("slide"), (s["over"] | (depth <= 0)).alias("over"),
+                        F.concat(s["found"], F.array_compact(F.array(source))).alias("found"))
+
+    return F.transform(F.aggregate(tags, start, step, lambda s: s["found"]), _absolute(base))
 
 
 def pending_enrichment(rows: DataFrame, done: DataFrame | None = None) -> DataFrame:

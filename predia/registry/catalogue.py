@@ -143,13 +143,29 @@ def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", state.alias("s")).select("page_id", "s.*")
 
 
-# The pages hold no images, so the same routine runs on links.
+# The pages hold links, and images are put in by key: a gallery of two slides, others outside it.
+@entry("c9_gallery_images", r"""
+SELECT page_id, pos, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || '/f' || page_id || '_' || pos || '.jpg' AS imagen
+FROM pages, (SELECT unnest([0, 1])::BIGINT AS pos)""")
+def _(spark, d):
+    key = F.col("page_id").cast("string")
+    block = F.concat(
+        F.lit('<img src="/antes.jpg"><div class="x ib-prop-gallery-main y"><img src="/fuera.jpg"><div class="a swiper-slide"><div><img alt="" src="/f'),
+        key, F.lit("_0.jpg\"></div></div><div class='swiper-slide'><img src='/f"), key,
+        F.lit("_1.jpg'></div></div><div class=\"pie\"><div class=\"swiper-slide\"><img src=\"/logo.png\"></div></div>"),
+    )
+    images = C.gallery_urls(F.concat(F.col("html"), block), F.col("url"))
+    return V.table(spark, d, "pages").select("page_id", F.posexplode(images)).select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("imagen")
+    )
+
+
 @entry("c9_absolute_links", r"""
 SELECT page_id, (i - 1)::BIGINT AS pos, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) || u AS enlace
 FROM (SELECT page_id, url, unnest(h) AS u, generate_subscripts(h, 1) AS i
   FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*?\shref="([^"]+)"', 1) AS h FROM pages))""")
 def _(spark, d):
-    links = C.absolute_urls(F.col("html"), F.col("url"), r"(?s).*", r'<a[^>]*?\shref="([^"]+)"')
+    links = C.absolute_urls(F.col("html"), F.col("url"), r'<a[^>]*?\shref="([^"]+)"')
     return V.table(spark, d, "pages").select("page_id", F.posexplode(links)).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("enlace")
     )

@@ -146,13 +146,14 @@ def test_zone_cascade(spark):
 def test_detail_page(spark):
     page = """<ol class="x nb-breadcrumb-list"><li>Inicio</li><li>›</li><li>Venta</li><li><a>Apartamentos</a></li><li>Zona</li></ol>
       <div class="nb-desc-preview">corta</div><div class="nb-desc-full-content">Linda <b>vista</b> al mar</div>
-      <div class="ib-prop-gallery-main"><img src="/files/a.jpg"><img alt="x" src="b.jpg"><img src="https://o.com/c.jpg"></div>"""
+      <div class="ib-prop-gallery-main"><div class="swiper-slide"><img src="/files/a.jpg"><img alt="x" src='b.jpg'></div>
+      <img src="/outside.jpg"><div class="swiper-slide"><div><img src="https://o.com/c.jpg"></div></div></div><footer><img src="/logo.png"></footer>"""
     df = spark.createDataFrame([(page,), (page.replace("nb-desc-full-content", "z"),), ("<p>nada</p>",)], "h string")
     got = [r[0] for r in df.select(C.detail_fields(F.col("h"))).collect()]
     assert tuple(got[0]) == ("Apartamentos", "Linda vista al mar", "completa", "ok")
     assert tuple(got[1]) == ("Apartamentos", "corta", "preview", "ok")
     assert tuple(got[2]) == ("", "", "ninguna", "sin_ambos")
-    urls = df.limit(1).select(C.absolute_urls(F.col("h"), F.lit("https://s.com/p/uno.htm?x=1"))).first()[0]
+    urls = df.limit(1).select(C.gallery_urls(F.col("h"), F.lit("https://s.com/p/uno.htm?x=1"))).first()[0]
     assert urls == ["https://s.com/files/a.jpg", "https://s.com/p/b.jpg", "https://o.com/c.jpg"]
 
 
