@@ -10,7 +10,8 @@ tables.
 Defined results: null or empty text has fingerprint zero and links like any other; fewer than three
 words are one shingle; repeated rows share a fingerprint; a null doc_id takes part and is never the
 smallest unless all are null; empty input gives empty output; other columns are ignored by
-`components` and carried along by `first_of_each`.
+`components` and carried along by `first_of_each`, which keeps one row of every component, whatever
+ids its rows share with those of others.
 """
 
 from __future__ import annotations
@@ -62,13 +63,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1)
         got = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(got.view(np.int64))})
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_pydict({**{n: batch[n] for n in names}, "fp": pa.array(got.view(np.int64))})
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document, fp as a signed 64-bit integer."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried, fp) of every document, fp as a signed 64-bit integer like those carried."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), *carried)
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in ("doc_id", *carried, "fp")))
 
 
 def _cell(fp: Column, words: int) -> Column:
@@ -189,14 +191,19 @@ def connected(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(groups: DataFrame, radius: int, tile: int, words: int | None) -> DataFrame:
+    """(fp, first, root) of (fp, first), a row per fingerprint: root is the same in a whole component."""
+    roots = connected(links(groups.select("fp"), radius, tile, words))
+    return groups.join(roots, groups["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def components(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, own included."""
     rows = cut(fingerprints(docs))
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(groups.select("fp"), radius, tile, words))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(groups, radius, tile, words)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(firsts, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -209,13 +216,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def first_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each component: the smallest doc_id, once.
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes of the whole row; as hashes skip nulls, where they stand is hashed too."""
+    held = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    nulls = F.concat(*[F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")) for c in held])
+    return [F.xxhash64(nulls, *held).alias("_row_a"), F.xxhash64(F.lit(7), nulls, *held).alias("_row_b")]
+
+
+def first_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int | None = None) -> DataFrame:
+    """One row of each component: the smallest doc_id (null after all others), then by a hash.
 
-    Rows that repeat a doc_id are one document when their texts link; rows without a doc_id are
-    kept when none of their component has one, once for each component.
+    Rows are told apart by all their columns, so a doc_id or null that stands in several components
+    stays once in each of them. Only rows that are equal throughout are interchangeable.
     """
-    found = components(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("doc_id").agg(F.first("fp").alias("_fp"))
-    rows = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    return rows.drop("_kept_id").dropDuplicates(["doc_id"])
+    keyed = docs.select("*", *_row_key(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_a", "_row_b")
+    groups = cut(fingerprints(keyed, ("_row_a", "_row_b")).groupBy("fp").agg(F.min(place).alias("first")))
+    firsts = _rooted(groups, radius, tile, words).groupBy("root").agg(F.min("first").alias("first"))
+    rows = keyed.join(firsts.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"])
+    return rows.dropDuplicates(["_row_a", "_row_b"]).select(docs.columns)
