@@ -36,7 +36,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    labels = quality.given_labels(spark, f"{sf_dir}/labels.parquet")
+    return quality.judge(table(spark, sf_dir, "documents"), labels)
 
 
 def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
