@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import bpe, chat, fingerprints, licenses, mixing, pii, quality, scoring, simhash, warc
+from predia.llm import bpe, chat, fingerprints, licenses, lines, mixing, pii, quality, scoring, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op7_pii_contexts, op8_source_mix, op9_pseudo_likelihood, op10_byte_bpe,
+    op12_line_runs,
 )}
 
 def _escaped(text: str) -> str:
@@ -96,4 +101,13 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS erste FROM p)
 SELECT page_id, strlen(html) AS payload_bytes, {_DIGEST} AS payload_digest, CASE WHEN page_id = erste THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> erste THEN erste END AS refers_to FROM q""".replace("erste", "first_id"),
+    "op12_line_runs": f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
+p AS (SELECT doc_id, unnest(every) AS line, generate_subscripts(every, 1) AS place FROM t),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.UPPER}', '{lines.LOWER}') AS line_key FROM p),
+g AS (SELECT line_key, max(doc_id) AS last FROM k WHERE length(line_key) >= 20 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, g.last IS NOT NULL AND g.last <> k.doc_id AS lost FROM k LEFT JOIN g USING (line_key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
 }
