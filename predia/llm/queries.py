@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from predia.llm import bpe, chat, fingerprints, licenses, lines, mixing, pii, quality, scoring, simhash, warc
+from predia.llm import bpe, chat, fingerprints, licenses, lines, mixing, pii, quality, scoring, search, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +68,13 @@ def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_syncmer_fingerprints, op2_chat_prefix_tree, op3_license_scan, op4_quality_rules, op5_warc_packages, op6_simhash_tiles, op7_pii_contexts, op8_source_mix, op9_pseudo_likelihood, op10_byte_bpe,
-    op12_line_runs,
+    op12_line_runs, op13_block_max_search,
 )}
 
 def _escaped(text: str) -> str:
@@ -86,6 +90,11 @@ _DIGEST = " || ".join(
     for group in range(8) for shift in (15, 10, 5, 0)
 )
 
+def _terms(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), '{lines.UPPER}', '{lines.LOWER}')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_prefix_tree": f"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
@@ -110,4 +119,14 @@ m AS (SELECT k.*, g.last IS NOT NULL AND g.last <> k.doc_id AS lost FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op13_block_max_search": f"""
+WITH d AS (SELECT doc_id, {_terms("text")} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS held, sum(len(terms))::BIGINT AS words FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(held) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+x AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * held) // words))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
 }
