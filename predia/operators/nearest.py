@@ -5,17 +5,20 @@ one-hot form of a category adds exactly 2). Ties go to the lower reference id.
 
 1. Equal reference vectors share one row that keeps only the lowest ids any answer can use, and
    equal query vectors are searched once. A vector held by a third of all rows is one row.
-2. Space is cut into grids of doubling width, the finest one fitted to the middle of the values, so
-   that a few far values add coarse grids and do not widen the fine ones. For each query cell the finest grid whose own cell
-   already holds k references gives a proven upper bound of the k-th distance.
-3. Each query is joined by equality to the cells its bound can reach, and only references within
-   the bound are ranked. Nothing is capped: a query whose surroundings are empty uses a coarser
-   grid, down to the one cell that holds everything, where fewer than k references exist.
+2. Space is cut into grids of halving width, from one cell that holds everything down to 2^-49 of it.
+   Only cells that still hold enough references are cut further, a few grids per pass, so the depth
+   follows the population: two dense clusters far apart are cut as finely as one. A cell keeps its
+   count and the box its references fill.
+3. The finest cell around a query that holds k references gives, by its box, a proven upper bound of
+   the k-th distance. The query is joined by equality to the cells its bound can reach, on the finest
+   grid as wide as the bound. A reached cell that is crowded, because the query stands outside of a
+   cluster, is replaced by its children, whose boxes tighten the bound, until none is.
+4. Only references within the bound are ranked. Nothing is capped: where fewer than k references
+   exist, the one cell that holds everything is met.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,22 +28,80 @@ from predia.session import cut
 ANY = "*"
 MAX_LISTED_ANCHORS = 64
 SLACK = 1 + 1e-9  # cells are found with rounded arithmetic, so the bound is widened a little
+DEPTH = 49  # halvings below the one cell; cell numbers stay exact in doubles
+STEP = 4  # grids counted in one pass over the references
+CROWD = 512  # distinct vectors of a cell that are met as they are
 
 
-def _extent(frames: list[DataFrame], scaled: list[Column]) -> tuple[list[tuple[float, float]], float]:
-    """Least and greatest value per axis, and the widest middle part of an axis."""
-    both = None
-    for df in frames:
-        part = df.select(*[c.alias(f"x{i}") for i, c in enumerate(scaled)])
-        both = part if both is None else both.unionByName(part)
-    row = both.agg(
-        *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(scaled)) for n, f in (("lo", F.min), ("hi", F.max))],
-        *[F.percentile_approx(f"x{i}", [0.02, 0.1, 0.9, 0.98], 1000).alias(f"p{i}") for i in range(len(scaled))],
-    ).first()
-    extent = [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(scaled))]
-    parts = [row[f"p{i}"] or [0.0] * 4 for i in range(len(scaled))]
-    middle = max(p[2] - p[1] for p in parts) or max(p[3] - p[0] for p in parts)
-    return extent, middle
+def _extent(frames: list[DataFrame], scaled: list[Column]) -> list[tuple[float, float]]:
+    """Least and greatest value per axis."""
+    both = reduce(DataFrame.unionByName, [df.select(*[c.alias(f"x{i}") for i, c in enumerate(scaled)]) for df in frames])
+    row = both.agg(*[f(f"x{i}").alias(f"{n}{i}") for i in range(len(scaled)) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return [(row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0) for i in range(len(scaled))]
+
+
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+class _Grids:
+    """Cells of the references and how many they hold, as deep as their population asks for."""
+
+    def __init__(self, protos: DataFrame, by: list[str], dims: int, need: int, width: float):
+        self.by, self.dims, self.need, self.width = by, dims, need, width
+        self.gs, self.cs, self.ss = ([f"{n}{i}" for i in range(dims)] for n in "gcs")
+        self.boxes = [f"{n}{i}" for i in range(dims) for n in ("lo", "hi")]
+        self.cells, self.lowest = self._count(protos)
+
+    def at(self, level: Column | int) -> list[Column]:
+        shift = F.pow(F.lit(2.0), level if isinstance(level, Column) else F.lit(level))
+        return [F.floor(F.col(c) / shift).alias(g) for c, g in zip(self.cs, self.gs)]
+
+    def _grouped(self, rows: DataFrame, n: Column, v: Column, lo: str, hi: str, keys: list[str]) -> DataFrame:
+        box = [f(f"{src}{i}").alias(f"{out}{i}") for i in range(self.dims) for f, src, out in ((F.min, lo, "lo"), (F.max, hi, "hi"))]
+        return rows.groupBy(*keys).agg(n.alias("n"), v.alias("v"), *box)
+
+    def _count(self, protos: DataFrame) -> tuple[DataFrame, int]:
+        """(by, space, level, cell, n, v, box): references and distinct vectors per category and over all.
+
+        Each pass counts a few grids; the references of cells that can still give a finer bound go on.
+        """
+        active = protos.select(*self.by, "cat", *self.cs, *self.ss, F.size("members").alias("n"))
+        found, level = [], DEPTH
+        while True:
+            last = max(level - STEP + 1, 0)
+            spread = active.select(*self.by, "cat", *self.cs, *self.ss, "n", F.explode(F.sequence(F.lit(last), F.lit(level))).alias("level"))
+            spread = spread.select(*self.by, "cat", "level", *self.at(F.col("level")), *self.ss, "n")
+            keys = [*self.by, "level", *self.gs]
+            own = cut(self._grouped(spread, F.sum("n"), F.count("*"), "s", "s", ["cat", *keys]))
+            every = self._grouped(own, F.sum("n"), F.sum("v"), "lo", "hi", keys)
+            named = own.withColumn("space", F.concat(F.lit("="), F.col("cat"))).drop("cat")
+            both = cut(named.unionByName(every.withColumn("space", F.lit(ANY))))
+            found.append(both)
+            deeper = both.filter((F.col("space") == ANY) & (F.col("level") == last) & (F.col("n") >= self.need) & (F.col("v") > 1))
+            if last == 0 or deeper.isEmpty():
+                return reduce(DataFrame.unionByName, found), last
+            inside = active.select("*", *self.at(last)).join(deeper.select(*self.by, *self.gs), [*self.by, *self.gs], "left_semi")
+            active, level = cut(inside.drop(*self.gs)), last - 1
+
+    def bounds(self, vectors: DataFrame) -> DataFrame:
+        """Per query cell of the lowest grid the finest cell with enough references around it, of its own
+        category (`own`) and over all (`every`)."""
+        places = vectors.select(*self.by, "cat", *self.at(self.lowest)).distinct().withColumnsRenamed(dict(zip(self.gs, self.cs)))
+        over = places.select(*self.by, "cat", *self.cs, F.explode(F.sequence(F.lit(self.lowest), F.lit(DEPTH))).alias("level"))
+        over = over.select("*", *self.at(F.col("level") - self.lowest))
+        enough = self.cells.filter(F.col("n") >= self.need)
+        keys = [*self.by, "space", "level", *self.gs]
+        spaces = over.withColumn("space", F.explode(F.array(F.lit(ANY), F.concat(F.lit("="), F.col("cat")))))
+        met = spaces.join(enough, keys).withColumn("b", F.struct("level", *self.boxes))
+        best = met.groupBy(*self.by, "cat", *self.cs).agg(
+            F.min(F.when(F.col("space") == ANY, F.col("b"))).alias("every"), F.min(F.when(F.col("space") != ANY, F.col("b"))).alias("own"))
+        return best.withColumnsRenamed(dict(zip(self.cs, self.gs)))
+
+    def farthest(self, box: str = "") -> Column:
+        """Squared distance from the query to the farthest corner of a box."""
+        far = [F.greatest(F.abs(F.col(f"s{i}") - F.col(f"{box}lo{i}")), F.abs(F.col(f"{box}hi{i}") - F.col(f"s{i}"))) for i in range(self.dims)]
+        return _total([d * d for d in far])
 
 
 def nearest_join(
@@ -56,7 +117,7 @@ def nearest_join(
     payload: list[str] | None = None,
     exclude_self: bool = False,
     by: list[str] | None = None,
-    levels: int = 16,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Rows (by, query_id, rank, ref_id, payload, distance), at most k per query.
 
@@ -67,7 +128,7 @@ def nearest_join(
     weights = weights or [1.0] * len(features)
     need = k + 1 if exclude_self else k
     dims = len(features)
-    fs, cs = [f"f{i}" for i in range(dims)], [f"c{i}" for i in range(dims)]
+    fs = [f"f{i}" for i in range(dims)]
     cat = F.col(category) if category else F.lit("")
     keys = [*by, cat.alias("cat"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, fs)]]
 
@@ -83,98 +144,46 @@ def nearest_join(
     )
     vectors = cut(queries.select(*keys).distinct())
     scaled = [F.col(f) * (w ** 0.5) for f, w in zip(fs, weights)]
-    extent, middle = _extent([vectors, protos], scaled)
-    span = max((hi or 0.0) - (lo or 0.0) for lo, hi in extent) * SLACK or 1.0
-    # Cell numbers stay exact in doubles: at most 50 doublings lie between the grids.
-    far = min(math.ceil(math.log2(span / middle)), 50 - levels) if 0 < middle < span else 0
-    finest, top = span / 2 ** (levels - 1 + far), levels - 1 + far
-    cells0 = [
-        F.floor((x - F.lit(lo or 0.0)) / finest).alias(c) for x, c, (lo, _) in zip(scaled, cs, extent)
-    ]
-    protos = protos.select("*", *cells0)
-    vectors = vectors.select("*", *cells0)
-
-    # 2. bound per query cell
-    level = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
-
-    def at_level(shift: Column) -> list[Column]:
-        return [
-            F.floor(F.col(c) / F.pow(F.lit(2.0), shift)).alias(f"g{i}") for i, c in enumerate(cs)
-        ]
-
-    gs = [f"g{i}" for i in range(dims)]
-    base = protos.groupBy(*by, "cat", *cs).agg(F.sum(F.size("members")).alias("n"))
-    own = (
-        base.select(*by, "cat", *cs, "n", level)
-        .select(*by, "cat", "level", *at_level(F.col("level")), "n")
-        .groupBy(*by, "cat", "level", *gs)
-        .agg(F.sum("n").alias("n"))
-    )
-    width2 = F.pow(F.lit(finest) * F.pow(F.lit(2.0), F.col("level")), F.lit(2.0))
-    qcells = (
-        vectors.select(*by, "cat", *cs).distinct()
-        .select(*by, "cat", *cs, level)
-        .select(*by, "cat", *cs, "level", *at_level(F.col("level")))
-    )
-    enough = own.filter(F.col("n") >= need).drop("n")
-    bounds = qcells.join(enough, [*by, "cat", "level", *gs]).select(
-        *by, "cat", *cs, (F.lit(float(dims)) * width2).alias("r2")
-    )
-    if category:
-        everyone = (
-            own.groupBy(*by, "level", *gs).agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= need).drop("n")
-        )
-        bounds = bounds.unionByName(
-            qcells.join(everyone, [*by, "level", *gs]).select(
-                *by, "cat", *cs, (F.lit(float(dims)) * width2 + penalty).alias("r2")
-            )
-        )
-    best = bounds.groupBy(*by, "cat", *cs).agg(F.min("r2").alias("bound2"))
+    extent = _extent([vectors, protos], scaled)
+    span = max(hi - lo for lo, hi in extent) * SLACK or 1.0
+    finest = span / 2.0**DEPTH
+    fuzz = finest + 4e-16 * dims * max(abs(x) for pair in extent for x in pair)  # rounding of coordinates
+    places = [(x - F.lit(lo)).alias(f"s{i}") for i, (x, (lo, _)) in enumerate(zip(scaled, extent))]
+    cells = [F.floor((x - F.lit(lo)) / finest).alias(f"c{i}") for i, (x, (lo, _)) in enumerate(zip(scaled, extent))]
+    protos = protos.select("*", *places, *cells)
+    vectors = vectors.select("*", *places, *cells)
 
-    # 3. equality join on the cells in reach
-    unbounded = F.lit(float("inf"))
-    ready = vectors.join(best, [*by, "cat", *cs], "left").select(
-        *by, "cat", *fs,
-        F.coalesce(F.col("bound2") * SLACK, unbounded).alias("r2"),
-        # The search grid is the finest one at least as wide as the radius: 3 cells per axis at most.
-        F.coalesce(
-            F.greatest(
-                F.least(F.ceil(F.log2(F.sqrt(F.col("bound2") * SLACK) / finest)), F.lit(top)), F.lit(0)
-            ),
-            F.lit(top),
-        ).cast("int").alias("level"),
-    )
-    crosses = F.col("r2") > penalty if category else F.lit(True)
+    # 2. and the bound of every query from the boxes around it
+    grids = _Grids(protos, by, dims, need, finest)
+    gs, ss = grids.gs, grids.ss
+    own, every = F.when(F.col("own").isNotNull(), grids.farthest("own.")), F.when(F.col("every").isNotNull(), grids.farthest("every."))
+    bounded = vectors.select(*by, "cat", *fs, *ss, *grids.at(grids.lowest)).join(grids.bounds(vectors), [*by, "cat", *gs], "left")
+    widened = F.sqrt(F.least(own, every + penalty if category else every)) * SLACK + fuzz
+    radius, w = F.sqrt("r2"), F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
+    # The search grid is the finest one at least as wide as the radius: 3 cells per axis at most.
+    fitting = F.least(F.greatest(F.ceil(F.log2(radius / finest)), F.lit(grids.lowest)), F.lit(DEPTH))
+    ready = bounded.select(*by, "cat", *fs, *ss, F.coalesce(widened * widened, F.lit(float("inf"))).alias("r2"))
+    ready = ready.withColumn("level", F.when(F.col("r2") < float("inf"), fitting).otherwise(DEPTH).cast("int"))
     # A few bytes per vector here become many cells below, so the rows are spread evenly first.
-    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = cut(ready.withColumn("anywhere", crosses).repartition(spread))
-    # Which grids the queries ended up on: at most two rows per level.
-    used = ready.select("level", "anywhere").distinct().collect()
-    w = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
-    radius = F.sqrt("r2")
-    highest = F.pow(F.lit(2.0), F.lit(top) - F.col("level")) - 1
-
-    def reach(i: int) -> Column:
-        x = F.col(f"f{i}") * (weights[i] ** 0.5) - F.lit(extent[i][0] or 0.0)
-        low = F.greatest(F.floor((x - radius) / w), F.lit(0))
-        high = F.least(F.floor((x + radius) / w).cast("double"), highest)
-        return F.explode(F.sequence(low.cast("bigint"), F.greatest(high.cast("bigint"), low.cast("bigint"))))
-
-    def gap(i: int) -> Column:
-        """Distance from the query to the cell along one axis, a little underestimated."""
-        x = F.col(f"f{i}") * (weights[i] ** 0.5) - F.lit(extent[i][0] or 0.0)
-        lo = F.col(f"g{i}") * w
-        return F.greatest(lo - x, x - lo - w, F.lit(0.0)) * (2 - SLACK)
+    ready = ready.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    # 3. equality join on the cells in reach
+    highest = F.pow(F.lit(2.0), F.lit(DEPTH) - F.col("level")) - 1
     reached = ready
     for i in range(dims):
-        reached = reached.withColumn(f"g{i}", reach(i))
-    gap2 = reduce(lambda a, b: a + b, [gap(i) * gap(i) for i in range(dims)])
-    space = F.when(F.col("anywhere"), ANY).otherwise(F.concat(F.lit("="), F.col("cat")))
-    reached = reached.withColumn("space", space).filter(gap2 <= F.col("r2"))
+        low = F.greatest(F.floor((F.col(f"s{i}") - radius) / w), F.lit(0)).cast("bigint")
+        high = F.least(F.floor((F.col(f"s{i}") + radius) / w).cast("double"), highest).cast("bigint")
+        reached = reached.withColumn(f"g{i}", F.explode(F.sequence(low, F.greatest(high, low))))
+    gaps = [F.greatest(F.col(g) * w - F.col(s) - fuzz, F.col(s) - F.col(g) * w - w - fuzz, F.lit(0.0)) for g, s in zip(gs, ss)]
+    crosses = F.col("r2") > penalty if category else F.lit(True)
+    space = F.when(crosses, ANY).otherwise(F.concat(F.lit("="), F.col("cat")))
+    query, cell = [*by, "cat", *fs], [*by, "space", "level", *gs]
+    pairs = cut(reached.withColumn("space", space).filter(_total([g * g for g in gaps]) <= F.col("r2")).select(*query, *ss, "r2", "space", "level", *gs))
+    pairs = _descended(pairs, grids, query, cell, need, max(crowd, need), penalty if category else 0.0, fuzz)
 
-    grids = F.array(*[
+    # 4. the references of those cells. Which grids are met: at most two rows per level.
+    used = pairs.select("level", (F.col("space") == ANY).alias("anywhere")).distinct().collect()
+    met = F.array(*[
         F.struct(
             F.lit(g["level"]).alias("level"),
             (F.lit(ANY) if g["anywhere"] else F.concat(F.lit("="), F.col("cat"))).alias("space"),
@@ -182,30 +191,27 @@ def nearest_join(
         for g in used
     ]) if used else F.array().cast("array<struct<level:int,space:string>>")
     stored = (
-        protos.select(*by, "cat", *fs, *cs, "members", F.inline(grids))
+        protos.select(*by, "cat", *fs, *grids.cs, "members", F.inline(met))
         .select(*by, F.col("cat").alias("rcat"), *[F.col(f).alias(f"r{f}") for f in fs], "members",
-                "space", "level", *at_level(F.col("level")))
-    )
-    d2 = reduce(
-        lambda a, b: a + b,
-        [
-            F.lit(weights[i]) * (F.col(f"f{i}") - F.col(f"rf{i}")) * (F.col(f"f{i}") - F.col(f"rf{i}"))
-            for i in range(dims)
-        ],
+                "space", "level", *grids.at(F.col("level")))
     )
+    d2 = _total([
+        F.lit(weights[i]) * (F.col(f"f{i}") - F.col(f"rf{i}")) * (F.col(f"f{i}") - F.col(f"rf{i}"))
+        for i in range(dims)
+    ])
     if category:
         d2 = d2 + F.when(F.col("cat") == F.col("rcat"), 0.0).otherwise(F.lit(penalty))
     near = (
-        reached.join(stored, [*by, "space", "level", *gs])
+        pairs.join(stored, cell)
         .withColumn("d2", d2)
         .filter(F.col("d2") <= F.col("r2"))
-        .select(*by, "cat", *fs, "d2", F.explode("members").alias("m"))
-        .select(*by, "cat", *fs, "d2", "m.id", "m.load")
+        .select(*query, "d2", F.explode("members").alias("m"))
+        .select(*query, "d2", "m.id", "m.load")
     )
-    order = Window.partitionBy(*by, "cat", *fs).orderBy("d2", "id")
+    order = Window.partitionBy(*query).orderBy("d2", "id")
     found = (
         near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= need)
-        .groupBy(*by, "cat", *fs)
+        .groupBy(*query)
         .agg(F.sort_array(F.collect_list(F.struct("_r", "id", "load", "d2"))).alias("hits"))
     )
 
@@ -214,7 +220,7 @@ def nearest_join(
     hits = F.col("hits")
     if exclude_self:
         hits = F.filter(hits, lambda h: h["id"] != F.col("_qid"))
-    joined = rows.join(found, [*by, "cat", *fs]).select(
+    joined = rows.join(found, query).select(
         *by, "_qid", F.posexplode(F.slice(hits, 1, k))
     )
     return joined.select(
@@ -227,6 +233,35 @@ def nearest_join(
     )
 
 
+def _descended(
+    pairs: DataFrame, grids: _Grids, query: list[str], cell: list[str], need: int, crowd: int, penalty: float, fuzz: float
+) -> DataFrame:
+    """(query, cell) pairs with every crowded cell replaced by those of its children that the query can
+    need. The children's counts and boxes lower the query's bound at each turn, so what is left of a
+    cluster is its side towards the query."""
+    crowded = grids.cells.filter((F.col("v") > crowd) & (F.col("level") > 0)).select(*cell)
+    if crowded.isEmpty():
+        return pairs
+    crowded, columns = cut(crowded), pairs.columns
+    settled = []
+    while True:
+        dense = pairs.join(crowded, cell, "left_semi")
+        if dense.isEmpty():
+            return reduce(DataFrame.unionByName, [*settled, pairs])
+        settled.append(pairs.join(crowded, cell, "left_anti"))
+        children = dense.withColumn("level", F.col("level") - 1)
+        for g in grids.gs:
+            children = children.withColumn(g, F.explode(F.array(F.col(g) * 2, F.col(g) * 2 + 1)))
+        held = children.join(grids.cells, cell)
+        far = F.sqrt(grids.farthest() + F.when(F.col("space") == ANY, penalty).otherwise(0.0)) * SLACK + fuzz
+        gaps = [F.greatest(F.col(f"lo{i}") - F.col(s) - fuzz, F.col(s) - F.col(f"hi{i}") - fuzz, F.lit(0.0)) for i, s in enumerate(grids.ss)]
+        by_far = Window.partitionBy(*query).orderBy("far2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = held.withColumn("far2", far * far).withColumn("within", F.sum("n").over(by_far))
+        bound = F.min(F.when(F.col("within") >= need, F.col("far2"))).over(Window.partitionBy(*query))
+        tightened = summed.withColumn("r2", F.least("r2", bound)).filter(_total([g * g for g in gaps]) <= F.col("r2"))
+        pairs = cut(tightened.select(*columns))
+
+
 def nearest_on_earth(
     anchors: DataFrame, points: DataFrame, anchor_id: str, point_id: str, by: list[str] | None = None
 ) -> DataFrame:

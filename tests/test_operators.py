@@ -43,6 +43,47 @@ def test_nearest_join_equals_brute_force(spark, weights):
     assert (got.merge(refs[["id", "p"]], left_on="vecino_id", right_on="id").eval("p_x == p_y")).all()
 
 
+def two_clusters(n, seed, gap=1e6):
+    r = np.random.default_rng(seed)
+    far = r.random(n) < 0.5
+    return pd.DataFrame({
+        "id": np.arange(n), "a": r.random(n) + far * gap, "b": r.random(n) - far * gap, "c": r.random(n) * 1e-6, "z": r.choice(list("AB"), n),
+    })
+
+
+def pairs_of(got):
+    return {q: list(g.sort_values("rank").vecino_id) for q, g in got.toPandas().groupby("id")}
+
+
+def test_nearest_join_of_distant_clusters_equals_brute_force(spark):
+    refs = two_clusters(600, 5)
+    df = spark.createDataFrame(refs)
+    got = pairs_of(N.nearest_join(df, df, "id", "id", ["a", "b", "c"], 4, category="z", exclude_self=True, crowd=40))
+    assert got == brute(refs, refs, [1, 1, 1], 4)
+
+
+@pytest.mark.parametrize("category", [None, "z"])
+def test_queries_outside_of_the_clusters_descend_into_them(spark, category):
+    """Queries spread over the empty space around two dense clusters: crowded cells are met child by child."""
+    refs = two_clusters(800, 6, gap=50.0)
+    r = np.random.default_rng(7)
+    queries = pd.DataFrame({"id": np.arange(5000, 5060), "a": r.uniform(-80, 130, 60), "b": r.uniform(-130, 80, 60), "c": 0.0, "z": r.choice(list("ABC"), 60)})
+    if not category:
+        refs, queries = refs.assign(z="A"), queries.assign(z="A")
+    got = N.nearest_join(spark.createDataFrame(queries), spark.createDataFrame(refs), "id", "id", ["a", "b", "c"], 3, category=category, crowd=30)
+    assert pairs_of(got) == brute(queries, refs, [1, 1, 1], 3)
+
+
+def test_grids_follow_the_population(spark):
+    """The clusters are cut until their cells hold few references, and empty space costs no depth."""
+    df = spark.createDataFrame(two_clusters(600, 5)).select(F.lit("").alias("cat"), *[F.floor(F.col(x) / F.lit(2e6 / 2**N.DEPTH) + 2**(N.DEPTH - 1)).alias(f"c{i}") for i, x in enumerate("ab")],
+        F.col("a").alias("s0"), F.col("b").alias("s1"), F.array(F.lit(1)).alias("members"))
+    grids = N._Grids(df, [], 2, 6, 1.0)
+    crowded = grids.cells.filter((F.col("space") == N.ANY) & (F.col("level") == grids.lowest) & (F.col("n") >= 6) & (F.col("v") > 1))
+    assert crowded.isEmpty() and 0 < grids.lowest < 30
+    assert grids.cells.filter((F.col("space") == N.ANY) & (F.col("level") == N.DEPTH - 1)).agg(F.sum("n")).first()[0] == 600
+
+
 def test_nearest_join_with_fewer_references_than_k(spark):
     refs = spark.createDataFrame(sample(3, 3))
     got = N.nearest_join(refs, refs, "id", "id", ["a", "b", "c"], 5, category="z", exclude_self=True)
@@ -274,8 +315,6 @@ def test_neighbour_join_is_not_widened_by_one_far_value(spark):
     for i, x, y in rows:
         near = sorted((j for j, *_ in rows if j != i), key=lambda j: ((rows[j][1] - x) ** 2 + (rows[j][2] - y) ** 2, j))[:3]
         assert [got[i, r] for r in (1, 2, 3)] == near
-    extent, middle = nearest._extent([df], [F.col("x"), F.col("y")])
-    assert extent[0][1] == 1e9 and middle < 1000
 
 
 def test_crowded_cells_give_the_same_zones(spark, monkeypatch):
