@@ -41,9 +41,9 @@ SCALE = 1_000_000
 BEST = 2000
 
 SHARDS = 3
-BLOCK_BYTES = 8 << 20
-#: Bits of a table of frequent phrases; a power of two. 32 MB, whatever the corpus.
-BITS = 1 << 28
+BLOCK_BYTES = 3 << 20
+#: Bits of a table of frequent phrases; a power of two. 16 MB, whatever the corpus.
+BITS = 1 << 27
 _EVEN, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
