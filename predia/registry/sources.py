@@ -27,14 +27,14 @@ def _(spark, d):
 
 @entry("s2_json_array", "SELECT event_id, event_type, value FROM events")
 def _(spark, d):
-    """Arrays of at most one bucket of records each."""
+    """Arrays of at most one bucket of records each, read in splits."""
     path = scratch_path(spark, "json")
     record = F.to_json(F.struct("event_id", "event_type", "value"))
-    bucket = F.floor(F.col("event_id") / 1000)
+    bucket = F.floor(F.col("event_id") / 20_000)
     arrays = V.table(spark, d, "events").groupBy(bucket.alias("b")).agg(F.collect_list(record).alias("r"))
     # A file holds one array, so each array is one line of its own file.
     arrays.select(F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return R.read_json_array(spark, path, "event_id bigint, event_type string, value double").select("event_id", "event_type", "value")
+    return R.read_large_json_array(spark, path, "event_id bigint, event_type string, value double").select("event_id", "event_type", "value")
 
 
 @entry("s3_json_lines", sql("SELECT id, nombre, categoria, round(lat, 6) AS lat FROM poi"))
@@ -56,10 +56,10 @@ def _(spark, d):
         F.struct(F.col("nombre").alias("name"), "categoria", "fuente").alias("properties"),
         F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"),
     ))
-    collections = V.poi(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("b")).agg(F.collect_list(feature).alias("f"))
+    collections = V.poi(spark, d).groupBy(F.floor(F.col("id") / 20_000).alias("b")).agg(F.collect_list(feature).alias("f"))
     text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join("f", ","), F.lit("]}"))
     collections.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    rows = R.read_geojson(spark, path)
+    rows = R.read_large_geojson(spark, path)
     lng = F.from_json("coordenadas", "array<double>")[0]
     return rows.select(
         F.col("propiedades")["name"].alias("nombre"), F.col("propiedades")["categoria"].alias("categoria"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from predia.sources import schemas as S
+from predia.sources.json_split import elements
 
 
 def read_listing_csv(spark: SparkSession, path: str, schema: str = S.LISTING_CSV, suffix: str = "_listings.csv") -> DataFrame:
@@ -23,10 +24,15 @@ def read_partitioned_csv(spark: SparkSession, path: str, schema: str) -> DataFra
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files each holding one JSON array of records; a file is read by one task and should fit it
-    (some hundred MB), larger exports belong in JSON Lines."""
+    (some hundred MB), larger ones are for `read_large_json_array`."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_large_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of `read_json_array`, each file being read in splits by many tasks."""
+    return elements(spark, path, 1).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record per line; blank lines are dropped, files are split."""
     return spark.read.schema(schema).json(path)
@@ -35,7 +41,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: position, properties map, geometry type, coordinates JSON, file.
 
-    A collection is read by one task and should fit it, as in `read_json_array`.
+    A collection is read by one task and should fit it; larger ones are for `read_large_geojson`.
     """
     return (
         spark.read.schema(S.GEOJSON).option("multiLine", True).json(path)
@@ -47,6 +53,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_large_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of `read_geojson`, each file being read in splits by many tasks."""
+    return elements(spark, path, 2).withColumn("f", F.from_json("value", S.FEATURE)).select(
+        F.col("file").alias("archivo"), "orden", F.col("f.properties").alias("propiedades"),
+        F.col("f.geometry.type").alias("tipo_geometria"), F.col("f.geometry.coordinates").alias("coordenadas"),
+    )
+
+
 def read_pagination_log(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return spark.read.schema(S.PAGINATION_LOG).option("header", True).csv(path).withColumn("archivo", name)

@@ -18,7 +18,5 @@ SAFETY_LINES = (
     "corregimiento string, tasa_por_100k double, superficie_km2 double, poblacion_2023 bigint, hereda_de string"
 )
 STATION_LINES = "nombre string, tipo string, lat double, lng double, corregimiento_id string"
-GEOJSON = (
-    "features array<struct<properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: string>>>"
-)
+FEATURE = "properties map<string, string>, geometry struct<type: string, coordinates: string>"
+GEOJSON = f"features array<struct<{FEATURE}>>"
