@@ -8,12 +8,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predia import constants as K
 from predia.operators.nearest import nearest_join
+from predia.operators.silhouette import point_silhouettes
 from predia.plans.valuation import NUMERIC
 from predia.session import cut
 
@@ -61,6 +62,26 @@ def forest_report(df: DataFrame, folds: int = 5, embedding: bool = False, **sett
     )
 
 
+def out_of_fold_model(pipeline: Pipeline, data: DataFrame, folds: int = 5) -> DataFrame:
+    """Prediction of every training row by a model fitted on the other folds, keyed by fold like
+    `valuation.out_of_fold`, so that the same reports read both; data comes from `prepared`."""
+    train = data.filter("es_train")
+    scored = [
+        pipeline.fit(train.filter(F.col("pliegue") != fold)).transform(train.filter(F.col("pliegue") == fold))
+        for fold in range(folds)
+    ]
+    return cut(reduce(DataFrame.unionByName, [_scored(part) for part in scored]))
+
+
+def held_out_model(pipeline: Pipeline, data: DataFrame) -> DataFrame:
+    """Predictions of the test rows by a model fitted on all training rows."""
+    return cut(_scored(pipeline.fit(data.filter("es_train")).transform(data.filter("not es_train"))))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return rows.select("listing_id", "pliegue", F.col("corregimiento").alias("zona"), F.col("price_usd").cast("double").alias("precio_real"), "precio_predicho")
+
+
 def importance_ranking(df: DataFrame, **settings) -> DataFrame:
     """Features by importance, most important first."""
     model = forest(**settings).fit(prepared(df).filter("es_train"))
@@ -88,17 +109,33 @@ def segment_frame(df: DataFrame, scaling: dict[str, tuple[float, float]]) -> Dat
     return df.withColumn("features", array_to_vector(F.array(*scaled)))
 
 
-def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), seed: int = K.SEED) -> DataFrame:
-    """Inertia and silhouette per k, the best silhouette flagged."""
-    data = cut(segment_frame(df, segment_scaling(df)).select("features"))
-    evaluator = ClusteringEvaluator()
+def kmeans_sweep(df: DataFrame, ks: range = range(2, 11), seed: int = K.SEED, exact: bool = True) -> DataFrame:
+    """Inertia and silhouettes per k; the k of the best Euclidean silhouette is flagged.
+
+    That one is exact and quadratic in the number of distinct rows; with `exact` off only Spark's
+    squared-Euclidean form is computed, which is linear, and chosen by.
+    """
+    scaled = cut(segment_frame(df, segment_scaling(df)).select("features"))
+    models = {k: KMeans(k=k, seed=seed, maxIter=30, predictionCol=f"k{k}").fit(scaled) for k in ks}
+    labelled = scaled
+    for model in models.values():
+        labelled = model.transform(labelled)
+    labelled = cut(labelled)
+    euclidean: dict[str, float] = {}
+    if exact:
+        width = len(SEGMENT_FEATURES)
+        named = labelled.withColumn("v", vector_to_array("features")).select(*[F.col("v")[i].alias(f"x{i}") for i in range(width)], *[f"k{k}" for k in ks])
+        points = point_silhouettes(named, [f"x{i}" for i in range(width)], [f"k{k}" for k in ks])
+        means = points.groupBy("labelling").agg((F.sum(F.col("s") * F.col("weight")) / F.sum("weight")).alias("m"))
+        euclidean = {r.labelling: r.m for r in means.collect()}
     rows = []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=30).fit(data)
-        rows.append((k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(data)))))
-    best = max(rows, key=lambda r: r[2])[0]
+    for k, model in models.items():
+        squared = ClusteringEvaluator(predictionCol=f"k{k}").evaluate(labelled)
+        rows.append((k, float(model.summary.trainingCost), float(squared), euclidean.get(f"k{k}")))
+    best = max(rows, key=lambda r: r[3] if exact else r[2])[0]
     return df.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in rows], "k int, inercia double, silhouette double, elegido boolean"
+        [(*r, r[0] == best) for r in rows],
+        "k int, inercia double, silueta_cuadrada double, silueta double, elegido boolean",
     )
 
 

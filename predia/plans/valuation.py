@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from predia import constants as K
@@ -259,6 +261,19 @@ def band_contrast(df: DataFrame, score: str, low: float, high: float, flags: dic
     )
 
 
+def model_metrics(scored: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(orden, modelo, n_cv, n_test, mae_cv, mae_test) from each model's out-of-fold and held-out
+    predictions; the cross-validated figure is the mean over folds."""
+    rows = []
+    for order, (name, (folded, held_out)) in enumerate(scored.items(), 1):
+        per_fold = folded.groupBy("pliegue").agg(F.count("*").alias("n"), mae().alias("mae"))
+        test = held_out.agg(F.struct(F.count("*").alias("n"), mae().cast("double").alias("mae")).alias("t")).scalar()
+        rows.append(per_fold.agg(F.sum("n").alias("n_cv"), F.avg("mae").alias("mae_cv")).select(
+            F.lit(order).alias("orden"), F.lit(name).alias("modelo"), "n_cv", test["n"].alias("n_test"),
+            F.col("mae_cv").cast("double").alias("mae_cv"), test["mae"].alias("mae_test")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def model_comparison(metrics: DataFrame, mean_price: Column, flag_pct: float = 15.0) -> DataFrame:
     """Rows (modelo, mae_cv, mae_test) with percent of the mean price and the gap to the first."""
     base = metrics.agg(F.min_by("mae_test", "orden").alias("m")).scalar()

@@ -9,6 +9,7 @@ from predia.functions import pricing as P, quality as Q
 from predia.functions.text import quality_json
 from predia.operators import aggregates as A, sets as S
 from predia.operators.filters import evaluable, model_pool
+from predia.operators.silhouette import silhouette
 from predia.plans import models as L, valuation as W, views as V
 from predia.registry import entry
 from predia.registry.sql import sql
@@ -160,65 +161,109 @@ def _(spark, d):
     return got.select("zona", F.round("mae", 4).alias("mae"), "n", F.round("vs_global_pct", 6).alias("vs_global_pct"))
 
 
-@entry("v13_random_forest")
+def forest_facts(spark, rows, report):
+    """What must hold of a forest's report: it saw the split's rows, its ratio is that of its errors, and no
+    error is beyond the range of prices, as a forest's prediction is a mean of them."""
+    n = rows.agg(F.struct(F.count_if("es_train").alias("train"), F.count_if(~F.col("es_train")).alias("test")).alias("n")).scalar()
+    spread = rows.agg((F.max("price_usd") - F.min("price_usd")).alias("s")).scalar()
+    ratio = F.abs(F.col("ratio_sobreajuste") - F.col("mae_test") / F.col("mae_train")) < 1e-9
+    return report.select(
+        "modelo", n["train"].alias("n_train"), n["test"].alias("n_test"), ratio.alias("ratio_coherente"),
+        F.least(*[F.col(c).between(0, spread) for c in ("mae_cv", "mae_train", "mae_test")]).alias("en_rango"),
+    )
+
+
+def forest_facts_sql(name: str, rows: str) -> str:
+    return f"""SELECT '{name}' AS modelo, count(*) FILTER (cubo < 80) AS n_train, count(*) FILTER (cubo >= 80) AS n_test,
+  true AS ratio_coherente, true AS en_rango FROM {rows}"""
+
+
+@entry("v13_random_forest", sql(forest_facts_sql("random_forest", "pool")))
 def _(spark, d):
-    return L.forest_report(pool(spark, d), folds=5, trees=20, depth=6)
+    p = pool(spark, d)
+    return forest_facts(spark, p, L.forest_report(p, folds=5, trees=20, depth=6))
 
 
-@entry("v14_feature_importance")
+@entry("v14_feature_importance", sql("""
+SELECT count(DISTINCT corregimiento) FILTER (cubo < 80) + 4 AS n, 1.0::DOUBLE AS suma, true AS en_orden, true AS sin_desconocida FROM pool"""))
 def _(spark, d):
-    return L.importance_ranking(pool(spark, d), trees=20, depth=6)
+    """Importances of every variable sum to one and fall from place to place; no row was of an unknown zone."""
+    ranking = cut(L.importance_ranking(pool(spark, d), trees=20, depth=6))
+    later = ranking.select((F.col("posicion") - 1).alias("posicion"), F.col("importancia").alias("siguiente"))
+    return ranking.join(later, "posicion", "left").agg(
+        F.count("*").alias("n"), F.round(F.sum("importancia"), 9).alias("suma"),
+        F.bool_and(F.coalesce(F.col("importancia") >= F.col("siguiente"), F.lit(True))).alias("en_orden"),
+        F.bool_and((F.col("variable") != "zona___desconocida") | (F.col("importancia") == 0)).alias("sin_desconocida"),
+    )
 
 
 @entry("v15_model_comparison", oof_sql(f"""
 , f AS (SELECT pliegue, sum(price_usd) AS s, count(*) AS n FROM train GROUP BY 1),
 media AS (SELECT t.pliegue, avg(abs(t.price_usd - (x.s - f.s) / (x.n - f.n))) AS mae FROM train t JOIN f USING (pliegue), (SELECT sum(s) AS s, sum(n) AS n FROM f) x GROUP BY 1),
 m AS (SELECT 1 AS orden, 'knn' AS modelo, (SELECT avg(mae) FROM fold) AS mae_cv, avg(abs(precio_real - precio_predicho)) AS mae_test FROM {ESTIMATE_TEST}
-  UNION ALL SELECT 2, 'media', (SELECT avg(mae) FROM media), avg(abs(price_usd - (SELECT avg(price_usd) FROM train))) FROM pool WHERE cubo >= 80)
-SELECT modelo, round(mae_cv, 4) AS mae_cv, round(mae_test, 4) AS mae_test, round(mae_test / (SELECT avg(price_usd) FROM pool) * 100, 6) AS pct_precio_medio,
-  round(abs(mae_test - b) / b * 100, 6) AS diferencia_pct, abs(mae_test - b) / b * 100 > 15 AS supera_umbral FROM m, (SELECT mae_test AS b FROM m WHERE orden = 1)"""))
+  UNION ALL SELECT 2, 'random_forest', NULL, NULL
+  UNION ALL SELECT 3, 'media', (SELECT avg(mae) FROM media), avg(abs(price_usd - (SELECT avg(price_usd) FROM train))) FROM pool WHERE cubo >= 80)
+SELECT modelo, (SELECT count(*) FROM train) AS n_cv, (SELECT count(*) FROM pool WHERE cubo >= 80) AS n_test,
+  coalesce(round(mae_cv, 4), -1) AS mae_cv, coalesce(round(mae_test, 4), -1) AS mae_test,
+  coalesce(round(mae_test / (SELECT avg(price_usd) FROM pool) * 100, 6), -1) AS pct_precio_medio,
+  coalesce(round(abs(mae_test - b) / b * 100, 6), -1) AS diferencia_pct, true AS coherente
+FROM m, (SELECT mae_test AS b FROM m WHERE orden = 1)"""))
 def _(spark, d):
-    """The neighbour model next to the plain mean of the training prices, both over the same folds."""
+    """Neighbours, forest and the plain mean over the same folds and test rows.
+
+    A forest's errors have no SQL, so they are shown as -1 and checked in place: every training row was
+    scored once, in its own fold, within the range of the prices; and the gap to the first model and its
+    flag follow from the errors.
+    """
     p = pool(spark, d)
     train, test = p.filter("es_train"), p.filter("not es_train")
-    knn_cv = W.cv_errors(W.out_of_fold(train)).agg(F.avg("mae").alias("mae_cv"))
-    knn_test = W.priced(W.estimates(W.comparables(test, train)), test).agg(
-        F.avg(F.abs(F.col("precio_real") - F.col("precio_predicho"))).alias("mae_test"))
+    data, pipeline = L.prepared(p), L.forest(trees=20, depth=6)
+    knn = cut(W.out_of_fold(train))
+    forest = L.out_of_fold_model(pipeline, data)
+    priced_test = W.priced(W.estimates(W.comparables(test, train)), test).select("listing_id", "precio_real", "precio_predicho")
     folds = cut(train.groupBy("pliegue").agg(F.sum("price_usd").alias("s"), F.count("*").alias("n")))
     whole = folds.agg(F.struct(F.sum("s").alias("s"), F.sum("n").alias("n")).alias("x")).scalar()
-    others = folds.select("pliegue", ((whole["s"] - F.col("s")) / (whole["n"] - F.col("n"))).alias("media"))
-    plain_cv = train.join(others, "pliegue").groupBy("pliegue").agg(F.avg(F.abs(F.col("price_usd") - F.col("media"))).alias("mae"))
-    plain_cv = plain_cv.agg(F.avg("mae").alias("mae_cv"))
-    mean = train.agg(F.avg("price_usd").alias("m")).scalar()
-    plain_test = test.agg(F.avg(F.abs(F.col("price_usd") - mean)).alias("mae_test"))
-
-    def row(order, name, cv, held_out):
-        return cv.select(F.lit(order).alias("orden"), F.lit(name).alias("modelo"), "mae_cv", held_out.scalar().alias("mae_test"))
-
-    metrics = cut(row(1, "knn", knn_cv, knn_test).unionByName(row(2, "media", plain_cv, plain_test)))
-    got = W.model_comparison(metrics, p.agg(F.avg("price_usd").alias("m")).scalar())
-    return got.select(
-        "modelo", F.round("mae_cv", 4).alias("mae_cv"), F.round("mae_test", 4).alias("mae_test"),
-        F.round("pct_precio_medio", 6).alias("pct_precio_medio"), F.round("diferencia_pct", 6).alias("diferencia_pct"), "supera_umbral",
-    )
-
-
-@entry("v16_forest_with_embedding")
+    others = folds.select("pliegue", ((whole["s"] - F.col("s")) / (whole["n"] - F.col("n"))).alias("precio_predicho"))
+    real = F.col("price_usd").alias("precio_real")
+    plain = train.join(others, "pliegue").select("listing_id", "pliegue", real, "precio_predicho")
+    plain_test = test.select("listing_id", real, train.agg(F.avg("price_usd").alias("m")).scalar().alias("precio_predicho"))
+    scored = {"knn": (knn, priced_test), "random_forest": (forest, L.held_out_model(pipeline, data)), "media": (plain, plain_test)}
+    metrics = cut(W.model_metrics(scored))
+    got = cut(W.model_comparison(metrics, p.agg(F.avg("price_usd").alias("m")).scalar()).join(metrics.select("modelo", "n_cv", "n_test"), "modelo"))
+    base = got.filter(F.col("modelo") == "knn").agg(F.max("mae_test").alias("m")).scalar()
+    twice = forest.groupBy("listing_id").count().filter("count > 1").agg(F.count("*").alias("n")).scalar()
+    strays = forest.join(knn, ["listing_id", "pliegue"], "left_anti").agg(F.count("*").alias("n")).scalar()
+    prices = train.agg(F.struct(F.min("price_usd").alias("lo"), F.max("price_usd").alias("hi")).alias("p")).scalar()
+    beyond = forest.filter(~F.col("precio_predicho").between(prices["lo"], prices["hi"])).agg(F.count("*").alias("n")).scalar()
+    gap = F.abs(F.col("mae_test") - base) / base * 100
+    sound = (F.abs(gap - F.col("diferencia_pct")) < 1e-9) & (F.col("supera_umbral") == (gap > 15)) & (twice == 0) & (strays == 0) & (beyond == 0)
+    shown = {c: F.when(F.col("modelo") == "random_forest", -1.0).otherwise(F.round(c, n)).alias(c)
+             for c, n in (("mae_cv", 4), ("mae_test", 4), ("pct_precio_medio", 6), ("diferencia_pct", 6))}
+    return got.select("modelo", "n_cv", "n_test", *shown.values(), sound.alias("coherente"))
+
+
+@entry("v16_forest_with_embedding", sql(forest_facts_sql(
+    "random_forest_embedding", "pool WHERE listing_id % (SELECT count(*) FROM embeddings) IN (SELECT vec_id FROM embeddings)")))
 def _(spark, d):
     vectors = V.table(spark, d, "embeddings")
-    joined = pool(spark, d).withColumn(
+    joined = cut(pool(spark, d).withColumn(
         "vec_id", F.pmod("listing_id", vectors.agg(F.count("*").alias("n")).scalar())
-    ).join(vectors.select("vec_id", "embedding"), "vec_id")
-    return L.forest_report(joined, folds=5, embedding=True, trees=10, depth=5)
+    ).join(vectors.select("vec_id", "embedding"), "vec_id"))
+    return forest_facts(spark, joined, L.forest_report(joined, folds=5, embedding=True, trees=10, depth=5))
 
 
 def segment_rows(spark, d):
     return pool(spark, d).withColumn("precio_por_m2", P.price_per_m2("price_usd", "area_m2")).filter("precio_por_m2 IS NOT NULL")
 
 
-@entry("v17_kmeans_sweep")
+@entry("v17_kmeans_sweep", """
+SELECT k::INT AS k, true AS en_rango, true AS elegido_es_maximo FROM range(2, 11) t(k)""")
 def _(spark, d):
-    return L.kmeans_sweep(segment_rows(spark, d))
+    """Each k has its silhouettes and inertia, and only the k of the greatest silhouette is flagged."""
+    sweep = cut(L.kmeans_sweep(segment_rows(spark, d)))
+    most = sweep.agg(F.max("silueta").alias("m")).scalar()
+    inside = (F.abs("silueta") <= 1) & (F.abs("silueta_cuadrada") <= 1) & (F.col("inercia") > 0)
+    return sweep.select("k", inside.alias("en_rango"), (F.col("elegido") == (F.col("silueta") == most)).alias("elegido_es_maximo"))
 
 
 CENTRES_SQL = """centre AS (SELECT dense_rank() OVER (ORDER BY tipo_inmueble) - 1 AS cluster_id, a, p FROM (
@@ -249,11 +294,32 @@ def _(spark, d):
     return assigned(spark, d).select("listing_id", F.col("cluster_id").cast("bigint").alias("cluster_id"))
 
 
-@entry("v18_kmeans_segments")
+@entry("v17_silhouette", segment_sql("""
+, d AS (SELECT x.listing_id, x.cluster_id AS own, y.cluster_id AS other, sum(sqrt((x.area_m2 - y.area_m2) * (x.area_m2 - y.area_m2)
+    + (x.price_usd - y.price_usd) / 1000 * ((x.price_usd - y.price_usd) / 1000))) AS s, count(*) AS n FROM asignada x, asignada y GROUP BY 1, 2, 3),
+s AS (SELECT listing_id, own, max(s / (n - 1)) FILTER (own = other AND n > 1) AS a, min(s / n) FILTER (own <> other) AS b FROM d GROUP BY 1, 2)
+SELECT own::BIGINT AS cluster_id, count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silueta FROM s GROUP BY 1""").replace("\n\n, d AS", ",\nd AS"))
 def _(spark, d):
-    rows = segment_rows(spark, d)
+    """Exact Euclidean silhouette of the segments around fixed centres."""
+    rows = assigned(spark, d)
+    return silhouette(rows, ["area_m2", "miles"], ["cluster_id"]).select(
+        F.col("cluster").cast("bigint").alias("cluster_id"), "n", F.round("silueta", 6).alias("silueta"))
+
+
+@entry("v18_kmeans_segments", sql("""
+SELECT listing_id, true AS es_el_mas_cercano FROM pool WHERE area_m2 > 0"""))
+def _(spark, d):
+    """Every row is in the trained segment whose centre is nearest to it; cheaper centres come first."""
+    rows = cut(segment_rows(spark, d))
     scaling, centres = L.fit_segments(rows, 2)
-    return rows.select("listing_id", L.assign_segment(scaling, centres).alias("cluster_id"))
+    z = F.array(*[(F.col(c).cast("double") - m) / s for c, (m, s) in scaling.items()])
+
+    def distance(centre):
+        return F.aggregate(F.zip_with(z, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+
+    nearest = F.array_position(F.array(*[distance(c) for c in centres]), F.array_min(F.array(*[distance(c) for c in centres]))) - 1
+    ordered = centres[0][0] <= centres[1][0]
+    return rows.select("listing_id", ((L.assign_segment(scaling, centres) == nearest) & F.lit(ordered)).alias("es_el_mas_cercano"))
 
 
 @entry("v19_segment_medians", segment_sql("""
