@@ -165,12 +165,11 @@ def test_min_max_flat_group(spark, flat, value):
 SQUARE = "array(array(array(named_struct('x', {0}D, 'y', {1}D), named_struct('x', {2}D, 'y', {1}D), named_struct('x', {2}D, 'y', {3}D), named_struct('x', {0}D, 'y', {3}D))))"
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_assign_zone_first_shape_wins(spark, monkeypatch, crowd):
-    monkeypatch.setattr(spatial, "SHAPES_PER_ROW", crowd)
+@pytest.mark.parametrize("most", [64, 1])
+def test_assign_zone_first_shape_wins(spark, most):
     shapes = spark.sql(f"SELECT 'uno' nombre, 1 orden, {SQUARE.format(0, 0, 2, 2)} geom UNION ALL SELECT 'dos', 2, {SQUARE.format(1, 1, 5, 5)}")
     points = spark.createDataFrame([(1, 1.5, 1.5), (2, 2.0, 2.0), (3, 3.0, 3.0), (4, 9.0, 9.0), (5, 0.0, 1.0), (6, 5.0, 5.0)], "id int, lat double, lng double")
-    got = {r["id"]: r["corregimiento_asignado"] for r in spatial.assign_zone(points, shapes, size=0.7).collect()}
+    got = {r["id"]: r["corregimiento_asignado"] for r in spatial.assign_zone(points, shapes, most_edges=most).collect()}
     assert got == {1: "uno", 2: "uno", 3: "dos", 4: None, 5: "uno", 6: "dos"}
 
 
@@ -317,7 +316,7 @@ def test_neighbour_join_is_not_widened_by_one_far_value(spark):
         assert [got[i, r] for r in (1, 2, 3)] == near
 
 
-def test_crowded_cells_give_the_same_zones(spark, monkeypatch):
+def test_crowded_cells_give_the_same_zones(spark):
     from predia.functions.geo import MULTIPOLYGON
     from predia.operators import spatial
 
@@ -331,13 +330,56 @@ def test_crowded_cells_give_the_same_zones(spark, monkeypatch):
     df = spark.createDataFrame(points, "id long, lng double, lat double")
     one = spatial.assign_zone(df, table)
     expected = one.collect()
-    monkeypatch.setattr(spatial, "SHAPES_PER_ROW", 2)
-    several = spatial.assign_zone(df, table)
+    several = spatial.assign_zone(df, table, most_edges=1)
     assert several.columns == one.columns and sorted(map(repr, several.collect())) == sorted(map(repr, expected))
     assert {r["lng"]: r["corregimiento_asignado"] for r in expected}[0.0005] == "s00"
     assert expected[0]["corregimiento_asignado"] is not None and len(expected) == len(points)
 
 
+def wavy(x, y, radius, corners, seed):
+    r = np.random.default_rng(seed)
+    turn = np.linspace(0, 2 * np.pi, corners, endpoint=False)
+    far = radius * (0.7 + 0.3 * r.random(corners))
+    return list(zip((x + far * np.cos(turn)).tolist(), (y + far * np.sin(turn)).tolist()))
+
+
+def by_scan(shapes, x, y):
+    """First shape by rank that holds the place, by rays through all edges."""
+    for name, _, parts in sorted(shapes, key=lambda s: (s[1], s[0])):
+        inside = touches = False
+        for ring in (ring for polygon in parts for ring in polygon):
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    inside = not inside
+                on_line = (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)
+                touches |= on_line and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)
+        if inside or touches:
+            return name
+    return None
+
+
+@pytest.mark.parametrize("most", [16, 3])
+def test_country_and_streets_in_one_table_equal_a_scan(spark, most):
+    from predia.functions.geo import MULTIPOLYGON
+
+    country, hole = wavy(-80, 8, 3.0, 700, 1), wavy(-80.3, 8.2, 0.4, 90, 2)
+    shapes = [("pais", 9, [[country, hole], [wavy(-75, 8, 0.5, 40, 3)]])]
+    shapes += [(f"calle{i}", i % 3, [[[(-80 + i * 0.01, 8.0), (-80 + i * 0.01 + 0.004, 8.0), (-80 + i * 0.01 + 0.004, 8.0003), (-80 + i * 0.01, 8.0003)]]]) for i in range(6)]
+    table = spark.createDataFrame(shapes, f"nombre string, orden int, geom {MULTIPOLYGON}")
+    r = np.random.default_rng(5)
+    places = [*zip(r.uniform(-83.5, -74, 500).tolist(), r.uniform(4.5, 11.5, 500).tolist()), *zip(r.uniform(-80.01, -79.93, 300).tolist(), r.uniform(7.9995, 8.0005, 300).tolist())]
+    places += country[:60] + hole[:30] + [((a + c) / 2, (b + d) / 2) for (a, b), (c, d) in zip(country[:40], country[1:41])]
+    places += [(-80.0, 8.0), (-79.998, 8.0), (-79.996, 8.0003), (-80.0, 8.0001)] + places[:50]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)] + [(-1, None, 8.0)], "id long, lng double, lat double")
+    got = spatial.assign_zone(df, table, most_edges=most).collect()
+    assert len(got) == len(places) + 1
+    assert {g.id: g.corregimiento_asignado for g in got} == {**{i: by_scan(shapes, x, y) for i, (x, y) in enumerate(places)}, -1: None}
+    cover = spatial.shape_cover(table, most_edges=most)
+    assert cover.filter(F.size("edges") > most).filter(F.col("k") > spatial.LEAST_SIZE).count() == 0
+    inner = cover.filter("nombre = 'pais' AND size(edges) = 0").agg(F.max("k"), F.min("k")).first()
+    assert inner[0] > inner[1]  # large cells within, small ones along the border
+
+
 def test_points_of_a_thin_shape_are_spread(spark):
     from predia.functions.geo import MULTIPOLYGON
     from predia.plans.zone_health import display_points
