@@ -40,39 +40,3 @@ def split_report(whole: DataFrame, train: DataFrame, test: DataFrame, key: str)
         F.count_if((F.col("todo") == 1) & (F.col("train") == 0) & (F.col("test") == 0)).alias("en_ninguno"),
         F.count_if((F.col("todo") == 0)).alias("ajenos"),
     )
-
-
-def overlap(
-    members: DataFrame, groups: list[str], group: str = "perfil", key: str = "listing_id"
-) -> DataFrame:
-    """Pairs of groups: shared keys, Jaccard percent and percent of the smaller group.
-
-    Memberships are first turned into one row of flags per key, and equal flag rows are counted
-    together; pairs are then sums over at most 2^groups rows, never a self join of the members.
-    """
-    flags = members.groupBy(key).agg(
-        *[F.max((F.col(group) == g).cast("int")).alias(f"m{i}") for i, g in enumerate(groups)]
-    )
-    patterns = flags.groupBy(*[f"m{i}" for i in range(len(groups))]).agg(F.count("*").alias("n"))
-    sizes = [F.sum(F.col(f"m{i}") * F.col("n")).alias(f"s{i}") for i in range(len(groups))]
-    pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
-    shared = [F.sum(F.col(f"m{i}") * F.col(f"m{j}") * F.col("n")).alias(f"p{i}_{j}") for i, j in pairs]
-    got = patterns.agg(*sizes, *shared)
-
-    def count(name):
-        return F.coalesce(F.col(name), F.lit(0))
-
-    rows = []
-    for i, j in pairs:
-        n = count(f"p{i}_{j}")
-        union = count(f"s{i}") + count(f"s{j}") - n
-        smaller = F.least(count(f"s{i}"), count(f"s{j}"))
-        first, second = (i, j) if groups[i] < groups[j] else (j, i)
-        rows.append(F.struct(
-            F.lit(groups[first]).alias("perfil_a"), F.lit(groups[second]).alias("perfil_b"),
-            n.alias("n_interseccion"),
-            F.round(F.when(union > 0, n / F.nullif(union, F.lit(0)) * 100).otherwise(0.0), 1).alias("jaccard_pct"),
-            F.round(F.when(smaller > 0, n / F.nullif(smaller, F.lit(0)) * 100).otherwise(0.0), 1)
-            .alias("pct_del_menor"),
-        ))
-    return got.select(F.inline(F.array(*rows)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from predia.operators import sets as S
 from predia.operators.filters import evaluable
 from predia.operators.nearest import nearest_on_earth
+from predia.operators.overlap import overlap
 from predia.operators.vector_search import vector_topk, vector_topk_hashed
 from predia.plans import matching as M, views as V
 from predia.registry import entry
@@ -166,7 +167,7 @@ LEFT JOIN (SELECT x.perfil AS pa, y.perfil AS pb, x.listing_id FROM m x JOIN m y
 GROUP BY 1, 2""").replace("\n\n, m AS", ",\nm AS"))
 def _(spark, d):
     members = M.rule_matches(V.listing(spark, d), M.profile_table(spark, V.PROFILES))
-    return S.overlap(members, [p["perfil"] for p in V.PROFILES]).select("perfil_a", "perfil_b", "n_interseccion")
+    return overlap(members, [p["perfil"] for p in V.PROFILES]).select("perfil_a", "perfil_b", "n_interseccion")
 
 
 @entry("j13_zone_panel_join", sql("""

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from predia.operators import gates as G, sets as S
 from predia.operators.filters import evaluable
+from predia.operators.overlap import overlap
 from predia.operators.vector_search import vector_topk
-from predia.plans import matching as M, views as V
+from predia.plans import matching as M, profile_tables as T, views as V
 from predia.registry import entry
 from predia.registry.filtering import PROFILE_MATCH
 from predia.registry.joining import PROBES, probes
@@ -95,6 +96,34 @@ def _(spark, d):
     return ranked.select("perfil", "listing_id", F.col("score_hibrido").alias("score"), "rank")
 
 
+def customer_profiles(spark, d):
+    """Every customer as a profile: its zone and NATION_1, a price limit, rooms, and the vector of its label."""
+    k = F.col("c_custkey")
+    nothing = F.lit(None).cast("double")
+    vectors = probes(spark, d).withColumnRenamed("query_id", "etiqueta")
+    return V.table(spark, d, "customer").select(
+        k.cast("string").alias("perfil"), F.array(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")), F.lit("NATION_1")).alias("corregimientos"),
+        nothing.alias("price_usd_min"), (F.col("c_acctbal") * 40).cast("double").alias("price_usd_max"),
+        F.nullif(k % 5, F.lit(0)).cast("double").alias("bedrooms_min"), *[nothing.alias(c) for c in ("bedrooms_max", "area_m2_min", "area_m2_max")],
+        (k % 10).cast("bigint").alias("etiqueta"),
+    ).join(vectors, "etiqueta")
+
+
+@entry("pm3_customer_ranking", scored_sql("""
+, cu AS (SELECT c_custkey, 'NATION_' || c_nationkey AS z, c_acctbal * 40 AS tope, c_custkey % 5 AS cuartos, c_custkey % 10 AS etiqueta FROM customer),
+cc AS (SELECT query_id, listing_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS c FROM probe, lv),
+ex AS (SELECT query_id, min(c) AS lo, max(c) AS hi FROM cc GROUP BY 1),
+ss AS (SELECT c_custkey, lv.listing_id, (CASE WHEN corregimiento IN (z, 'NATION_1') THEN 1 ELSE 0 END + CASE WHEN price_usd <= tope THEN 1 ELSE 0 END
+    + CASE WHEN cuartos > 0 AND bedrooms >= cuartos THEN 1 ELSE 0 END)::DOUBLE / (CASE WHEN cuartos > 0 THEN 3 ELSE 2 END) AS s, CASE WHEN hi > lo THEN (c - lo) / (hi - lo) ELSE 0 END AS m
+  FROM cu JOIN cc ON cc.query_id = etiqueta JOIN ex ON ex.query_id = etiqueta JOIN lv ON lv.listing_id = cc.listing_id),
+rr AS (SELECT *, round(0.6::DOUBLE * s + 0.4::DOUBLE * m, 9) AS h FROM ss)
+SELECT c_custkey::VARCHAR AS perfil, rank, listing_id, round(h, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY h DESC, listing_id) AS rank FROM rr) WHERE rank <= 10""".lstrip()))
+def _(spark, d):
+    best = T.best_listings(candidates(spark, d), customer_profiles(spark, d), 10)
+    return best.select("perfil", F.col("rank").cast("bigint").alias("rank"), "listing_id", F.round("score_hibrido", 6).alias("score"))
+
+
 @entry("pm4_ground_truth", sql(f"""
 SELECT perfil, count(*) AS n_solo_estructural, count(*) FILTER (WHERE k) AS n_ground_truth, count(*) FILTER (WHERE k AND f = 'completa') AS de_completa,
   count(*) FILTER (WHERE k AND f = 'preview') AS de_preview FROM (SELECT p.perfil, l.descripcion_fuente AS f, ({KEYWORDS[5:]}) AS k {PROFILE_MATCH}) GROUP BY 1"""))
@@ -103,11 +132,14 @@ def _(spark, d):
 
 
 @entry("pm5_materialised_truth", sql(f"""
-SELECT perfil, count(*) AS declarados, count(*) AS reales, 0::BIGINT AS violaciones FROM (SELECT p.perfil, l.listing_id {PROFILE_MATCH}{KEYWORDS}) GROUP BY 1"""))
+SELECT perfil, n + (perfil < 'i')::BIGINT AS declarados, n AS reales, (perfil < 'i')::BIGINT AS violaciones FROM (
+  SELECT perfil, count(*) AS n FROM (SELECT p.perfil, l.listing_id {PROFILE_MATCH}{KEYWORDS}) GROUP BY 1)"""))
 def _(spark, d):
     matches = cut(M.ground_truth(V.listing_text(spark, d), P))
     profiles, members = scratch_path(spark, "perfiles"), scratch_path(spark, "referencia")
-    write_table(M.ground_truth_counts(matches), profiles)
+    # Some profiles declare one match too many, which the gate has to find.
+    counts = M.ground_truth_counts(matches)
+    write_table(counts.withColumn("n_ground_truth", F.col("n_ground_truth") + (F.col("perfil") < "i").cast("bigint")), profiles)
     write_table(matches.filter("cualitativo").select("perfil", "listing_id", F.lit(True).alias("flag_sintetico")), members)
     return G.declared_counts(spark.read.parquet(profiles), spark.read.parquet(members), "perfil")
 
@@ -166,7 +198,7 @@ def _(spark, d):
     matches = cut(M.ground_truth(V.listing_text(spark, d), P))
     names = [p["perfil"] for p in P]
     return S.union_labelled({
-        "estructural": S.overlap(matches, names), "final": S.overlap(matches.filter("cualitativo"), names),
+        "estructural": overlap(matches, names), "final": overlap(matches.filter("cualitativo"), names),
     }, "etapa")
 
 
@@ -218,11 +250,11 @@ SELECT query_id, listing_id, distancia, dimension, coalesce(cumplido::VARCHAR, '
   unnest(['precio', 'habitaciones', 'zona', 'transporte']) AS dimension,
   unnest([true, true, corregimiento IN ('NATION_1', 'NATION_2'), CASE WHEN zona_id % 4 <> 0 THEN zona_id / 24.0::DOUBLE >= 0.5 END]) AS cumplido FROM r WHERE rank <= 10)""".lstrip()))
 def _(spark, d):
-    listings = cut(candidates(spark, d).filter("price_usd <= 200000 AND bedrooms >= 2").select(
-        "listing_id", "embedding", "price_usd", "bedrooms", "corregimiento", "zona_id"
-    ))
-    found = vector_topk(probes(spark, d), listings, 10)
-    joined = found.join(listings.drop("embedding"), "listing_id").select(
+    wanted = "price_usd <= 200000 AND bedrooms >= 2"
+    found = cut(vector_topk(probes(spark, d), candidates(spark, d).filter(wanted).select("listing_id", "embedding"), 10))
+    # Only ids and distances are written; the attributes of what was found come from the catalogue.
+    attributes = V.listing(spark, d).select("listing_id", "price_usd", "bedrooms", "corregimiento", "zona_id")
+    joined = found.join(attributes, "listing_id").select(
         "*", F.lit(200000.0).alias("precio_maximo"), F.lit(2).alias("habitaciones_min"),
         F.array(F.lit("NATION_1"), F.lit("NATION_2")).alias("zonas_preferidas"),
         F.when(F.col("zona_id") % 4 != 0, F.col("zona_id") / 24.0).alias("transporte_score"),

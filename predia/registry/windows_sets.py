@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from predia.functions.hashing import seeded_key
 from predia.operators import filters as P, scale as X, sets as S
 from predia.operators.catalogue import copies_filter
+from predia.operators.overlap import overlap, overlap_table
 from predia.plans import matching as M, valuation as W, views as V
 from predia.registry import entry
 from predia.registry.catalogue import copies, copies_sql
@@ -113,7 +114,26 @@ FROM s a JOIN s b ON a.perfil < b.perfil LEFT JOIN c ON c.pa = a.perfil AND c.pb
 @entry("u3_overlap", sql(", m AS (SELECT p.perfil, l.listing_id " + PROFILE_MATCH.replace("listing_text", "listing") + "),\n" + OVERLAP_SQL).replace("\n, m AS", ",\nm AS"))
 def _(spark, d):
     members = M.rule_matches(V.listing(spark, d), M.profile_table(spark, V.PROFILES))
-    return S.overlap(members, [p["perfil"] for p in V.PROFILES])
+    return overlap(members, [p["perfil"] for p in V.PROFILES])
+
+
+@entry("u3_customer_overlap", sql("""
+, m AS (SELECT c_custkey AS perfil, listing_id FROM customer JOIN listing ON corregimiento = 'NATION_' || c_nationkey
+  AND price_usd <= c_acctbal * 40 AND (c_custkey % 5 = 0 OR bedrooms >= c_custkey % 5)),
+p AS (SELECT a.perfil, count(*) AS n FROM m a JOIN m b ON a.listing_id = b.listing_id AND a.perfil <> b.perfil GROUP BY a.perfil, b.perfil)
+SELECT perfil::VARCHAR AS perfil, count(*) AS perfiles_afines, max(n) AS mayor_interseccion, sum(n)::BIGINT AS suma FROM p GROUP BY 1""").replace("\n, m AS", ",\nm AS"))
+def _(spark, d):
+    """Every customer's matches against every other's."""
+    k = F.col("c_custkey")
+    nothing = F.lit(None).cast("double")
+    profiles = V.table(spark, d, "customer").select(
+        k.cast("string").alias("perfil"), F.array(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))).alias("corregimientos"),
+        (F.col("c_acctbal") * 40).cast("double").alias("price_usd_max"), F.nullif(k % 5, F.lit(0)).cast("double").alias("bedrooms_min"),
+        *[nothing.alias(c) for c in ("price_usd_min", "bedrooms_max", "area_m2_min", "area_m2_max")])
+    pairs = overlap_table(M.rule_matches(V.listing(spark, d), profiles).select("perfil", "listing_id"))
+    both = pairs.select(F.col("perfil_a").alias("perfil"), "n_interseccion").unionByName(pairs.select(F.col("perfil_b").alias("perfil"), "n_interseccion"))
+    return both.groupBy("perfil").agg(
+        F.count("*").alias("perfiles_afines"), F.max("n_interseccion").alias("mayor_interseccion"), F.sum("n_interseccion").alias("suma"))
 
 
 @entry("u4_missing_keys", "SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from predia.operators import aggregates as A, catalogue as C, filters as P, gates as G, nearest as N, scale as X, sets as S, spatial, vector_search as VS
+from predia.operators.overlap import overlap
 from predia.sources import readers as R, schemas as SC, writers as W
 
 
@@ -289,7 +290,7 @@ def test_readers(spark, tmp_path):
 
 def test_overlap_and_split(spark, rows):
     members = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 3)], "perfil string, listing_id int")
-    assert rows(S.overlap(members, ["a", "b", "c"])) == [("a", "b", 2, 66.7, 100.0), ("a", "c", 0, 0.0, 0.0), ("b", "c", 0, 0.0, 0.0)]
+    assert rows(overlap(members, ["a", "b", "c"])) == [("a", "b", 2, 66.7, 100.0), ("a", "c", 0, 0.0, 0.0), ("b", "c", 0, 0.0, 0.0)]
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "k int")
     assert tuple(S.split_report(ids(1, 2, 3), ids(1, 2), ids(2, 4), "k").first()) == (1, 1, 1)
 
