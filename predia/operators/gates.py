@@ -15,11 +15,11 @@ def require(report: DataFrame, name: str, violations: str = "violaciones") -> No
         raise GateError(f"{name}: {[r.asDict() for r in bad]}")
 
 
-def row_count(df: DataFrame, expected: int | None = None) -> DataFrame:
-    """Violation when the count differs from `expected`, or is zero when none is given."""
-    n = F.count("*")
-    wrong = (n != expected) if expected is not None else (n == 0)
-    return df.agg(n.alias("filas"), wrong.cast("bigint").alias("violaciones"))
+def row_count(df: DataFrame, expected: int | Column | None = None) -> DataFrame:
+    """Violation when the count differs from `expected`, a number or a scalar subquery, or is zero when none is given."""
+    counted = df.agg(F.count("*").alias("filas"))
+    wrong = (F.col("filas") != expected) if expected is not None else (F.col("filas") == 0)
+    return counted.select("filas", wrong.cast("bigint").alias("violaciones"))
 
 
 def check_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from predia.functions import text as T
 from predia.functions.pricing import price_problem
 from predia.operators import catalogue as C
+from predia.operators.pages import page_details
 from predia.plans import views as V
 from predia.registry import entry
 from predia.registry.sql import sql
@@ -127,6 +128,32 @@ def _(spark, d):
     )
 
 
+#: What the pages are wrapped in by key: plain, nested, unclosed, with references, or without a region.
+ODD_PAGES = [
+    ('<ol class="nb-breadcrumb-list"><li>Inicio</li><li>Venta</li><li>Casas</li></ol><div class="nb-desc-full-content">{0}</div>', "Casas", "{0}", "completa", "ok"),
+    ('<ol class="nb-breadcrumb-list"><li>a</li><li>b</li><li><a>Locales</a></li></ol><div class="nb-desc-full-content"><div>{0}</div><div>fin &amp; mas</div></div><p>fuera', "Locales", "{0} fin & mas", "completa", "ok"),
+    ('<ol class="nb-breadcrumb-list"><li>a</li><li>b</li><li>Terrenos</li></ol><div class="nb-desc-preview"><p>{0}', "Terrenos", "{0}", "preview", "ok"),
+    ('<div class="nb-desc-full-content"><section><div>{0}</div></section></div>', "", "{0}", "completa", "sin_breadcrumb"),
+    ('<ol class="nb-breadcrumb-list"><li>a</li><li>b</li><li>Casas</li></ol><div class="nb-desc-full-content"><script>{0}</script></div>', "Casas", "", "ninguna", "sin_descripcion"),
+    ('<ol class="nb-breadcrumb-list"><li>Inicio<li>{0}', "", "", "ninguna", "sin_ambos"),
+]
+
+
+def _odd(column: int) -> str:
+    return f"[{', '.join(repr(p[column]) for p in ODD_PAGES)}][(page_id % {len(ODD_PAGES)} + 1)::INT]"
+
+
+@entry("c7_odd_pages", f"""
+SELECT page_id, {_odd(1)} AS tipo_inmueble, replace({_odd(2)}, '{{0}}', 'texto ' || page_id || ' ' || length(url)) AS descripcion,
+  {_odd(3)} AS descripcion_fuente, {_odd(4)} AS estado FROM pages""")
+def _(spark, d):
+    """Pages whose blocks nest, stay unclosed, hold references or are missing, through the parser where patterns cannot read them."""
+    html = F.get(F.array(*[F.lit(p[0]) for p in ODD_PAGES]), (F.col("page_id") % len(ODD_PAGES)).cast("int"))
+    inner = F.concat(F.lit("texto "), F.col("page_id").cast("string"), F.lit(" "), F.char_length("url").cast("string"))
+    pages = V.table(spark, d, "pages").select("page_id", F.replace(html, F.lit("{0}"), inner).alias("html"))
+    return page_details(pages, "page_id").select("page_id", "tipo_inmueble", "descripcion", "descripcion_fuente", "estado")
+
+
 STATE_SQL = """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'sin_url' WHEN page_id % 7 = 0 THEN 'error_red'
   WHEN e IN ('sin_breadcrumb', 'sin_ambos') THEN 'sin_descripcion' ELSE e END AS estado,
   CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 7 = 0 THEN 'Timeout' WHEN e IN ('sin_breadcrumb', 'sin_ambos') THEN e ELSE '' END AS detalle
@@ -346,7 +373,18 @@ def _(spark, d):
     )
 
 
-@entry("c23_fingerprint")
+def _shown(column: str) -> str:
+    return f"coalesce('=' || {column}, '-')"
+
+
+_ORDER_TEXT = " || chr(31) || ".join(_shown(c) for c in (
+    "o_custkey::VARCHAR", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "o_orderkey::VARCHAR", "o_orderpriority", "o_orderstatus",
+    "o_totalprice::DECIMAL(38,6)::VARCHAR"))
+_QUARTERS = ", ".join(f"coalesce(sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT), 0)::VARCHAR" for i in range(4))
+
+
+@entry("c23_fingerprint", f"""
+SELECT count(*) AS filas, md5(concat_ws(':', count(*)::VARCHAR, {_QUARTERS})) AS huella FROM (SELECT md5({_ORDER_TEXT}) AS h FROM orders)""")
 def _(spark, d):
     return C.fingerprint(V.table(spark, d, "orders"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from predia.operators import sets as S
+from predia.functions.vectors import cosine_similarity
+from predia.operators import sets as S, vector_index
 from predia.operators.filters import evaluable
 from predia.operators.nearest import nearest_on_earth
 from predia.operators.overlap import overlap
@@ -14,6 +15,7 @@ from predia.registry import entry
 from predia.registry.filtering import PROFILE_MATCH
 from predia.registry.sql import sql
 from predia.registry.valuation import comparable_table
+from predia.session import cut
 
 
 @entry("j1_listing_detail", sql("""
@@ -146,10 +148,47 @@ def _(spark, d):
     return vector_topk(probes(spark, d), candidates, 10)
 
 
-@entry("j10_vector_topk_hashed")
+BATCH = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distancia, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(q.e, v.e), 9) AS distancia FROM q, v))"""
+
+
+def indexed(spark, d):
+    """The index of all embeddings, and the batch of queries: every row whose id is divisible by 50."""
+    vectors = V.table(spark, d, "embeddings")
+    batch = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.build_index(vectors, "vec_id", lists=16), batch
+
+
+@entry("j10_vector_index", BATCH + "SELECT query_id, rank, vec_id, distancia FROM h WHERE rank <= 10")
+def _(spark, d):
+    index, batch = indexed(spark, d)
+    return vector_index.search(index, batch, 10, vector_id="vec_id")
+
+
+@entry("j10_vector_index_recall", BATCH + """
+SELECT count(*) AS n, count(DISTINCT query_id) AS consultas, true AS recall_suficiente FROM h WHERE rank <= 10""")
+def _(spark, d):
+    """The fast mode, set to 0.95 on a sample of the indexed vectors, against the exact one."""
+    index, batch = indexed(spark, d)
+    exact = cut(vector_index.search(index, batch, 10, vector_id="vec_id"))
+    fast = vector_index.search(index, batch, 10, vector_index.lists_for(index, 10, 0.95), vector_id="vec_id")
+    asked = batch.agg(F.count("*").alias("n")).scalar()
+    return vector_index.recall(fast, exact, "query_id", "vec_id").select("n", asked.alias("consultas"), (F.col("recall") >= 0.9).alias("recall_suficiente"))
+
+
+@entry("j10_vector_topk_hashed", """
+SELECT min(vec_id) AS consulta, 0.0::DOUBLE AS propia, true AS distancias_exactas, true AS hallazgos FROM embeddings""")
 def _(spark, d):
-    query = V.table(spark, d, "embeddings").agg(F.min_by("embedding", "vec_id").alias("e")).first()["e"]
-    return vector_topk_hashed(V.table(spark, d, "embeddings"), list(query), 10, vector_id="vec_id")
+    """One probe by hashing: it finds itself first, at most ten in all, and every distance it reports is the true one."""
+    vectors = V.table(spark, d, "embeddings")
+    probe = vectors.agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("p")).first()["p"]
+    found = cut(vector_topk_hashed(vectors, list(probe["embedding"]), 10, vector_id="vec_id"))
+    true = F.round(1 - cosine_similarity(F.col("embedding"), F.array(*[F.lit(float(x)) for x in probe["embedding"]])), 6)
+    checked = found.join(vectors, "vec_id").withColumn("ok", F.abs(true - F.col("distancia")) <= 2e-6)
+    own = F.max(F.when(F.col("vec_id") == probe["vec_id"], F.abs(F.round("distancia", 6))))
+    return checked.agg(F.lit(probe["vec_id"]).alias("consulta"), own.alias("propia"), F.bool_and("ok").alias("distancias_exactas"),
+                       F.count("*").between(1, 10).alias("hallazgos"))
 
 
 @entry("j11_profile_listing_join", sql("SELECT p.perfil, count(*) AS n, round(avg(l.price_usd), 4) AS precio_medio "

@@ -14,6 +14,8 @@ from predia.registry.catalogue import copies, copies_sql
 from predia.registry.filtering import PROFILE_MATCH
 from predia.registry.joining import probe_sql, probes
 from predia.registry.sql import sql
+from predia.session import scratch_path
+from predia.sources.readers import read_partitioned_csv
 
 
 def zone_density(spark, d):
@@ -88,10 +90,11 @@ def _(spark, d):
 
 @entry("u1_union_zone_files", sql("SELECT corregimiento_archivo, count(*) AS n FROM listing GROUP BY 1"))
 def _(spark, d):
-    df = V.listing(spark, d)
-    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    parts = [df.filter(F.col("corregimiento_archivo") == r) for r in regions]
-    return S.union_all(parts).groupBy("corregimiento_archivo").agg(F.count("*").alias("n"))
+    """The zone files as written by S1's layout, whatever zones there are, read as one table."""
+    path = scratch_path(spark, "zonas")
+    V.listing(spark, d).select("listing_id", "title", "corregimiento_archivo").write.partitionBy("corregimiento_archivo").option("header", True).csv(path)
+    files = read_partitioned_csv(spark, path, "listing_id bigint, title string")
+    return files.groupBy("corregimiento_archivo").agg(F.count("*").alias("n"))
 
 
 @entry("u2_union_with_origin", """
