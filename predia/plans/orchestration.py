@@ -54,6 +54,30 @@ def outcome_mix(classified: DataFrame, categories: list[str] | None = None) -> D
     return classified.agg(rows.alias("r")).select(F.inline("r"))
 
 
+def search_requests(classified: DataFrame, zones: dict[str, str] | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """The bounds of the queries that can be searched, as extracted; fallbacks ask for nothing.
+
+    `zones` and `types` name the catalogue's value where the words of queries differ from it.
+    """
+    def named(column: str, names: dict[str, str] | None) -> Column:
+        if not names:
+            return F.col(column)
+        pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        return F.coalesce(F.element_at(pairs, F.col(column)), F.col(column))
+
+    bounds = [F.col(c).cast("double").alias(c) for c in ("precio_min", "precio_max", "habitaciones_min", "banos_min")]
+    return classified.filter(F.col("categoria") == "exito").select(
+        "consulta_id", named("zona", zones).alias("zona"), named("tipo_inmueble", types).alias("tipo_pedido"), *bounds)
+
+
+def respond(classified: DataFrame, answered: DataFrame) -> DataFrame:
+    """Every query with its answer, or its fallback message and no candidates."""
+    none = F.lit(0).cast("bigint")
+    return classified.select("consulta_id", "categoria", "mensaje").join(answered, "consulta_id", "left").select(
+        "consulta_id", "categoria", F.coalesce("n_candidatos", none).alias("n_candidatos"),
+        F.coalesce("n_con_semaforo", none).alias("n_con_semaforo"), F.coalesce("respuesta", "mensaje").alias("respuesta"))
+
+
 def enriched_search(
     requests: DataFrame, listings: DataFrame, value: Callable[[DataFrame], DataFrame], reason: Column, k: int = 10
 ) -> DataFrame:

@@ -66,6 +66,12 @@ def full_intent_sql(body: str) -> str:
     return head[: head.rindex("\n")] + ",\n" + FULL_INTENT + "\n" + body
 
 
+def wished(spark, d):
+    """The queries with their wishes, extracted and classified."""
+    wish = F.get(F.array(*map(F.lit, WISHES)), (F.col("consulta_id") % 5).cast("int"))
+    return O.classify(V.query_log(spark, d).withColumn("consulta", F.concat("consulta", wish)), RULES)
+
+
 @entry("q1_intent", full_intent_sql(r"""
 SELECT consulta_id, contains(t, 'the') OR contains(t, 'eau') OR contains(t, 'sch') AS es_consulta_inmobiliaria, CASE WHEN len(zs) = 1 THEN zs[1] ELSE '-' END AS zona,
   CASE WHEN len(zs) > 0 THEN array_to_string(zs, ' / ') ELSE coalesce(nullif(regexp_extract(consulta, '(?:^|\s)(?:of|de|in)\s+([a-zA-Z]{4,})', 1), ''), '-') END AS zona_mencion_texto,
@@ -73,9 +79,7 @@ SELECT consulta_id, contains(t, 'the') OR contains(t, 'eau') OR contains(t, 'sch
   coalesce(banos, -1) AS banos_min, CASE WHEN len(zs) > 1 THEN 0.3 WHEN n = 0 THEN 0.2 WHEN NOT vago THEN 0.95 WHEN n >= 3 THEN 0.8 WHEN n = 2 THEN 0.6 ELSE 0.35 END::DOUBLE AS confianza
 FROM anclas"""))
 def _(spark, d):
-    wish = F.get(F.array(*map(F.lit, WISHES)), (F.col("consulta_id") % 5).cast("int"))
-    asked = V.query_log(spark, d).withColumn("consulta", F.concat("consulta", wish))
-    return O.classify(asked, RULES).select(
+    return wished(spark, d).select(
         "consulta_id", "es_consulta_inmobiliaria", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("zona", "zona_mencion_texto", "tipo_inmueble")],
         *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("precio_min", "precio_max")],
         *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("habitaciones_min", "banos_min")], "confianza",
@@ -98,23 +102,32 @@ def _(spark, d):
     return got.withColumn("confianza_media", F.round("confianza_media", 6))
 
 
-def requests(spark, d):
-    """The query log with bounds and a vector per query."""
-    k = F.col("consulta_id")
+#: Values of the catalogue for the words of the queries.
+ZONE_NAMES = {"thon": "NATION_1", "eauen": "NATION_4", "schen": "NATION_7"}
+TYPE_NAMES = {"Casa": "BUILDING", "Apartamento": "MACHINERY"}
+
+
+def requests(spark, d, asked=None):
+    """The queries that can be searched, with the bounds they state and a vector each."""
     vectors = V.table(spark, d, "embeddings")
-    base = V.query_log(spark, d).select(
-        k, F.when(k % 3 == 0, F.concat(F.lit("NATION_"), (k % 24).cast("string"))).alias("zona"),
-        F.when(k % 4 == 0, "BUILDING").when(k % 7 == 0, "CASTLE").alias("tipo_pedido"), F.lit(None).cast("double").alias("precio_min"),
-        F.when(k % 2 == 0, 250000.0).when(k % 11 == 0, 1.0).alias("precio_max"), F.when(k % 5 == 0, 3.0).alias("habitaciones_min"),
-        F.lit(None).cast("double").alias("banos_min"), F.pmod(k, vectors.agg(F.count("*").alias("n")).scalar()).alias("vec_id"),
-    )
+    base = O.search_requests(wished(spark, d) if asked is None else asked, ZONE_NAMES, TYPE_NAMES)
+    base = base.withColumn("vec_id", F.pmod("consulta_id", vectors.agg(F.count("*").alias("n")).scalar()))
     return base.join(vectors.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
 
 
-SEARCH = f"""pedido AS (SELECT consulta_id, CASE WHEN consulta_id % 3 = 0 THEN 'NATION_' || (consulta_id % 24) END AS zona,
-  CASE WHEN consulta_id % 4 = 0 THEN 'BUILDING' WHEN consulta_id % 7 = 0 THEN 'CASTLE' END AS tipo_pedido,
-  CASE WHEN consulta_id % 2 = 0 THEN 250000.0 WHEN consulta_id % 11 = 0 THEN 1.0 END AS precio_max,
-  CASE WHEN consulta_id % 5 = 0 THEN 3 END AS habitaciones_min, consulta_id % (SELECT count(*) FROM embeddings) AS q_vec FROM query_log),
+def _renamed(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items()) + " END"
+
+
+SEARCH = FULL_INTENT + rf""",
+leido AS (SELECT *, contains(t, 'the') OR contains(t, 'eau') OR contains(t, 'sch') AS tema, CASE WHEN len(zs) = 1 THEN zs[1] END AS zona,
+    CASE WHEN len(zs) > 0 THEN array_to_string(zs, ' / ') ELSE nullif(regexp_extract(consulta, '(?:^|\s)(?:of|de|in)\s+([a-zA-Z]{{4,}})', 1), '') END AS mencion,
+    CASE WHEN len(zs) > 1 THEN 0.3 WHEN n = 0 THEN 0.2 WHEN NOT vago THEN 0.95 WHEN n >= 3 THEN 0.8 WHEN n = 2 THEN 0.6 ELSE 0.35 END::DOUBLE AS confianza FROM anclas),
+juzgado AS (SELECT *, CASE WHEN NOT tema THEN 'fallback_fuera_tema'
+  WHEN mencion IS NOT NULL AND zona IS NULL AND NOT (contains(lower(mencion), 'thon') OR contains(lower(mencion), 'eauen') OR contains(lower(mencion), 'schen')) THEN 'fallback_cobertura'
+  WHEN confianza < 0.65 THEN 'fallback_ambiguedad' ELSE 'exito' END AS categoria FROM leido),
+pedido AS (SELECT consulta_id, {_renamed("zona", ZONE_NAMES)} AS zona, {_renamed("tipo", TYPE_NAMES)} AS tipo_pedido, minimo AS precio_min, maximo AS precio_max,
+  habitaciones AS habitaciones_min, banos AS banos_min, consulta_id % (SELECT count(*) FROM embeddings) AS q_vec FROM juzgado WHERE categoria = 'exito'),
 vec AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 par AS MATERIALIZED (SELECT a.vec_id AS q_vec, b.vec_id, round(1 - list_cosine_similarity(a.v, b.v), 9) AS distancia
   FROM (SELECT * FROM vec WHERE vec_id IN (SELECT q_vec FROM pedido)) a, vec b),
@@ -122,6 +135,7 @@ hallado AS (SELECT * FROM (SELECT consulta_id, q.listing_id, corregimiento, tipo
     row_number() OVER (PARTITION BY consulta_id ORDER BY distancia, q.listing_id) AS rank FROM (
   SELECT consulta_id, l.*, distancia FROM pedido p JOIN par USING (q_vec) JOIN listing_vector l ON l.vec_id = par.vec_id
        AND l.corregimiento <> 'zona_no_determinada' AND NOT l.precio_no_evaluable AND (p.zona IS NULL OR l.corregimiento = p.zona) AND (p.tipo_pedido IS NULL OR l.tipo_inmueble = p.tipo_pedido)
+    AND (p.precio_min IS NULL OR l.price_usd >= p.precio_min) AND (p.banos_min IS NULL OR l.bathrooms >= p.banos_min)
     AND (p.precio_max IS NULL OR l.price_usd <= p.precio_max) AND (p.habitaciones_min IS NULL OR l.bedrooms >= p.habitaciones_min)) q) WHERE rank <= 10),
 luz AS (SELECT listing_id, CASE WHEN precio_real - precio_predicho > 1.5 * {MAE} THEN 'rojo' WHEN precio_real - precio_predicho < -1.5 * {MAE} THEN 'verde' ELSE 'amarillo' END AS luz FROM estimate),
 resultado AS (SELECT h.*, luz.luz, CASE WHEN luz.luz IS NULL THEN coalesce({REASON_SQL}, 'sin valuación') END AS motivo FROM hallado h LEFT JOIN luz USING (listing_id))"""
@@ -132,7 +146,7 @@ def search_sql(body: str) -> str:
     return sql(f"{marker}{SEARCH}\n{body}").replace(f"\n{marker}", ",\n")
 
 
-def search(spark, d):
+def search(spark, d, asked=None):
     p = pool(spark, d)
 
     def value(found):
@@ -141,7 +155,7 @@ def search(spark, d):
     listings = evaluable(V.listing_vector(spark, d)).select(
         "listing_id", "embedding", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
     )
-    return O.enriched_search(requests(spark, d), listings, value, reason())
+    return O.enriched_search(requests(spark, d) if asked is None else asked, listings, value, reason())
 
 
 @entry("q5_search_with_valuation", search_sql("""
@@ -154,7 +168,12 @@ def _(spark, d):
 
 
 @entry("q6_answer_text", search_sql("""
-SELECT consulta_id, n AS n_candidatos, c AS n_con_semaforo, CASE
+SELECT consulta_id, categoria, coalesce(n_candidatos, 0) AS n_candidatos, coalesce(n_con_semaforo, 0) AS n_con_semaforo, coalesce(respuesta, CASE categoria
+  WHEN 'fallback_fuera_tema' THEN 'La consulta no trata de una propiedad. Indica zona, tipo o presupuesto.'
+  WHEN 'fallback_cobertura' THEN '''' || mencion || ''' está fuera de las zonas cubiertas.'
+  ELSE 'Consulta ambigua (confianza ' || printf('%.2f', confianza) || ', umbral 0.65: ' || CASE WHEN len(zs) > 1 THEN 'varias zonas sin desempate' WHEN anclado = 0 THEN 'sin entidades concretas'
+    WHEN NOT vago THEN 'entidades con ancla clara' ELSE 'mezcla de anclas y calificativos' END || ').' END) AS respuesta
+FROM (SELECT consulta_id, categoria, mencion, confianza, zs, vago, n AS anclado FROM juzgado) LEFT JOIN (SELECT consulta_id, n AS n_candidatos, c AS n_con_semaforo, CASE
   WHEN n = 0 AND m IS NOT NULL THEN 'Sin propiedades para esos criterios en ' || zona || '. El modelo de precio tampoco cubre la zona o el tipo (' || m || ').'
   WHEN n = 0 THEN 'Sin propiedades para esos criterios en ' || coalesce(zona, 'la zona indicada') || '. Prueba otro precio, tipo o habitaciones.'
   WHEN c = 0 THEN n || ' propiedades coinciden, ninguna con semáforo de precio (' || coalesce(m, primero) || ').'
@@ -162,10 +181,13 @@ SELECT consulta_id, n AS n_candidatos, c AS n_con_semaforo, CASE
 FROM (SELECT p.consulta_id, p.zona, coalesce(k.n, 0) AS n, coalesce(k.c, 0) AS c, k.primero, CASE WHEN p.zona IS NOT NULL AND p.tipo_pedido IS NOT NULL THEN nullif(concat_ws('; ',
     CASE WHEN p.zona IN ('NATION_7', 'NATION_8') THEN '''' || p.zona || ''' no entra en el modelo de precio' END,
     CASE WHEN p.tipo_pedido <> 'BUILDING' THEN 'tipo_inmueble ''' || p.tipo_pedido || ''' no entra en el modelo de precio' END), '') END AS m
-  FROM pedido p LEFT JOIN (SELECT consulta_id, count(*) AS n, count(luz) AS c, arg_min(motivo, rank) AS primero FROM resultado GROUP BY 1) k USING (consulta_id))"""))
+  FROM pedido p LEFT JOIN (SELECT consulta_id, count(*) AS n, count(luz) AS c, arg_min(motivo, rank) AS primero FROM resultado GROUP BY 1) k USING (consulta_id))) USING (consulta_id)"""))
 def _(spark, d):
+    """One job: extract and classify, search what can be searched, value what was found, answer every query."""
     zones = [f"NATION_{i}" for i in range(24) if i not in (7, 8)]
-    return O.answers(requests(spark, d).drop("vector"), search(spark, d), zones, V.MODEL_TYPE)
+    asked = cut(wished(spark, d))
+    ready = cut(requests(spark, d, asked))
+    return O.respond(asked, O.answers(ready.drop("vector"), search(spark, d, ready), zones, V.MODEL_TYPE))
 
 
 @entry("q7_fallback_message", intent_sql("""
