@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from predia.operators import gates as G
 from predia.plans import matching as M, views as V
+from predia.plans.constraints import TABLES, report
 from predia.registry import entry
 from predia.registry.aggregation import DRIFT_SQL, drift_query
 from predia.registry.filtering import PROFILE_MATCH
@@ -43,6 +44,81 @@ def _(spark, d):
     return reduce(DataFrame.unionByName, reports)
 
 
+
+
+def _turns(column: str, rules) -> list | None:
+    """Values a column takes in turn, with one outside of its set or range; None for columns without such a rule."""
+    if column in rules.sets:
+        values = list(rules.sets[column])
+        return [*values, "fuera" if isinstance(values[0], str) else not values[0] if isinstance(values[0], bool) else 99]
+    if column in rules.ranges:
+        low, high = rules.ranges[column]
+        return [*range(low, high + 1), high + 1]
+    return None
+
+
+def _columns(rules) -> list[str]:
+    return list(dict.fromkeys([*rules.key, *rules.required, *rules.sets, *rules.ranges, *(c for u in rules.unique for c in u), *rules.references, *rules.one_of]))
+
+
+def checked_table(rows, name: str):
+    """Rows of a table by order key k: keys repeat at every 97th, required values lack at every 31st, references
+    point to nothing at every 11th, and both of two exclusive columns are given at every 5th."""
+    k, rules, out = F.col("k"), TABLES[name], []
+    key = F.when(k % 97 == 0, k - 1).otherwise(k)
+    for i, c in enumerate(_columns(rules)):
+        turns = _turns(c, rules)
+        if c in rules.one_of:
+            value = F.when((k % 2 == rules.one_of.index(c)) | (k % 5 == 0), key.cast("string"))
+        elif c in rules.references:
+            value = F.when(k % 11 == 0, F.lit("-1")).otherwise(key.cast("string"))
+        elif c in rules.key or c in [u for one in rules.unique for u in one]:
+            value = key.cast("string")
+        elif turns:
+            value = F.get(F.array(*map(F.lit, turns)), ((k + i) % len(turns)).cast("int"))
+        else:
+            value = F.when((k + i) % 31 != 0, F.lit("x"))
+        out.append(value.alias(c))
+    return rows.select(*out)
+
+
+def checked_sql(name: str) -> list[str]:
+    rules, given = TABLES[name], set(TABLES)
+    cols = _columns(rules)
+    uniques = [u for one in rules.unique for u in one]
+    lines = []
+
+    def add(rule: str, count: str) -> None:
+        lines.append(f"SELECT '{name}' AS tabla, '{rule}' AS regla, ({count})::BIGINT AS violaciones")
+
+    for c in dict.fromkeys((*rules.key, *rules.required)):
+        plain = not (_turns(c, rules) or c in rules.references or c in rules.key or c in uniques or c in rules.one_of)
+        add(f"requerido:{c}", f"SELECT count(*) FILTER ((k + {cols.index(c)}) % 31 = 0) FROM o" if plain else "SELECT 0")
+    for c in (*rules.sets, *rules.ranges):
+        n = len(_turns(c, rules))
+        add(f"{'conjunto' if c in rules.sets else 'rango'}:{c}", f"SELECT count(*) FILTER ((k + {cols.index(c)}) % {n} = {n - 1}) FROM o")
+    if rules.one_of:
+        add("uno_de:" + ",".join(rules.one_of), "SELECT count(*) FILTER (k % 5 = 0) FROM o")
+    for keys in (rules.key, *rules.unique):
+        own = [c for c in keys if c in rules.references and c not in rules.one_of]
+        parts = ", ".join("CASE WHEN k % 11 = 0 THEN -1 ELSE kk END" if c in own else "kk" for c in keys)
+        add("unico:" + ",".join(keys), f"SELECT count(*) FROM (SELECT {parts} FROM o GROUP BY ALL HAVING count(*) > 1)".replace(f"SELECT {parts} FROM", f"SELECT {', '.join(f'{p} AS c{i}' for i, p in enumerate(parts.split(', ')))} FROM"))
+    for c, (parent, parent_key) in rules.references.items():
+        value = f"CASE WHEN k % 2 = {rules.one_of.index(c)} OR k % 5 = 0 THEN kk END" if c in rules.one_of else "CASE WHEN k % 11 = 0 THEN -1 ELSE kk END"
+        held = "SELECT CASE WHEN k % 11 = 0 THEN -1 ELSE kk END FROM o" if parent_key in TABLES[parent].references else "SELECT kk FROM o"
+        if parent in given:
+            add(f"referencia:{c}", f"SELECT count(*) FROM (SELECT {value} AS v FROM o) WHERE v IS NOT NULL AND v NOT IN ({held})")
+    return lines
+
+
+@entry("g2_reference_rules", "WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS kk FROM orders)\n"
+    + "\nUNION ALL ".join(line for name in TABLES for line in checked_sql(name)))
+def _(spark, d):
+    """Every closed set, range, required column, key and reference of the stored tables, each with rows that break it."""
+    rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    return report({name: checked_table(rows, name) for name in TABLES})
+
+
 @entry("g3_vector_size", "SELECT count(*) AS filas, count(*) FILTER (WHERE len(embedding) <> 64) AS violaciones FROM embeddings")
 def _(spark, d):
     return G.vector_size(V.table(spark, d, "embeddings"), "embedding", 64)
