@@ -99,7 +99,7 @@ def _(spark, d):
 @entry("s8_atomic_load", sql("SELECT listing_id, price_usd FROM listing"))
 def _(spark, d):
     rows = V.listing(spark, d).select("listing_id", "price_usd")
-    return O.load_atomically(rows, scratch_path(spark, "carga"), [
+    return O.load_checked(rows, scratch_path(spark, "carga"), [
         lambda t: G.require(G.row_count(t), "no vacía"),
         lambda t: G.require(G.unique_key(t, ["listing_id"]), "clave única"),
     ])

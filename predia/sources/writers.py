@@ -1,13 +1,13 @@
-"""Table sinks: plain, all-or-nothing, and column updates by key."""
+"""Table sinks: plain, checked before publishing, and column updates by key."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from predia.operators.gates import GateError
+from predia.session import scratch_path
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -15,72 +15,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def load_checked(df: DataFrame, path: str, checks: list[Callable[[DataFrame], None]]) -> DataFrame:
+    """Replace a table only if the new one passes every check; else the old one stays as it is.
 
-
-POINTER = "_current"
-
-
-def load_atomically(df: DataFrame, path: str, checks: list[Callable[[DataFrame], None]]) -> DataFrame:
-    """Publish a new version of a table only if it passes every check; else the old one stays.
-
-    Each load is a folder of its own under `path`, and what readers follow is a small pointer file
-    that is replaced last, in one rename: there is always a whole table to read. The checks read the
-    written files, so what was checked is what is published. Older versions stay for readers under
-    way, until `drop_old_versions`.
+    The rows are written to a staging folder first and the checks read what was written, so what was
+    checked is what is published, and nothing is computed twice. Publishing is Spark's own overwrite; if
+    it is cut short, the checked rows are still in the staging folder and the load is repeated.
     """
     spark = df.sparkSession
-    version = f"version-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(f"{path}/{version}")
-    jvm, staged, fs = _filesystem(spark, f"{path}/{version}")
-    try:
-        for check in checks:
-            check(spark.read.parquet(f"{path}/{version}"))
-    except Exception:
-        fs.delete(staged, True)
-        raise
-    Path, fresh = jvm.org.apache.hadoop.fs.Path, f"{path}/{POINTER}.{version}"
-    out = fs.create(Path(fresh), True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(fs.makeQualified(Path(fresh)), fs.makeQualified(Path(f"{path}/{POINTER}")), how)
-    return read_current(spark, path)
-
-
-def _current(spark: SparkSession, path: str) -> str | None:
-    jvm, pointer, fs = _filesystem(spark, f"{path}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    held = fs.open(pointer)
-    try:
-        return bytes(held.readAllBytes()).decode()
-    finally:
-        held.close()
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The version of the table that the pointer names."""
-    version = _current(spark, path)
-    if version is None:
-        raise FileNotFoundError(f"no published table in {path}")
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def drop_old_versions(spark: SparkSession, path: str) -> int:
-    """Delete every version but the current one; for when no reader is on an older one."""
-    version = _current(spark, path)
-    _, folder, fs = _filesystem(spark, path)
-    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("version-") and s.getPath().getName() != version]
-    for p in old:
-        fs.delete(p, True)
-    return len(old)
+    staged = scratch_path(spark, "staged")
+    df.write.parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    for check in checks:
+        check(rows)
+    write_table(rows, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def update_column(base: DataFrame, updates: DataFrame, key: str, column: str, strict: bool = True) -> DataFrame:

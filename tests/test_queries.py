@@ -1,8 +1,4 @@
-"""Registered queries against their SQL on the smallest given tables.
-
-PREDIA_ALL=1 runs every entry; by default the slowest compositions are left out, as each of
-their parts has an entry or a fixture test of its own.
-"""
+"""Every registered query against its SQL on the smallest given tables."""
 
 from __future__ import annotations
 
@@ -20,13 +16,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-SLOW = {"z5_composite", "z6_inherited_scores", "z10_zone_panel", "v4_knn_prediction", "v6_price_estimate",
-        "v7_light_by_mae", "v8_light_by_share", "v20_test_pairs", "a15_mae_percent", "a16_mae_by_zone",
-        "g8_drift_gate", "v12_oof_mae_by_zone", "v5_comparables", "a14_mae", "a20_distribution_drift",
-        "z7_status_label", "v10_calibration", "v15_model_comparison", "v21_transparency", "pm7_lift",
-        "pm8_weight_sweep", "q6_answer_text"}
 ORACLES = {name: sql for name, (_, sql) in registry.load().items() if sql is not None}
-NAMES = [n for n in ORACLES if os.environ.get("PREDIA_ALL") or n not in SLOW]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables are absent")
 
@@ -39,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query_matches_sql(spark, duck, name):
     got = E.queries()[name](spark, DATA).toPandas()
     expected = duck.execute(ORACLES[name]).df()
@@ -58,11 +48,5 @@ def test_entry_has_rows(spark):
     assert df.count() == 20
 
 
-def test_queries_without_sql_run(spark):
-    left = set(registry.load()) - set(ORACLES)
-    assert left == {
-        "c23_fingerprint", "j10_vector_topk_hashed", "v13_random_forest", "v14_feature_importance",
-        "v16_forest_with_embedding", "v17_kmeans_sweep", "v18_kmeans_segments",
-    }
-    for name in ("c23_fingerprint", "j10_vector_topk_hashed"):
-        assert E.queries()[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.load()) == set(ORACLES)
