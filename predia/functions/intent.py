@@ -33,8 +33,8 @@ class IntentRules:
     ])
     vague_words: list[str] = field(default_factory=lambda: [
         "bonit", "comod", "cómod", "buena", "buen ", "buenos", "tranquil", "espacios", "económic",
-        "economic", "accesible", "flexible", "modern", "convenien", "grande", "no muy caro",
-        "razonable", "normal", "potencial", "rinda",
+        "economic", "accesible", "flexible", "modern", "convenien", "grande", "barat", "asequible",
+        "razonable", "normal", "agradable", "rentab", "inversi", "invertir",
     ])
     # A capitalised place name after "en", "de" or "del".
     place: str = (

@@ -261,33 +261,33 @@ def explain(df: DataFrame, transport_minimum: float | None = None, keep: list[st
             "precio", F.when(price.isNotNull(), F.col("price_usd") <= price),
             F.when(price.isNotNull(), F.concat(F.lit("precio_maximo="), text("precio_maximo"))),
             F.col("price_usd"),
-            F.concat(F.lit("Precio "), text("price_usd"), F.lit(" cumple el máximo "), text("precio_maximo")),
-            F.concat(F.lit("Precio "), text("price_usd"), F.lit(" excede el máximo "), text("precio_maximo")),
-            F.lit("No evaluada: sin precio_maximo"),
+            F.concat(F.lit("Precio "), text("price_usd"), F.lit(" dentro del tope de "), text("precio_maximo")),
+            F.concat(F.lit("Precio "), text("price_usd"), F.lit(" por encima del tope de "), text("precio_maximo")),
+            F.lit("El perfil no fija un tope de precio"),
         ),
         row(
             "habitaciones",
             F.when(rooms.isNotNull(), F.coalesce(F.col("bedrooms") >= rooms, F.lit(False))),
             F.when(rooms.isNotNull(), F.concat(F.lit("habitaciones_min="), text("habitaciones_min"))),
             F.col("bedrooms"),
-            F.concat(text("bedrooms"), F.lit(" habitaciones cumplen el mínimo "), text("habitaciones_min")),
-            F.concat(text("bedrooms"), F.lit(" habitaciones no cumplen el mínimo "), text("habitaciones_min")),
-            F.lit("No evaluada: sin habitaciones_min"),
+            F.concat(text("bedrooms"), F.lit(" habitaciones; se piden al menos "), text("habitaciones_min")),
+            F.concat(text("bedrooms"), F.lit(" habitaciones son menos que las pedidas: "), text("habitaciones_min")),
+            F.lit("El perfil no pide habitaciones"),
         ),
         row(
             "zona", F.when(~no_zones, F.array_contains(zones, zone)),
             F.when(~no_zones, F.concat(F.lit("zonas_preferidas="), F.array_join(zones, ","))), zone,
-            F.concat(zone, F.lit(" está entre las zonas preferidas")),
-            F.concat(zone, F.lit(" no está entre las zonas preferidas")),
-            F.lit("No evaluada: sin zonas_preferidas"),
+            F.concat(zone, F.lit(" es una zona del perfil")),
+            F.concat(zone, F.lit(" no es una zona del perfil")),
+            F.lit("El perfil acepta cualquier zona"),
         ),
         row(
             "transporte", F.when(minimum.isNotNull() & transport.isNotNull(), transport >= minimum),
             F.when(minimum.isNotNull(), F.concat(F.lit("transporte_minimo="), minimum.cast("string"))), F.round(transport, 6),
-            F.concat(F.lit("Transporte de "), zone, F.lit(" cumple el umbral")),
-            F.concat(F.lit("Transporte de "), zone, F.lit(" no alcanza el umbral")),
-            F.when(minimum.isNull(), F.lit("No evaluada: sin transporte_minimo")).otherwise(
-                F.concat(F.lit("No evaluada: "), zone, F.lit(" no tiene score de transporte"))
+            F.concat(F.lit("Transporte de "), zone, F.lit(" llega a lo exigido")),
+            F.concat(F.lit("Transporte de "), zone, F.lit(" queda por debajo de lo exigido")),
+            F.when(minimum.isNull(), F.lit("El perfil no exige transporte")).otherwise(
+                F.concat(F.lit("Sin dato de transporte en "), zone)
             ),
         ),
     )
