@@ -2,10 +2,15 @@
 
 Every document of a source may be copied `target / source size` times. The whole part is taken as it
 is; the fractional parts are rounded dependently: two documents exchange words at random until one
-of them has a whole number of copies, so the words of a source are kept up to one last document.
+of them has a whole number of copies, so the words of a group are kept up to one last document.
 Blocks of documents are folded on their own and the one residual of each block goes up a reduction
 tree, so no task ever holds a whole source.
 
+Size classes are settled from large to small: what the last document of a class leaves too much or too
+little is spread over the copies of all smaller ones, so a source ends within one of its small documents
+of the target, as far as those can make up for it: that last document is left to chance only if both
+outcomes can be made up for.
+
 Defined results: null or empty text has size 0, is never taken and never rounded; a null source is a
 source of its own, last in order; equal rows are told apart by rank only; empty input gives empty
 output; other columns are ignored by `mix` and carried along by `mixed`.
@@ -13,6 +18,8 @@ output; other columns are ignored by `mix` and carried along by `mixed`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from predia.operators.scale import rank_all
@@ -21,6 +28,7 @@ from predia.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
+CLASS = 8  # sizes of a class lie within this factor
 BLOCK = 1024
 SEED = 42
 UNIT = "struct<rank:bigint,size:bigint,p:double>"
@@ -105,11 +113,12 @@ def _fold(units: DataFrame, block: Column) -> DataFrame:
     return cut(blocks.select("source_no", "block", folded.alias("r")).select("source_no", "block", "r.*"))
 
 
-def round_copies(units: DataFrame, block: int = BLOCK) -> DataFrame:
+def round_copies(units: DataFrame, limits: DataFrame, block: int = BLOCK) -> DataFrame:
     """(source_no, rank) of the units whose fractional copy is taken.
 
-    `units` has source_no, rank (1.. within the source), size > 0 and p in (0, 1). Large documents
-    come first in rank, so that the residual that is left at the end tends to be small.
+    `units` has source_no, rank (1.. within the source), size > 0 and p in (0, 1); `limits` has per source
+    the words that are open besides what all units weigh (`base`) and those that others can still give (`cap`).
+    The last unit of a source is left to chance only if either outcome can be made up for.
     """
     top = units.agg(F.max("rank")).first()[0] or 0
     level = _fold(units, F.floor((F.col("rank") - 1) / block))
@@ -120,25 +129,45 @@ def round_copies(units: DataFrame, block: int = BLOCK) -> DataFrame:
         left = level.filter(F.col("carry").isNotNull()).select("source_no", "carry.*")
         level = _fold(left, F.floor((F.col("rank") - 1) / width))
         taken = taken.unionByName(level.select("source_no", F.explode("taken").alias("rank")))
-    last = level.filter(F.col("carry").isNotNull()).select("source_no", "carry.*")
-    kept = last.filter(_uniform(F.col("rank"), F.lit(-1), F.col("source_no")) < F.col("p"))
+    last = level.filter(F.col("carry").isNotNull()).select("source_no", "carry.*").join(limits, "source_no")
+    left = F.col("base") + F.col("p") * F.col("size")  # open words, if the unit is not taken
+    fits, made_up = left >= F.col("size"), left <= F.col("cap")
+    by_chance = _uniform(F.col("rank"), F.lit(-1), F.col("source_no")) < F.col("p")
+    nearer = F.col("size") - left < left - F.col("cap")
+    kept = last.filter(F.when(fits & made_up, by_chance).when(fits, True).when(made_up, False).otherwise(nearer))
     return taken.unionByName(kept.select("source_no", "rank"))
 
 
 def copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block: int = BLOCK) -> DataFrame:
-    """Copies of every row of (doc_id, source, size, ...): adds source_size, target, copies."""
+    """Copies of every row of (doc_id, source, size, ...): adds source_size, target, copies.
+
+    One turn per size class in use, a handful whatever the corpus. A turn knows per source the words that
+    larger classes took; its documents and all smaller ones share the rest.
+    """
     placed = source_targets(sized, weights, most)
     rows = sized.join(placed, sized["source"].eqNullSafe(placed["source"])).drop(placed["source"])
+    kind = F.when(F.col("size") > 0, F.floor(F.log(float(CLASS), "size") + 1e-9).cast("int")).otherwise(-1)
     order = [F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
-    ranked = rank_all(rows, ["source_no"], order)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = cut(ranked.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)))
-    units = ranked.filter((F.col("size") > 0) & (F.col("p") > 0)).select("source_no", "rank", "size", "p")
-    more = round_copies(units, block).withColumn("more", F.lit(1))
-    n = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
-    return ranked.join(more, ["source_no", "rank"], "left").withColumn("copies", n.cast("bigint")).drop(
-        "source_no", "rank", "whole", "p", "more"
-    )
+    ranked = cut(rank_all(rows.withColumn("class", kind), ["source_no", "class"], order))
+    sums = ranked.filter("class >= 0").groupBy("source_no", "class").agg(F.sum("size").alias("own"))
+    up_to = Window.partitionBy("source_no").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut(sums.withColumn("rest", F.sum("own").over(up_to)))
+    state = placed.select("source_no", F.col("target").alias("open"))
+    done = [ranked.filter("class < 0").withColumn("copies", F.lit(0).cast("bigint"))]
+    for number in sorted((r["class"] for r in sums.select("class").distinct().collect()), reverse=True):
+        ratios = state.join(sums.filter(F.col("class") == number), "source_no").select(
+            "source_no", "open", "own", "rest", F.least(F.greatest(F.col("open") / F.col("rest"), F.lit(0.0)), F.lit(float(most))).alias("ratio"))
+        limits = ratios.select(
+            "source_no", (F.col("open") - F.col("ratio") * F.col("own")).alias("base"), (most * (F.col("rest") - F.col("own"))).alias("cap"))
+        own = ranked.filter(F.col("class") == number).join(ratios.select("source_no", "ratio"), "source_no")
+        own = own.withColumn("whole", F.floor("ratio")).withColumn("p", F.col("ratio") - F.floor("ratio")).drop("ratio")
+        units = own.filter("p > 0").select("source_no", "rank", "size", "p")
+        more = round_copies(units, limits, block).withColumn("more", F.lit(1))
+        settled = cut(own.join(more, ["source_no", "rank"], "left").withColumn("copies", (F.col("whole") + F.coalesce("more", F.lit(0))).cast("bigint")))
+        done.append(settled.drop("whole", "p", "more"))
+        taken = settled.groupBy("source_no").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        state = cut(state.join(taken, "source_no", "left").select("source_no", (F.col("open") - F.coalesce("taken", F.lit(0))).alias("open")))
+    return reduce(DataFrame.unionByName, done).drop("source_no", "rank", "class")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -154,17 +183,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
 
     Rows equal in doc_id, source and text share what their key got; only those are ranked.
     """
-    key = [F.xxhash64("doc_id", "source", "text").alias("_mix_a"), F.xxhash64("text", "doc_id", "source").alias("_mix_b")]
+    key = [F.xxhash64("doc_id", "source", "text").alias("a"), F.xxhash64("text", "doc_id", "source").alias("b")]
     sized = docs.select("doc_id", "source", n_words().alias("size"), *key)
-    got = copies(sized, weights, most).groupBy("_mix_a", "_mix_b").agg(
-        F.sum("copies").alias("_mix_n"), F.count("*").alias("_mix_m")
-    )
-    rows = docs.select("*", *key).join(got.filter(F.col("_mix_n") > 0), ["_mix_a", "_mix_b"])
-    single = rows.filter(F.col("_mix_m") == 1)
-    repeated = rows.filter(F.col("_mix_m") > 1)
-    place = F.row_number().over(Window.partitionBy("_mix_a", "_mix_b").orderBy("_mix_a"))
-    share = F.floor(F.col("_mix_n") / F.col("_mix_m")) + (place <= F.col("_mix_n") % F.col("_mix_m")).cast("bigint")
-    repeated = repeated.withColumn("_mix_n", share).filter(F.col("_mix_n") > 0)
-    return single.unionByName(repeated).withColumn(
-        "_mix_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n")))
-    ).select(docs.columns)
+    got = copies(sized, weights, most).groupBy("a", "b").agg(F.sum("copies").alias("n"), F.count("*").alias("m"))
+    # The rows travel as one column, so that no name of theirs can meet one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key).join(got.filter("n > 0"), ["a", "b"])
+    repeated = rows.filter("m > 1")
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("a"))
+    share = F.floor(F.col("n") / F.col("m")) + (place <= F.col("n") % F.col("m")).cast("bigint")
+    repeated = repeated.withColumn("n", share).filter("n > 0")
+    every = rows.filter("m = 1").unionByName(repeated)
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select("row.*")

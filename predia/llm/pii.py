@@ -218,7 +218,8 @@ def _masked(text: Column, every: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked; texts without spans stay as they are."""
-    found = spans(docs.select("doc_id", "text")).filter(F.size("every") > 0).groupBy(*KEY).agg(F.first("every").alias("_spans"))
-    text = F.when(F.col("_spans").isNotNull(), _masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    rows = docs.select("*", *_text_key()).join(found, KEY, "left")
-    return rows.withColumn("text", text).select(docs.columns)
+    found = spans(docs.select("doc_id", "text")).filter(F.size("every") > 0).groupBy(*KEY).agg(F.first("every").alias("every"))
+    # The rows travel as one column, so that no name of theirs can meet one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_text_key()).join(found, KEY, "left")
+    text = F.when(F.col("every").isNotNull(), _masked(F.col("row.text"), F.col("every"))).otherwise(F.col("row.text"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -229,9 +229,10 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE, words
     Rows are told apart by all their columns, so a doc_id or null that stands in several components
     stays once in each of them. Only rows that are equal throughout are interchangeable.
     """
-    keyed = docs.select("*", *_row_key(docs))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_a", "_row_b")
-    groups = cut(fingerprints(keyed, ("_row_a", "_row_b")).groupBy("fp").agg(F.min(place).alias("first")))
+    key = ["_row_a", "_row_b"]
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    groups = cut(fingerprints(docs.select("doc_id", "text", *_row_key(docs)), tuple(key)).groupBy("fp").agg(F.min(place).alias("first")))
     firsts = _rooted(groups, radius, tile, words).groupBy("root").agg(F.min("first").alias("first"))
-    rows = keyed.join(firsts.select("first._row_a", "first._row_b"), ["_row_a", "_row_b"])
-    return rows.dropDuplicates(["_row_a", "_row_b"]).select(docs.columns)
+    # The rows travel as one column, so that no name of theirs can meet one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_key(docs))
+    return rows.join(firsts.select("first._row_a", "first._row_b"), key).dropDuplicates(key).select("row.*")

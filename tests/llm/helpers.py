@@ -7,7 +7,8 @@ from collections import Counter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns under names that the operators use inside.
-CLASH = ("size", "rank", "copies", "target", "k", "fp", "key", "left", "kind", "block", "slice", "words")
+CLASH = ("size", "rank", "copies", "target", "k", "fp", "key", "left", "kind", "block", "slice", "words",
+         "_text_a", "_text_b", "_row_a", "_row_b", "_spans", "_mix_a", "_mix_n", "a", "b", "n", "m", "row", "every", "class", "place", "open", "rest", "taken", "col")
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 

@@ -77,6 +77,20 @@ def test_mix_is_whole_over_several_levels(spark):
     assert rows and all(abs(r["taken"] - r["target"]) <= r["most"] for r in rows)
 
 
+@pytest.mark.parametrize("share", [0.73, 1.6])
+def test_a_large_document_does_not_keep_its_source_from_the_target(spark, share):
+    """49 small documents and one that holds most of the source's target: the small ones make up for it."""
+    rows = [(i, "w " * (20 + i % 7), f"s{s}") for s in range(12) for i in range(s * 100, s * 100 + 49)]
+    small = sum(20 + i % 7 for i in range(49))
+    rows += [(s * 100 + 99, "big " * int(small * share / 0.9), f"s{s}") for s in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by: dict = {}
+    for r in mixing.mix(docs).collect():
+        target, taken = by.setdefault(r["doc_id"] // 100, [r["target"], 0])
+        by[r["doc_id"] // 100][1] += r["taken"]
+    assert all(abs(taken - target) <= 27 for target, taken in by.values())
+
+
 def test_mix_runs_agree(spark):
     docs = mix_docs(spark)
     one, two = ({(r["doc_id"], r["taken"]) for r in mixing.mix(d).collect()} for d in (docs, docs.repartition(7)))
@@ -208,7 +222,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="given tables ar
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
     assert set(queries.QUERIES) <= set(entry.queries())
 
 
