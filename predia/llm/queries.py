@@ -117,16 +117,16 @@ SELECT page_id, strlen(html) AS payload_bytes, {_DIGEST} AS payload_digest, CASE
     "op11_son_collocations": f"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}') AS text FROM documents),
 p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
-i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS at FROM p),
-g AS (SELECT lang, size, array_to_string(w[at:at + size - 1], ' ') AS phrase, count(*) AS m
-  FROM i, (SELECT unnest([1, 2, 3]) AS size) WHERE at + size - 1 <= len(w) GROUP BY ALL),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS place FROM p),
+g AS (SELECT lang, size, array_to_string(list_slice(w, place, place + size - 1), ' ') AS phrase, count(*) AS m
+  FROM i, (SELECT unnest([1, 2, 3]) AS size) WHERE place + size - 1 <= len(w) GROUP BY ALL),
 total AS (SELECT lang, sum(m)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
 c AS (SELECT lang, size, phrase, m AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1 AND m >= 10),
 k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
 s AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.m AS l, y.m AS r, ((1000000::HUGEINT * k.a * k.a) // (x.m::HUGEINT * y.m))::BIGINT AS score
-  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:], ' ')),
+  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(list_slice(w, 1, k.k), ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(list_slice(w, k.k + 1, k.size), ' ')),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
-v AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
+v AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL),
 z AS (SELECT b.* FROM b LEFT JOIN v USING (lang, phrase) WHERE v.f IS NULL OR 100 * v.f < 50 * b.a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) JOIN total USING (lang) WHERE rank <= 2000""",
