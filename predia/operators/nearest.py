@@ -29,7 +29,7 @@ ANY = "*"
 MAX_LISTED_ANCHORS = 64
 SLACK = 1 + 1e-9  # cells are found with rounded arithmetic, so the bound is widened a little
 DEPTH = 49  # halvings below the one cell; cell numbers stay exact in doubles
-STEP = 4  # grids counted in one pass over the references
+STEP = 6  # grids counted in one pass over the references
 CROWD = 512  # distinct vectors of a cell that are met as they are
 
 
@@ -73,7 +73,7 @@ class _Grids:
             spread = active.select(*self.by, "cat", *self.cs, *self.ss, "n", F.explode(F.sequence(F.lit(last), F.lit(level))).alias("level"))
             spread = spread.select(*self.by, "cat", "level", *self.at(F.col("level")), *self.ss, "n")
             keys = [*self.by, "level", *self.gs]
-            own = cut(self._grouped(spread, F.sum("n"), F.count("*"), "s", "s", ["cat", *keys]))
+            own = self._grouped(spread, F.sum("n"), F.count("*"), "s", "s", ["cat", *keys])  # one shuffle, used twice
             every = self._grouped(own, F.sum("n"), F.sum("v"), "lo", "hi", keys)
             named = own.withColumn("space", F.concat(F.lit("="), F.col("cat"))).drop("cat")
             both = cut(named.unionByName(every.withColumn("space", F.lit(ANY))))
