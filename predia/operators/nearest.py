@@ -30,6 +30,7 @@ MAX_LISTED_ANCHORS = 64
 SLACK = 1 + 1e-9  # cells are found with rounded arithmetic, so the bound is widened a little
 DEPTH = 49  # halvings below the one cell; cell numbers stay exact in doubles
 STEP = 6  # grids counted in one pass over the references
+LEAF = 24  # distinct vectors of a cell that is not cut further
 CROWD = 512  # distinct vectors of a cell that are met as they are
 
 
@@ -78,7 +79,7 @@ class _Grids:
             named = own.withColumn("space", F.concat(F.lit("="), F.col("cat"))).drop("cat")
             both = cut(named.unionByName(every.withColumn("space", F.lit(ANY))))
             found.append(both)
-            deeper = both.filter((F.col("space") == ANY) & (F.col("level") == last) & (F.col("n") >= self.need) & (F.col("v") > 1))
+            deeper = both.filter((F.col("space") == ANY) & (F.col("level") == last) & (F.col("n") >= self.need) & (F.col("v") > LEAF))
             if last == 0 or deeper.isEmpty():
                 return reduce(DataFrame.unionByName, found), last
             inside = active.select("*", *self.at(last)).join(deeper.select(*self.by, *self.gs), [*self.by, *self.gs], "left_semi")
@@ -179,7 +180,7 @@ def nearest_join(
     space = F.when(crosses, ANY).otherwise(F.concat(F.lit("="), F.col("cat")))
     query, cell = [*by, "cat", *fs], [*by, "space", "level", *gs]
     pairs = cut(reached.withColumn("space", space).filter(_total([g * g for g in gaps]) <= F.col("r2")).select(*query, *ss, "r2", "space", "level", *gs))
-    pairs = _descended(pairs, grids, query, cell, need, max(crowd, need), penalty if category else 0.0, fuzz)
+    pairs = _descended(pairs, grids, query, cell, need, max(crowd, need, LEAF), penalty if category else 0.0, fuzz)
 
     # 4. the references of those cells. Which grids are met: at most two rows per level.
     used = pairs.select("level", (F.col("space") == ANY).alias("anywhere")).distinct().collect()

@@ -80,7 +80,7 @@ def test_grids_follow_the_population(spark):
     df = spark.createDataFrame(two_clusters(600, 5)).select(F.lit("").alias("cat"), *[F.floor(F.col(x) / F.lit(2e6 / 2**N.DEPTH) + 2**(N.DEPTH - 1)).alias(f"c{i}") for i, x in enumerate("ab")],
         F.col("a").alias("s0"), F.col("b").alias("s1"), F.array(F.lit(1)).alias("members"))
     grids = N._Grids(df, [], 2, 6, 1.0)
-    crowded = grids.cells.filter((F.col("space") == N.ANY) & (F.col("level") == grids.lowest) & (F.col("n") >= 6) & (F.col("v") > 1))
+    crowded = grids.cells.filter((F.col("space") == N.ANY) & (F.col("level") == grids.lowest) & (F.col("n") >= 6) & (F.col("v") > N.LEAF))
     assert crowded.isEmpty() and 0 < grids.lowest < 30
     assert grids.cells.filter((F.col("space") == N.ANY) & (F.col("level") == N.DEPTH - 1)).agg(F.sum("n")).first()[0] == 600
 
