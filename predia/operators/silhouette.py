@@ -2,8 +2,9 @@
 
 A silhouette needs the mean distance of every point to every cluster, so the work is quadratic by
 definition. Equal points are one weighted row; rows are packed into blocks; a pair of blocks gives sums
-of distances per point and cluster, never pairs of points. Sums over the blocks that a task meets leave
-it as one row per block and task, so nothing grows with the square. All labellings share the distances.
+of distances per point and cluster, never pairs of points. A task holds a few blocks and their sums while
+all blocks pass it, read from the checkpoint and not shuffled; what leaves it is a row per point, so only
+the time grows with the square. All labellings share the distances.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 from predia.session import cut
 
 BLOCK = 2048
-
-
-def _matrix(column: pa.Array, width: int) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<f8").reshape(-1, width) for x in column]
+LEAST = 256  # points of a block that is not divided further for the sake of more tasks
+TASK_BLOCKS = 4
+STRIP = 64  # points whose distances to a passing block are held at once
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,33 +30,58 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "points": pa.array(rows, pa.binary())})
 
 
-def _sums(dims: int, sizes: list[int]):
-    """Per block of the left side and task: summed weighted distances to each cluster of each labelling."""
-    width = dims + len(sizes) + 1
+def _point_silhouettes(dims: int, sizes: list[int]):
+    """(i, cluster, weight, s) of the points of a task's own blocks, once all blocks have gone past them."""
+    width, starts = dims + len(sizes) + 1, np.cumsum([0, *sizes])
+
+    def members(points: np.ndarray) -> np.ndarray:
+        """Weights of the points, in the column of their cluster in each labelling."""
+        found = np.zeros((len(points), starts[-1]))
+        for i, start in enumerate(starts[:-1]):
+            found[np.arange(len(points)), start + points[:, dims + i].astype(int)] = points[:, -1]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = None, None
+        own: dict[int, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
+        totals, met = np.zeros(starts[-1]), None
         for batch in batches:
-            for block, left, right in zip(batch.column("block").to_pylist(), _matrix(batch.column("points"), width), _matrix(batch.column("other"), width)):
-                if block != key:
-                    if held is not None:
-                        yield _row(key, held)
-                    key, held = block, np.zeros((len(left), sum(sizes)))
-                a, b = left[:, :dims], right[:, :dims]
-                member = np.zeros((len(right), sum(sizes)))
-                for i, start in enumerate(np.cumsum([0, *sizes[:-1]])):
-                    member[np.arange(len(right)), start + right[:, dims + i].astype(int)] = right[:, -1]
-                for start in range(0, len(left), 256):  # differences, not dot products: equal points are at exactly zero
-                    gaps = a[start:start + 256, None, :] - b[None, :, :]
-                    held[start:start + 256] += np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps)) @ member
-        if held is not None:
-            yield _row(key, held)
+            for block, points, number, other in zip(*(batch.column(c) for c in ("block", "points", "met", "other"))):
+                if number.as_py() != met:  # a passing block meets all own ones before the next comes
+                    met, passing = number.as_py(), np.frombuffer(other.as_py(), "<f8").reshape(-1, width)
+                    weights = members(passing)
+                    totals += weights.sum(0)
+                if (block := block.as_py()) not in own:
+                    own[block] = np.frombuffer(points.as_py(), "<f8").reshape(-1, width)
+                    sums[block] = np.zeros((len(own[block]), starts[-1]))
+                for start in range(0, len(own[block]), STRIP):
+                    strip = own[block][start:start + STRIP]
+                    squares = np.zeros((len(strip), len(passing)))
+                    for j in range(dims):  # differences, not dot products: equal points are at exactly zero
+                        gaps = strip[:, j, None] - passing[None, :, j]
+                        gaps *= gaps
+                        squares += gaps
+                    sums[block][start:start + STRIP] += np.sqrt(squares, out=squares) @ weights
+        for block, points in own.items():
+            for i, (start, stop) in enumerate(zip(starts, starts[1:])):
+                yield _values(i, points[:, dims + i].astype(int), points[:, -1], sums[block][:, start:stop], totals[start:stop])
 
     return run
 
 
-def _row(block: int, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "sums": pa.array([sums.tolist()], pa.list_(pa.list_(pa.float64())))})
+def _values(i: int, cluster: np.ndarray, weight: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    at = np.arange(len(cluster))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        means = np.where(n > 0, sums / n, np.inf)
+        a = sums[at, cluster] / (n[cluster] - 1)
+        means[at, cluster] = np.inf
+        b = means.min(1)
+        most = np.maximum(a, b)
+        # Cancelled differences of equal points are exact; 0 where all distances are 0.
+        s = np.where((n[cluster] == 1) | (most == 0), 0.0, (b - a) / most)
+    return pa.RecordBatch.from_pydict({
+        "i": pa.array(np.full(len(at), i, np.int32)), "cluster": pa.array(cluster.astype(np.int32)),
+        "weight": pa.array(weight.astype(np.int64)), "s": pa.array(s, mask=np.isinf(b))})
 
 
 def point_silhouettes(df: DataFrame, features: list[str], labels: list[str], block_rows: int = BLOCK) -> DataFrame:
@@ -69,49 +94,18 @@ def point_silhouettes(df: DataFrame, features: list[str], labels: list[str], blo
     top = rows.agg(F.count("*"), *[F.max(f"l{i}") for i in range(len(labels))]).first()
     if not top[0]:
         return df.sparkSession.createDataFrame([], "labelling string, cluster int, weight bigint, s double")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, sizes = -(-top[0] // block_rows), [int(x) + 1 for x in top[1:]]
-    spread = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).alias("block")).agg(F.collect_list(F.array(*rows.columns)).alias("rows"))
+    blocks = max(blocks, min(tasks, -(-top[0] // LEAST)))
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)))
+    # Few blocks a task, however many there are: a task holds its own and the sums of their points.
+    spread = numbered.repartition(max(tasks, -(-blocks // TASK_BLOCKS)), "block").groupBy("block").agg(F.collect_list(F.array(*rows.columns)).alias("rows"))
     packed = cut(spread.mapInArrow(_packed, "block long, points binary"))
-    numbers = [r.block for r in packed.select("block").collect()]
-    asked = packed.withColumn("meets", F.explode(F.array(*[F.lit(n) for n in numbers])))
-    others = packed.select(F.col("block").alias("meets"), F.col("points").alias("other"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = asked.join(others, "meets").repartition(tasks, "block", F.pmod("meets", F.lit(max(1, tasks // len(numbers))))).sortWithinPartitions("block")
-    sums = pairs.select("block", "points", "other").mapInArrow(_sums(len(features), sizes), "block long, sums array<array<double>>")
-    # Sums of the tasks are added place by place; then each point meets its own row of them.
-    flat = sums.select("block", F.posexplode("sums").alias("p", "s")).select("block", "p", F.posexplode("s").alias("c", "x"))
-    added = flat.groupBy("block", "p", "c").agg(F.sum("x").alias("x"))
-    totals = cut(rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"l{i}").cast("int").alias("cluster"), F.col("w").alias("w")) for i in range(len(labels))])))
-                 .groupBy("i", "cluster").agg(F.sum("w").alias("n")))
-    starts = [sum(sizes[:i]) for i in range(len(sizes))]
-    clusters = totals.withColumn("c", F.element_at(F.array(*[F.lit(s) for s in starts]), F.col("i") + 1) + F.col("cluster"))
-    width = len(features) + len(labels) + 1
-    points = packed.mapInArrow(_labels(len(features), width), "block long, p int, i int, own int, w double")
-    met = added.join(F.broadcast(clusters.select("c", "i", "cluster", "n")), "c").join(points, ["block", "p", "i"])
-    own = F.col("cluster") == F.col("own")
-    s = met.groupBy("block", "p", "i", "own", "w").agg(
-        F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("x"))).alias("x"), F.min(F.when(~own, F.col("x") / F.col("n"))).alias("b"))
-    a = F.col("x") / (F.col("n") - 1)
-    # Cancelled differences of equal points are exact; 0 where all distances are 0.
-    value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).when(F.greatest(a, F.col("b")) == 0, 0.0).otherwise((F.col("b") - a) / F.greatest(a, F.col("b")))
-    return s.select(F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("i") + 1).alias("labelling"),
-                    F.col("own").alias("cluster"), F.col("w").cast("bigint").alias("weight"), value.alias("s"))
-
-
-def _labels(dims: int, width: int):
-    """(block, p, i, own, w) of every point and labelling of the packed blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, m in zip(batch.column("block").to_pylist(), _matrix(batch.column("points"), width)):
-                n, many = m.shape[0], width - dims - 1
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(np.full(n * many, block, np.int64)), "p": pa.array(np.tile(np.arange(n, dtype=np.int32), many)),
-                    "i": pa.array(np.repeat(np.arange(many, dtype=np.int32), n)), "own": pa.array(m[:, dims:-1].T.astype(np.int32).ravel()),
-                    "w": pa.array(np.tile(m[:, -1], many)),
-                })
-
-    return run
+    # Every task reads the blocks one after another from the checkpoint; its own ones are the right side.
+    passing = packed.coalesce(1).select(F.col("block").alias("met"), F.col("points").alias("other"))
+    pairs = passing.hint("shuffle_replicate_nl").crossJoin(packed).select("block", "points", "met", "other")
+    s = pairs.mapInArrow(_point_silhouettes(len(features), sizes), "i int, cluster int, weight long, s double")
+    return s.select(F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("i") + 1).alias("labelling"), "cluster", "weight", "s")
 
 
 def silhouette(df: DataFrame, features: list[str], labels: list[str], block_rows: int = BLOCK) -> DataFrame:

@@ -42,3 +42,25 @@ def test_single_cluster_and_empty(spark):
     assert [tuple(r) for r in silhouette(df, ["a"], ["k"]).collect()] == [("k", 0, 2, None)]
     assert silhouette(df.filter("a > 5"), ["a"], ["k"]).count() == 0
     assert point_silhouettes(df.withColumn("k", F.col("a").cast("int") - 1), ["a"], ["k"]).select("s").distinct().collect()[0][0] == 0.0
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    """Once the blocks are packed, what is left is one pass over them per task."""
+    df = spark.range(3000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("k"))
+    plan = point_silhouettes(df, ["a"], ["k"], 50)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_centres_of_the_types_are_derived_once(spark, monkeypatch):
+    """The frame of assigned rows reads a stored table of centres, not the listings again."""
+    from predia.registry import valuation as R
+
+    listings = spark.range(40).select(
+        F.col("id").alias("listing_id"), F.concat(F.lit("T"), F.col("id") % 3).alias("tipo_inmueble"),
+        F.col("id").cast("double").alias("area_m2"), (F.col("id") * 1000.0).alias("price_usd"))
+    grouped = listings.groupBy("listing_id", "tipo_inmueble").agg(F.max("area_m2").alias("area_m2"), F.max("price_usd").alias("price_usd"))
+    monkeypatch.setattr(R.V, "listing", lambda spark, d: grouped)
+    monkeypatch.setattr(R, "pool", lambda spark, d: R.cut(grouped))
+    got = R.assigned(spark, "")
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.groupBy("cluster_id").count().count() <= 3 and got.count() == 40
