@@ -279,9 +279,10 @@ def segment_sql(body: str) -> str:
 
 def assigned(spark, d):
     """Pool rows by the nearest of five centres, the mean area and price of each type."""
-    centres = V.listing(spark, d).groupBy("tipo_inmueble").agg(
+    # A row per type, read three times below: the listings are derived for it once.
+    centres = cut(V.listing(spark, d).groupBy("tipo_inmueble").agg(
         F.round(F.avg("area_m2"), 3).alias("area_m2"), (F.round(F.avg("price_usd"), 1) / 1000).alias("miles")
-    )
+    ))
     # Types are few, so numbering them by their sorted list stays a small row.
     kinds = centres.agg(F.sort_array(F.collect_set("tipo_inmueble")).alias("k")).scalar()
     numbered = centres.withColumn("cluster_id", F.array_position(kinds, F.col("tipo_inmueble")) - 1)
