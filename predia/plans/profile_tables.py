@@ -1,15 +1,20 @@
 """Matching of listings with a table of profiles of any size, block against block.
 
-A profile is a row: zones, bounds and a vector. Profiles and listings meet in groups of one block of
-profiles and one slice of listings, both bounded; in a group the profiles are matrices, and rules and
-cosines of all its pairs are computed at once. What leaves a group is what is asked for: scores of all
-pairs, extremes per profile, or the best k per profile.
+A profile is a row: zones, bounds and a vector. A task holds a bounded number of profiles, and all listings
+pass them in runs of bounded length, read from the checkpoint; rules and cosines of a block of profiles and a
+run are computed at once, as matrices. What leaves a task is what is asked for: scores of all pairs, extremes
+per profile, or the best k per profile.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from predia import constants as K
@@ -19,8 +24,14 @@ from predia.plans.matching import RULE_COLUMNS
 from predia.session import cut
 
 BLOCK_PROFILES = 512
+TASK_PROFILES = 2048
 SLICE_LISTINGS = 8192
+STRIP = 64  # profiles whose scores are held at once
 PAIR = "perfil string, listing_id bigint, score_estructurado double, coseno double"
+EXTREMES = "clave bigint, lo double, hi double"
+BEST = "perfil string, listing_id bigint, score_estructurado double, score_semantico double, score_hibrido double"
+KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+ARROW = {s: [(c.split()[0], KINDS[c.split()[1]]) for c in s.split(", ")] for s in (PAIR, EXTREMES, BEST)}
 
 
 def _unit(vectors: pd.Series, width: int) -> np.ndarray:
@@ -55,50 +66,165 @@ def cosine_matrix(profiles: pd.DataFrame, listings: pd.DataFrame) -> np.ndarray:
     return np.round(_unit(profiles["vector"], width) @ _unit(listings["embedding"], width).T, ROUND)
 
 
-def _grouped(listings: DataFrame, profiles: DataFrame):
-    """Profiles and listings with the keys of the groups they meet in."""
-    blocks = max(1, -(-profiles.count() // BLOCK_PROFILES))
-    slices = max(1, -(-listings.count() // SLICE_LISTINGS))
-    rules = [f"{c}_{s}" for c in RULE_COLUMNS for s in ("min", "max")]
-    extra = [c for c in ("lo", "hi") if c in profiles.columns]
-    p = profiles.select("perfil", "corregimientos", *[F.col(c).cast("double") for c in rules], F.col("vector").cast("array<double>"), *extra)
-    v = listings.select(F.col("listing_id").cast("bigint"), "corregimiento", *[F.col(c).cast("double") for c in RULE_COLUMNS], F.col("embedding").cast("array<double>"))
-    p = p.withColumn("block", F.pmod(F.xxhash64("perfil"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    v = v.withColumn("slice", F.pmod(F.xxhash64("listing_id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return p.groupBy("block", "slice").cogroup(v.groupBy("block", "slice"))
+def _vectors(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each row among the distinct vectors, the distinct vectors as rows)."""
+    known = [np.asarray(v, float) for v in column if v is not None]
+    width = len(known[0]) if known else 1
+    places, distinct = pd.factorize(np.array([b"" if v is None else np.asarray(v, float).tobytes() for v in column], dtype=object))
+    return places, np.array([np.frombuffer(x) if x else np.zeros(width) for x in distinct]).reshape(len(distinct), width)
 
 
-def pair_scores(listings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(perfil, listing_id, score_estructurado, coseno) of every listing with every profile."""
+def _packed(vector: str, most: int):
+    """Rows in runs of bounded length, each run one binary value; equal vectors of a run are kept once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), most):
+                part = batch.iloc[start:start + most].reset_index(drop=True)
+                yield pd.DataFrame({"rows": [pickle.dumps((part.drop(columns=[vector]), *_vectors(part[vector])))]})
+
+    return run
+
+
+class _Block:
+    """A run of profiles that meets runs of listings."""
+
+    def __init__(self, profiles: pd.DataFrame, places: np.ndarray, vectors: np.ndarray):
+        self.profiles, self.places, self.units = profiles, places, _unit(vectors, vectors.shape[1])
+
+    def distinct_cosines(self, units: np.ndarray) -> np.ndarray:
+        """Cosines of the distinct vectors of both sides; a side without any vector has no width to compare."""
+        if self.units.shape[1] != units.shape[1]:
+            return np.full((len(self.units), len(units)), np.nan)
+        return np.round(self.units @ units.T, ROUND)
 
-    def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        s, c = structural_matrix(p, v), cosine_matrix(p, v)
+    def meet(self, listings: pd.DataFrame, places: np.ndarray, units: np.ndarray) -> pd.DataFrame | None:
+        """What the block writes at once."""
+
+    def rows(self) -> pd.DataFrame | None:
+        """What it writes when all listings have passed."""
+
+
+class _Pairs(_Block):
+    def meet(self, listings: pd.DataFrame, places: np.ndarray, units: np.ndarray) -> pd.DataFrame:
+        p, v = self.profiles, listings
+        s, c = structural_matrix(p, v), self.distinct_cosines(units)[self.places][:, places]
         return pd.DataFrame({
             "perfil": np.repeat(p["perfil"].to_numpy(), len(v)), "listing_id": np.tile(v["listing_id"].to_numpy(), len(p)),
             "score_estructurado": s.ravel(), "coseno": pd.array(np.where(np.isnan(c), 0, c).ravel(), "Float64"),
         }).assign(coseno=lambda d: d["coseno"].mask(np.isnan(c).ravel()))
 
-    return _grouped(listings, profiles).applyInPandas(_both(meet), PAIR)
 
+class _Extremes(_Block):
+    lo, hi = np.inf, -np.inf
+
+    def meet(self, listings: pd.DataFrame, places: np.ndarray, units: np.ndarray) -> None:
+        c = self.distinct_cosines(units)
+        self.lo = np.minimum(self.lo, np.where(np.isnan(c), np.inf, c).min(1))
+        self.hi = np.maximum(self.hi, np.where(np.isnan(c), -np.inf, c).max(1))
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"clave": self.profiles["clave"], "lo": self.lo[self.places], "hi": self.hi[self.places]})
+
+
+class _Best(_Block):
+    def __init__(self, profiles: pd.DataFrame, places: np.ndarray, vectors: np.ndarray, k: int, weights: tuple[float, float]):
+        super().__init__(profiles, places, vectors)
+        self.k, self.weights = k, weights
+        # Per profile scores (hybrid, structural, semantic) and ids of the best so far, and the score to reach.
+        self.best = [np.zeros((3, 0))] * len(profiles)
+        self.ids = [np.zeros(0, np.int64)] * len(profiles)
+        self.worst = np.full(len(profiles), -np.inf)
+
+    def meet(self, listings: pd.DataFrame, places: np.ndarray, units: np.ndarray) -> None:
+        cosines, ids = self.distinct_cosines(units), listings["listing_id"].to_numpy()
+        for start in range(0, len(self.profiles), STRIP):
+            p = self.profiles.iloc[start:start + STRIP]
+            s, c = structural_matrix(p, listings), cosines[self.places[start:start + STRIP]][:, places]
+            low, span = p["lo"].to_numpy()[:, None], (p["hi"] - p["lo"]).to_numpy()[:, None]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                semantic = np.where(np.isnan(c), np.nan, np.where(span > 0, (c - low) / span, 0.0))
+                hybrid = self.weights[0] * s + self.weights[1] * semantic
+                hits = hybrid >= self.worst[start:start + STRIP, None] - 2 * 10.0**-ROUND  # rounded below
+            for i in np.flatnonzero(hits.any(axis=1)):
+                near = np.flatnonzero(hits[i])
+                score = np.round(hybrid[i, near], ROUND)
+                if len(near) > 4 * self.k:
+                    enough = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+                    near, score = near[enough], score[enough]
+                self._keep(start + i, np.stack([score, s[i, near], semantic[i, near]]), ids[near])
+
+    def _keep(self, i: int, found: np.ndarray, ids: np.ndarray) -> None:
+        both, who = np.concatenate([self.best[i], found], 1), np.concatenate([self.ids[i], ids])
+        order = np.lexsort((who, -both[0]))[:self.k]
+        self.best[i], self.ids[i] = both[:, order], who[order]
+        if len(order) == self.k:
+            self.worst[i] = both[0, order[-1]]
+
+    def rows(self) -> pd.DataFrame:
+        score, structural, semantic = np.concatenate(self.best, 1)
+        return pd.DataFrame({
+            "perfil": np.repeat(self.profiles["perfil"].to_numpy(), [len(x) for x in self.ids]), "listing_id": np.concatenate(self.ids),
+            "score_estructurado": structural, "score_semantico": semantic, "score_hibrido": score})
 
-def _both(meet):
-    """Groups with one side only have no pairs."""
 
-    def run(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return meet(p, v) if len(p) and len(v) else pd.DataFrame()
+def _met(listings: DataFrame, profiles: DataFrame, block: Callable[..., _Block], schema: str) -> DataFrame:
+    """What blocks of profiles write when all listings have passed them.
 
-    return run
+    Runs of listings are read from the checkpoint by every task, not shuffled; a task holds a bounded
+    number of profiles. With few profiles the listings are dealt over several tasks, so a profile
+    may write more than once.
+    """
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    profiles = cut(profiles)
+    shares = max(1, -(-profiles.count() // TASK_PROFILES))
+    own = profiles.repartition(shares, F.xxhash64(*profiles.columns)).mapInPandas(_packed("vector", BLOCK_PROFILES), "rows binary")
+    own = cut(own.select(F.monotonically_increasing_id().alias("block"), F.col("rows").alias("own")))
+    v = listings.select(F.col("listing_id").cast("bigint"), "corregimiento", *[F.col(c).cast("double") for c in RULE_COLUMNS], "embedding")
+    runs = cut(v.mapInPandas(_packed("embedding", SLICE_LISTINGS), "rows binary").select(F.monotonically_increasing_id().alias("run"), "rows"))
+    pairs = runs.coalesce(-(-tasks // shares)).hint("shuffle_replicate_nl").crossJoin(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Block] = {}
+        passing, at = None, None
+        into = pa.schema(ARROW[schema])
+        for batch in batches:
+            for number, rows, key, packed in zip(*(batch.column(c) for c in ("run", "rows", "block", "own"))):
+                if number.as_py() != at:
+                    at, (listed, places, vectors) = number.as_py(), pickle.loads(rows.as_py())
+                    passing = listed, places, _unit(vectors, vectors.shape[1])
+                if (key := key.as_py()) not in held:
+                    held[key] = block(*pickle.loads(packed.as_py()))
+                written = held[key].meet(*passing)
+                if written is not None:
+                    yield pa.RecordBatch.from_pandas(written, into, preserve_index=False)
+        for one in held.values():
+            written = one.rows()
+            if written is not None:
+                yield pa.RecordBatch.from_pandas(written, into, preserve_index=False)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _ready(profiles: DataFrame) -> DataFrame:
+    rules = [f"{c}_{s}" for c in RULE_COLUMNS for s in ("min", "max")]
+    extra = [c for c in ("lo", "hi") if c in profiles.columns]
+    return profiles.select("perfil", "corregimientos", *[F.col(c).cast("double") for c in rules], F.col("vector").cast("array<double>").alias("vector"), *extra)
 
 
-def cosine_extremes(listings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(perfil, lo, hi): least and greatest cosine of each profile; no pair leaves a group."""
+def pair_scores(listings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(perfil, listing_id, score_estructurado, coseno) of every listing with every profile."""
+    return _met(listings, _ready(profiles), _Pairs, PAIR)
 
-    def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        c = cosine_matrix(p, v)
-        return pd.DataFrame({"perfil": p["perfil"], "lo": np.nanmin(np.where(np.isnan(c), np.inf, c), 1), "hi": np.nanmax(np.where(np.isnan(c), -np.inf, c), 1)})
 
-    found = _grouped(listings, profiles).applyInPandas(_both(meet), "perfil string, lo double, hi double")
-    return found.groupBy("perfil").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def cosine_extremes(listings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(perfil, lo, hi): least and greatest cosine of each profile; no pair leaves a task. Profiles with
+    equal vectors have the same ones, so distinct vectors meet the listings."""
+    named = cut(profiles.select("perfil", F.col("vector").cast("array<double>").alias("vector")))
+    distinct = cut(named.select("vector").distinct().withColumn("clave", F.monotonically_increasing_id()))
+    found = _met(listings, distinct, _Extremes, EXTREMES).groupBy("clave").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    keyed = found.join(distinct, "clave").select(F.col("vector").alias("v"), "lo", "hi")
+    return named.join(keyed, F.col("vector").eqNullSafe(F.col("v"))).groupBy("perfil").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def best_listings(
@@ -111,22 +237,5 @@ def best_listings(
     without a cosine has no hybrid score and is left out. Ties go to the lower id.
     """
     ready = profiles.join(cut(cosine_extremes(listings, profiles)), "perfil")
-
-    def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("listing_id", kind="stable")
-        s, c = structural_matrix(p, v), cosine_matrix(p, v)
-        low, span = p["lo"].to_numpy()[:, None], (p["hi"] - p["lo"]).to_numpy()[:, None]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            semantic = np.where(np.isnan(c), np.nan, np.where(span > 0, (c - low) / span, 0.0))
-        hybrid = np.round(weights[0] * s + weights[1] * semantic, ROUND)
-        order = np.argsort(np.where(np.isnan(hybrid), np.inf, -hybrid), axis=1, kind="stable")[:, :k]
-        at = np.arange(len(p))[:, None]
-        rows = pd.DataFrame({
-            "perfil": np.repeat(p["perfil"].to_numpy(), order.shape[1]), "listing_id": v["listing_id"].to_numpy()[order].ravel(),
-            "score_estructurado": s[at, order].ravel(), "score_semantico": semantic[at, order].ravel(), "score_hibrido": hybrid[at, order].ravel(),
-        })
-        return rows[rows["score_hibrido"].notna()]
-
-    kind = "perfil string, listing_id bigint, score_estructurado double, score_semantico double, score_hibrido double"
-    found = _grouped(listings, ready).applyInPandas(_both(meet), kind)
+    found = _met(listings, _ready(ready), partial(_Best, k=k, weights=weights), BEST)
     return top_per_group(found, ["perfil"], [F.desc("score_hibrido"), F.col("listing_id")], k)

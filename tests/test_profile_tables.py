@@ -56,6 +56,12 @@ def test_best_listings_equal_the_ranking_of_a_list(spark, sized):
     assert bag(T.best_listings(rows, table, 9), *columns) == bag(whole.filter("rank <= 9"), *columns)
 
 
+def test_listings_pass_the_profiles_without_a_shuffle(spark):
+    """Neither side is copied for the other: once packed, all that is left is a pass per task."""
+    plan = T.pair_scores(listings(spark, 50), profiles(spark)[0])._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_no_profiles_or_no_listings(spark):
     rows, (table, _) = listings(spark, 20), profiles(spark)
     assert T.best_listings(rows, table.limit(0), 3).count() == 0
@@ -78,3 +84,17 @@ def test_overlaps_of_many_groups(spark, monkeypatch):
 
 def test_overlaps_of_nothing(spark):
     assert O.overlap_table(spark.createDataFrame([], "perfil string, listing_id long")).count() == 0
+
+
+@pytest.mark.parametrize("sparse", [0, 10_000])
+def test_a_hint_of_neighbours_changes_no_overlap(spark, monkeypatch, sparse):
+    """Groups numbered by zone, sets multiplied and counted one by one: the same pairs, a before b by name."""
+    monkeypatch.setattr(O, "SPARSE", sparse)
+    draw = random.Random(5)
+    rows = [(f"g{draw.randint(0, 200):03}", draw.randint(0, 300)) for _ in range(6000)]
+    members = spark.createDataFrame([(g, k, f"z{(int(g[1:]) * 7) % 5}") for g, k in rows], "perfil string, listing_id long, zona string")
+    sets = {}
+    for g, k in rows:
+        sets.setdefault(g, set()).add(k)
+    expected = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
+    assert {(r[0], r[1]): tuple(r)[2:] for r in O.overlap_table(members, near="zona").collect()} == expected
