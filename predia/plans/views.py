@@ -89,10 +89,10 @@ def listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listing_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with an embedding."""
+def listing_vector(spark: SparkSession, sf_dir: str, listings: DataFrame | None = None) -> DataFrame:
+    """Listings with an embedding: all, or the given ones."""
     vectors = table(spark, sf_dir, "embeddings")
-    keyed = _modulo_key(listing(spark, sf_dir), "listing_id", vectors, "vec_id")
+    keyed = _modulo_key(listing(spark, sf_dir) if listings is None else listings, "listing_id", vectors, "vec_id")
     return keyed.join(vectors.select("vec_id", "embedding"), "vec_id")
 
 

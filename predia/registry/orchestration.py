@@ -152,9 +152,11 @@ def search(spark, d, asked=None):
     def value(found):
         return W.valuation(p.join(found, "listing_id", "left_semi"), p.filter("es_train"), mae_reference=MAE)
 
-    listings = evaluable(V.listing_vector(spark, d)).select(
-        "listing_id", "embedding", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
-    )
+    # Derived once: the search and the attributes of what it finds read the listings several times.
+    base = cut(evaluable(V.listing(spark, d)).select(
+        "listing_id", "corregimiento", "tipo_inmueble", "price_usd", "bedrooms", "bathrooms", "area_m2"
+    ))
+    listings = V.listing_vector(spark, d, base).drop("vec_id")
     return O.enriched_search(requests(spark, d) if asked is None else asked, listings, value, reason())
 
 
