@@ -25,12 +25,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from predia.operators.scale import top_per_group
-from predia.operators.vector_search import MAX_QUERY_CELLS, ROUND, Criteria, _search, _unit_of
+from predia.operators.vector_search import ROUND, Criteria, _search, _unit_of
 from predia.session import cut, scratch_path
 
 SAMPLE = 50_000
 MAX_CENTRES = 4096
-SLICE_ROWS = 50_000
+SLICE_ROWS = 20_000
+MEET_CELLS = 1_000_000  # entries of the queries and of their best rows in a block, about 8 MB
 FIRST_LISTS = 4  # lists that give the exact mode its first bound
 SLACK = 1e-6  # rounding of distances between unit vectors
 
@@ -121,7 +122,7 @@ def _meet(index: VectorIndex, pairs: DataFrame, k: int, criteria: Criteria) -> D
     spark = pairs.sparkSession
     # What a list is asked for: at most MAX_CENTRES rows here, and two small numbers per list.
     asked = {r.list: r.n for r in pairs.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    a_block = max(1, MAX_QUERY_CELLS // max(index.centres.shape[1], 1))
+    a_block = max(1, MEET_CELLS // (max(index.centres.shape[1], 1) + 4 * k))
     plan = spark.createDataFrame(
         [(int(c), -(-int(index.sizes[c]) // SLICE_ROWS), -(-n // a_block)) for c, n in asked.items()], "list int, slices int, blocks int")
     plan = F.broadcast(plan)
@@ -137,8 +138,8 @@ def _meet(index: VectorIndex, pairs: DataFrame, k: int, criteria: Criteria) -> D
             return pd.DataFrame({"query_id": [], "id": [], "distancia": []})
         # A vector nearer to the query than its reach lies about as far from the centre as the query does.
         gap, d, reach = v["gap"].to_numpy(), q["d"].to_numpy(), q["reach"].to_numpy() + SLACK
-        near = np.zeros(len(v), bool)
-        for a, r in zip(d, reach):
+        near = np.full(len(v), bool(np.isinf(reach).any()))
+        for a, r in zip(d, reach) if not near.all() else ():
             near |= np.abs(gap - a) <= r
         return _search(q, _unit_of(q, "qv"), iter([v[near]]), k, criteria)
 

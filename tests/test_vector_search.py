@@ -81,3 +81,17 @@ def test_null_ids_and_copies_of_rows_are_kept(spark, monkeypatch):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
     got = VS.vector_topk(queries, vectors, 3).orderBy("rank").collect()
     assert [(r["listing_id"], r["distancia"]) for r in got] == [(None, 0.0), (5, 0.0), (5, 0.0)]
+
+
+def test_memory_of_a_group_does_not_follow_its_pairs():
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    q = pd.DataFrame({"query_id": np.arange(3000), "qv": list(r.normal(size=(3000, 16)))})
+    v = pd.DataFrame({"id": np.arange(4000), "v": list(r.normal(size=(4000, 16)).astype("float32"))})
+    unit = VS._unit_of(q, "qv")
+    tracemalloc.start()
+    got = VS._search(q, unit, iter([v]), 10, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 30_000 and peak < 60e6
