@@ -6,6 +6,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from predia.operators import overlap as O
@@ -98,3 +100,66 @@ def test_a_hint_of_neighbours_changes_no_overlap(spark, monkeypatch, sparse):
         sets.setdefault(g, set()).add(k)
     expected = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a, b in combinations(sorted(sets), 2) if sets[a] & sets[b]}
     assert {(r[0], r[1]): tuple(r)[2:] for r in O.overlap_table(members, near="zona").collect()} == expected
+
+
+def plain_best(profiles, listings, cosines, k, weights):
+    """Every pair scored, none left out."""
+    out = []
+    for p, c in zip(profiles.itertuples(), cosines):
+        s = T.structural_matrix(profiles.loc[[p.Index]], listings)[0]
+        m = np.where(p.hi > p.lo, (c - p.lo) / np.where(p.hi > p.lo, p.hi - p.lo, 1), 0.0)
+        h = np.round(weights[0] * s + weights[1] * m, 9)
+        found = sorted((-x, i) for x, i, y in zip(h, listings["listing_id"], c) if not np.isnan(y))[:k]
+        out += [(p.perfil, i, round(-x, 9)) for x, i in found]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("weights", [(0.6, 0.4), (1.0, 0.0), (0.0, 1.0), (0.5, -0.5)])
+@pytest.mark.parametrize("k", [3, 500])
+def test_best_of_runs_equal_the_best_of_all_pairs(weights, k):
+    r = np.random.default_rng(4)
+    n, m = 40, 900
+    listings = pd.DataFrame({
+        "listing_id": r.permutation(m) // 2, "corregimiento": r.choice(["X", "Y", "Z", None], m), "price_usd": r.uniform(0, 1000, m).round(),
+        "bedrooms": np.where(r.random(m) < 0.1, np.nan, r.integers(0, 5, m)), "area_m2": r.uniform(10, 200, m)})
+    profiles = pd.DataFrame({
+        "perfil": [f"p{i:02}" for i in range(n)], "corregimientos": [[["X"], ["Y", "nowhere"], None, ["X", None, "Z"]][i % 4] for i in range(n)],
+        "price_usd_min": np.nan, "price_usd_max": r.choice([np.nan, -5, 3, 500], n), "bedrooms_min": r.choice([np.nan, 2], n), "bedrooms_max": r.choice([np.nan, 4], n),
+        "area_m2_min": np.nan, "area_m2_max": np.nan})
+    places, vectors, known = np.arange(n) % 3, r.normal(size=(3, 4)), r.normal(size=(50, 4))
+    known[0], own = 0.0, r.integers(0, 50, m)
+    units = T._unit(known, 4)
+    cosines = np.round(T._unit(vectors, 4) @ units.T, 9)
+    profiles["lo"], profiles["hi"] = np.nanmin(cosines, 1)[places], np.nanmax(cosines, 1)[places]
+    profiles.loc[5, "hi"] = profiles.loc[5, "lo"]
+    block = T._Best(profiles, places, vectors, k, weights)
+    for start in range(0, m, 250):
+        part = listings.iloc[start:start + 250].reset_index(drop=True)
+        block.meet(part, own[start:start + 250], units)
+    got = block.rows()
+    assert sorted(zip(got["perfil"], got["listing_id"], got["score_hibrido"].round(9))) == plain_best(profiles, listings, cosines[places][:, own], k, weights)
+
+
+def test_few_pairs_are_tested_for_the_best(monkeypatch):
+    """A run goes past a profile only as far as a listing could still be among its best."""
+    r, tested = np.random.default_rng(6), []
+    n, m = 200, 20_000
+    listings = pd.DataFrame({"listing_id": np.arange(m), "corregimiento": r.choice(list("UVWXYZ"), m), "price_usd": r.uniform(0, 1000, m), "bedrooms": r.integers(0, 5, m), "area_m2": 50.0})
+    profiles = pd.DataFrame({"perfil": [f"p{i}" for i in range(n)], "corregimientos": [["UVWXYZ"[i % 6]] for i in range(n)], "price_usd_max": r.uniform(100, 900, n), "lo": -1.0, "hi": 1.0})
+    profiles = profiles.assign(**{c: np.nan for c in ("price_usd_min", "bedrooms_min", "bedrooms_max", "area_m2_min", "area_m2_max")})
+    plain = T._Best._test
+    monkeypatch.setattr(T._Best, "_test", lambda self, own, numbers, *rest: (tested.append(len(own) * len(numbers)), plain(self, own, numbers, *rest)))
+    vectors, units = r.normal(size=(5, 8)), T._unit(r.normal(size=(m, 8)), 8)
+    block = T._Best(profiles, np.arange(n) % 5, vectors, 10, (0.6, 0.4))
+    block.meet(listings, np.arange(m), units)
+    got = block.rows()
+    assert sum(tested) < n * m / 20
+    assert sorted(zip(got["perfil"], got["listing_id"], got["score_hibrido"].round(9))) == plain_best(profiles, listings, block.distinct_cosines(units)[block.places], 10, (0.6, 0.4))
+
+
+def test_tasks_of_best_listings_hold_bounded_profiles(spark, monkeypatch):
+    monkeypatch.setattr(T, "BEST_PROFILES", 1)
+    rows, (table, vectors) = listings(spark, 60), profiles(spark)
+    whole = M.ranking(M.hybrid(M.profile_scores(rows, vectors, PROFILES)).filter("coseno IS NOT NULL"))
+    columns = ["perfil", "listing_id", "score_hibrido", "rank"]
+    assert bag(T.best_listings(rows, table, 4), *columns) == bag(whole.filter("rank <= 4"), *columns)
