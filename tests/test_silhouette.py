@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from predia.operators import silhouette as S
 from predia.operators.silhouette import point_silhouettes, silhouette
 
 
@@ -64,3 +65,46 @@ def test_centres_of_the_types_are_derived_once(spark, monkeypatch):
     got = R.assigned(spark, "")
     assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.groupBy("cluster_id").count().count() <= 3 and got.count() == 40
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_far_blocks_meet_at_nodes(spark, dims):
+    """Enough points for blocks that lie far apart: the values are those of all pairs."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.uniform(0, 100, (4900, dims)), r.normal(30, 0.5, (480, dims)), np.full((19, dims), 7.0), np.full((1, dims), 1e4)])
+    labels = np.where(x[:, 0] > 40, 2, r.integers(0, 2, len(x)))
+    labels[-20:-1] = 1
+    names = [f"c{i}" for i in range(dims)]
+    df = spark.createDataFrame([(*map(float, p), int(c)) for p, c in zip(x, labels)], ", ".join(f"{n} double" for n in names) + ", k int")
+    s = brute(x, labels)
+    got = {g.cluster: (g.n, g.silueta) for g in silhouette(df, names, ["k"]).collect()}
+    assert got == {c: ((labels == c).sum(), pytest.approx(s[labels == c].mean(), abs=1e-10)) for c in range(3)}
+
+
+def test_nodes_stand_for_points_within_a_bound():
+    """Single distances between boxes at the least gap, not only sums, in which errors would level out."""
+    r, starts = np.random.default_rng(7), np.array([0, 1])
+
+    def block(points):
+        low, high = points.min(0), points.max(0)
+        return S._Block(points, np.zeros((len(points), 1), np.int32), np.ones(len(points)), (low + high) / 2, (high - low) / 2)
+
+    corners = np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]])
+    own = block(np.concatenate([corners, r.random((200, 2))]))
+    for shift in ([2.001, 0], [0, -2.001], [1.71, 1.71], [2.3, 0.4]):
+        other = block(np.concatenate([corners, r.random((200, 2))]) + shift)
+        assert own.far_from(other)
+        got = own.spread() @ S._by_nodes(own.nodes(), other.nodes(), other.spread().T)
+        exact = np.sqrt(((own.points[:, None] - other.points[None]) ** 2).sum(2))
+        assert np.abs(got / exact - 1).max() < 1e-10
+        assert np.allclose(S._direct(own, other, starts)[:, 0], exact.sum(1), rtol=1e-13)
+    assert not own.far_from(block(corners + [1.9, 0]))
+    assert S._direct(own, own, starts)[0] == pytest.approx(np.sqrt((own.points**2).sum(1)).sum(), rel=1e-13)
+
+
+def test_equal_points_with_other_labels_are_at_zero(spark):
+    df = spark.createDataFrame([(1e5 + i // 2 * 1e-3, 1e5, 3.0, i % 2) for i in range(40)], "a double, b double, c double, k int")
+    x, labels = np.array([[1e5 + i // 2 * 1e-3] for i in range(40)]), np.array([i % 2 for i in range(40)])
+    s = brute(x, labels)
+    got = {g.cluster: g.silueta for g in silhouette(df, ["a", "b", "c"], ["k"]).collect()}
+    assert got == {c: pytest.approx(s[labels == c].mean(), abs=1e-9) for c in (0, 1)}
