@@ -108,3 +108,15 @@ def test_equal_points_with_other_labels_are_at_zero(spark):
     s = brute(x, labels)
     got = {g.cluster: g.silueta for g in silhouette(df, ["a", "b", "c"], ["k"]).collect()}
     assert got == {c: pytest.approx(s[labels == c].mean(), abs=1e-9) for c in (0, 1)}
+
+
+@pytest.mark.parametrize("groups", [3, 400])
+def test_sums_over_runs_of_labels(groups):
+    """Points in five dimensions, ordered by their labels or not, against plain distances."""
+    r, starts = np.random.default_rng(11), np.array([0, 4, 9])
+    x, labels, weights = r.normal(size=(500, 5)) + 1000, np.stack([r.integers(0, 4, 500), r.integers(0, 5, 500)], 1).astype(np.int32), r.integers(1, 4, 500).astype(float)
+    if groups == 3:
+        labels = labels[np.sort(r.integers(0, 3, 500))]
+    block = S._Block(x, labels, weights, x.mean(0), np.ptp(x, axis=0) / 2)
+    plain = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) @ block.members(starts)
+    assert np.allclose(S._direct(block, block, starts), plain, rtol=1e-12)
